@@ -7,18 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import table
 from quern.llm.neardup import near_duplicates
 from quern.llm.packing import best_fit_pack
+from quern.llm.toxicity import toxic_scores
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
 
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_toxic_segments": op8_toxic_segments,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
 }
 
