@@ -8,6 +8,13 @@ from quern.llm.common import table
 from quern.llm.neardup import near_duplicates
 from quern.llm.packing import best_fit_pack
 from quern.llm.toxicity import toxic_scores
+from quern.llm.warc import capture_histories
+
+
+def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = capture_histories(table(spark, sf_dir, "pages"))
+    first = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return captures.select(*first, "urlkey", "captured_at", "position")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +30,28 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc_index_merge": op3_warc_index_merge,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc_index_merge": r"""
+        WITH p AS (
+            SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), r AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS stored FROM p
+        ), k AS (
+            SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS rest FROM r
+        ), s AS (
+            SELECT *, array_to_string(list_reverse(string_split(regexp_replace(lower(host), '^www[0-9]*\.', ''), '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS urlkey,
+                strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+            FROM k
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> stored THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> stored THEN stored END AS refers_to,
+            urlkey, captured_at, row_number() OVER (ORDER BY urlkey, captured_at, page_id) - 1 AS position
+        FROM s""",
+}
