@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import table
 from quern.llm.neardup import near_duplicates
 from quern.llm.packing import best_fit_pack
+from quern.llm.quality import QUALITY_SQL, host_rules
 from quern.llm.toxicity import toxic_scores
 from quern.llm.warc import capture_histories
 
@@ -21,6 +22,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules(table(spark, sf_dir, "documents")).drop("host", "host_rate")
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +37,7 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_warc_index_merge": op3_warc_index_merge,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_host_rules": op5_host_rules,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
 }
@@ -54,4 +60,5 @@ SQL: dict[str, str] = {
             CASE WHEN payload_bytes >= 1000 AND page_id <> stored THEN stored END AS refers_to,
             urlkey, captured_at, row_number() OVER (ORDER BY urlkey, captured_at, page_id) - 1 AS position
         FROM s""",
+    "op5_host_rules": QUALITY_SQL,
 }
