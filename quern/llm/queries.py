@@ -8,10 +8,15 @@ from quern.llm.common import table
 from quern.llm.neardup import near_duplicates
 from quern.llm.packing import best_fit_pack
 from quern.llm.quality import QUALITY_SQL, host_rules
+from quern.llm.secrets import find_secrets
 from quern.llm.toxicity import toxic_scores
 from quern.llm.warc import capture_histories
 
 
+def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = capture_histories(table(spark, sf_dir, "pages"))
     first = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -35,6 +40,7 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_linked_secrets": op2_linked_secrets,
     "op3_warc_index_merge": op3_warc_index_merge,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_host_rules": op5_host_rules,
