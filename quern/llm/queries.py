@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import table
 from quern.llm.neardup import near_duplicates
 from quern.llm.packing import best_fit_pack
+from quern.llm.pii import find_personal
 from quern.llm.quality import QUALITY_SQL, host_rules
 from quern.llm.secrets import find_secrets
 from quern.llm.toxicity import toxic_scores
@@ -39,6 +40,10 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
 
+def op10_voted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES = {
     "op2_linked_secrets": op2_linked_secrets,
     "op3_warc_index_merge": op3_warc_index_merge,
@@ -46,6 +51,7 @@ QUERIES = {
     "op5_host_rules": op5_host_rules,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
+    "op10_voted_personal_data": op10_voted_personal_data,
 }
 
 SQL: dict[str, str] = {
