@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import table
+from quern.llm.decontam import DECONTAMINATION_SQL, benchmark_leaks
 from quern.llm.neardup import near_duplicates
 from quern.llm.packing import best_fit_pack
 from quern.llm.pii import find_personal
@@ -14,6 +15,10 @@ from quern.llm.toxicity import toxic_scores
 from quern.llm.warc import capture_histories
 
 
+def op1_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
@@ -45,6 +50,7 @@ def op10_voted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_containment": op1_benchmark_containment,
     "op2_linked_secrets": op2_linked_secrets,
     "op3_warc_index_merge": op3_warc_index_merge,
     "op4_best_fit_packing": op4_best_fit_packing,
@@ -55,6 +61,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_benchmark_containment": DECONTAMINATION_SQL,
     "op3_warc_index_merge": r"""
         WITH p AS (
             SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
