@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import table
 from quern.llm.decontam import DECONTAMINATION_SQL, benchmark_leaks
+from quern.llm.lines import drop_repeated_lines
 from quern.llm.neardup import near_duplicates
 from quern.llm.packing import best_fit_pack
 from quern.llm.pii import find_personal
@@ -37,6 +38,10 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op6_repeated_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op3_warc_index_merge": op3_warc_index_merge,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_host_rules": op5_host_rules,
+    "op6_repeated_line_runs": op6_repeated_line_runs,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_voted_personal_data": op10_voted_personal_data,
