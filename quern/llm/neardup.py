@@ -12,8 +12,9 @@ from quern.llm.common import clean_text, shingle_sets, small_batches, text_bytes
 from quern.llm.graph import components
 
 ROWS = 5
-#: Buckets with more members than this are searched from leaders, smaller ones by pairs.
+#: Buckets of at least this many members are searched from leaders if their pairs outgrow the input.
 SMALL_BUCKET = 24
+#: Leaders of a bucket in the first such round; each round doubles them.
 LEADERS = 8
 
 
@@ -94,6 +95,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, words: int)
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _pairwise_size(left: DataFrame, most: int) -> int:
+    """The largest bucket size up to which all pairs of all buckets together are at most most."""
+    sizes = left.groupBy("members").count().collect()  # a row for each size there is
+    size, pairs = SMALL_BUCKET, 0
+    for r in sorted(sizes, key=lambda r: r["members"]):
+        pairs += r["count"] * (r["members"] - 1) // 2
+        if pairs > most:
+            break
+        size = max(size, r["members"])
+    return size
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
@@ -104,10 +117,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     other columns are left out.
 
     Candidates share a band of the min-max signature. A bucket's members are first compared with its
-    smallest member; what links that leaves apart within a bucket is searched from more leaders
-    (large buckets) or by pairs (small ones), so copies by the thousand cost a comparison each, not a
-    pair each, and no bucket is capped: a leader leaves a bucket only once it was compared with all
-    of it.
+    smallest member. Buckets whose members that leaves in several components are searched again, by
+    all pairs of different components while those stay in proportion to the documents, else from
+    leaders: the members with the most links so far, twice as many each round. Copies by the thousand
+    so cost a few comparisons each, not a pair each, and no bucket is capped: a leader leaves a bucket
+    only once it was compared with all of it.
     """
     small_batches(docs.sparkSession)
     all_docs = written(signatures(docs, threshold, words), "signatures")
@@ -131,15 +145,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     links = written(_confirmed(tested, docs, threshold, words), "links")
     linked = written(components(links), "components")
     entries = entries.where("rep <> leader").select("bucket", "rep", "n")
+    linear, leaders_each = 4 * classes.count() + 100_000, LEADERS
     while True:
         labelled = entries.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = labelled.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         left = written(labelled.join(mixed.select("bucket", "members"), "bucket"), "mixed")
         if left.isEmpty():
             break
-        few, many = left.where(f"members <= {SMALL_BUCKET}"), left.where(f"members > {SMALL_BUCKET}")
-        salt = F.pmod(F.xxhash64("rep", "bucket"), F.lit(LEADERS))
-        leaders = many.groupBy("bucket", salt.alias("salt")).agg(F.min_by(F.struct("rep", "n", "component"), "rep").alias("x"))
+        small = _pairwise_size(left, linear)
+        few, many = left.where(f"members <= {small}"), left.where(f"members > {small}")
+        degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+        salt = F.pmod(F.xxhash64("rep", "bucket"), F.lit(leaders_each))
+        hubs = many.join(degrees, "rep", "left").groupBy("bucket", salt.alias("salt"))
+        leaders = hubs.agg(F.min_by(F.struct("rep", "n", "component"), F.struct(-F.coalesce("degree", F.lit(0)), "rep")).alias("x"))
         leaders = written(leaders.select("bucket", "x.*"), "leaders")
         one = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
         one = one.union(leaders.select("bucket", "rep", "n", "component"))
@@ -154,6 +172,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
                 linked = written(components(links), "components")
             tested = tested.union(pairs)
         entries = many.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n")
+        leaders_each *= 2
     groups = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     groups = written(groups.select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
     result = all_docs.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
