@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import clean_text, shingle_sets, small_batches, text_bytes, written
@@ -95,6 +95,41 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, words: int)
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _mixed(entries: DataFrame, linked: DataFrame) -> DataFrame:
+    """The entries of buckets with members of several components, with component and the bucket's members."""
+    labelled = entries.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return labelled.join(mixed.select("bucket", "members"), "bucket")
+
+
+def _prefixes(docs: DataFrame, large: DataFrame, threshold: float, words: int) -> DataFrame:
+    """bucket, rep, n: the rarest shingles of the members of large buckets, as buckets of their own.
+
+    Sets of which one has n shingles and that share the threshold's part of it have one in common
+    among the n - ceil(threshold n) + 1 shingles of each that come first in one order of all. With
+    the rarest among these members first, a passage that all of them share comes last, and members
+    with enough shingles of their own have no partner at all. So no pair is lost and none is made
+    because of the passage.
+    """
+    percent = round(threshold * 100)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for rep, s in zip(batch.column(0).to_pylist(), shingle_sets(text_bytes(batch.column(1)), words)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep, np.int64)), pa.array(s.view(np.int64))], names=["rep", "bucket"])
+
+    texts = docs.select(F.col("doc_id").alias("rep"), clean_text().alias("text")).join(large.select("rep"), "rep", "left_semi")
+    rows = written(texts.mapInArrow(run, "rep long, bucket long"), "shingles")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(written(shared, "frequencies"), "bucket").join(large, "rep")
+    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "bucket"))
+    return rows.withColumns({"place": place, "most": first - alone}).where("place <= most").select("bucket", "rep", "n")
+
+
 def _pairwise_size(left: DataFrame, most: int) -> int:
     """The largest bucket size up to which all pairs of all buckets together are at most most."""
     sizes = left.groupBy("members").count().collect()  # a row for each size there is
@@ -118,10 +153,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
 
     Candidates share a band of the min-max signature. A bucket's members are first compared with its
     smallest member. Buckets whose members that leaves in several components are searched again, by
-    all pairs of different components while those stay in proportion to the documents, else from
-    leaders: the members with the most links so far, twice as many each round. Copies by the thousand
-    so cost a few comparisons each, not a pair each, and no bucket is capped: a leader leaves a bucket
-    only once it was compared with all of it.
+    all pairs of different components while those stay in proportion to the documents. The members of
+    larger ones are dealt anew by their rarest shingles (see _prefixes), and what stays large then is
+    searched from leaders: the members with the most links so far, twice as many each round. Copies by
+    the thousand so cost a few comparisons each, not a pair each, and no bucket is capped: a leader
+    leaves a bucket only once it was compared with all of it.
     """
     small_batches(docs.sparkSession)
     all_docs = written(signatures(docs, threshold, words), "signatures")
@@ -144,12 +180,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     tested = written(sized(first), "candidates")
     links = written(_confirmed(tested, docs, threshold, words), "links")
     linked = written(components(links), "components")
-    entries = entries.where("rep <> leader").select("bucket", "rep", "n")
     linear, leaders_each = 4 * classes.count() + 100_000, LEADERS
+    left = written(_mixed(entries.where("rep <> leader").select("bucket", "rep", "n"), linked), "mixed")
+    small = _pairwise_size(left, linear)
+    entries = left.where(f"members <= {small}").select("bucket", "rep", "n")
+    large = left.where(f"members > {small}").select("rep", "n").distinct()
+    if not large.isEmpty():
+        entries = entries.union(written(_prefixes(docs, written(large, "large"), threshold, words), "prefixes"))
     while True:
-        labelled = entries.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = labelled.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        left = written(labelled.join(mixed.select("bucket", "members"), "bucket"), "mixed")
+        left = written(_mixed(entries, linked), "mixed")
         if left.isEmpty():
             break
         small = _pairwise_size(left, linear)
