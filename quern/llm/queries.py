@@ -12,6 +12,7 @@ from quern.llm.packing import best_fit_pack
 from quern.llm.pii import find_personal
 from quern.llm.quality import QUALITY_SQL, host_rules
 from quern.llm.secrets import find_secrets
+from quern.llm.shards import training_order
 from quern.llm.toxicity import toxic_scores
 from quern.llm.warc import capture_histories
 
@@ -42,6 +43,10 @@ def op6_repeated_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(table(spark, sf_dir, "documents"))
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_host_rules": op5_host_rules,
     "op6_repeated_line_runs": op6_repeated_line_runs,
+    "op7_training_order": op7_training_order,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_voted_personal_data": op10_voted_personal_data,
