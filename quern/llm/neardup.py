@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import clean_text, shingle_sets, small_batches, text_bytes, written
 from quern.llm.graph import components
 
-ROWS = 5
+ROWS = 7
 #: Buckets of at least this many members are searched from leaders if their pairs outgrow the input.
 SMALL_BUCKET = 24
+#: Comparisons of sizes (not of sets) a class that searching all pairs of buckets may take; constant, so in all they follow the input.
+PAIRS_A_CLASS = 200
 #: Leaders of a bucket in the first such round; each round doubles them.
 LEADERS = 8
 
@@ -72,11 +74,9 @@ def signatures(docs: DataFrame, threshold: float, words: int = 5) -> DataFrame:
     return docs.select("doc_id", clean_text()).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """The pairs (a, b) of documents whose whole sets are similar enough."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """The pairs (a, b) of documents (doc_id, text) whose whole sets are similar enough."""
     percent = round(threshold * 100)
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", clean_text().alias("text")).join(nodes, "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -102,14 +102,14 @@ def _mixed(entries: DataFrame, linked: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("bucket", "members"), "bucket")
 
 
-def _prefixes(docs: DataFrame, large: DataFrame, threshold: float, words: int) -> DataFrame:
-    """bucket, rep, n: the rarest shingles of the members of large buckets, as buckets of their own.
+def _prefixes(texts: DataFrame, large: DataFrame, threshold: float, words: int) -> DataFrame:
+    """bucket, rep, n, m: the rarest shingles of the members of large buckets, as buckets of their own.
 
     Sets of which one has n shingles and that share the threshold's part of it have one in common
     among the n - ceil(threshold n) + 1 shingles of each that come first in one order of all. With
     the rarest among these members first, a passage that all of them share comes last, and members
     with enough shingles of their own have no partner at all. So no pair is lost and none is made
-    because of the passage.
+    because of the passage. m is how many shingles of rep any other member has.
     """
     percent = round(threshold * 100)
 
@@ -120,18 +120,18 @@ def _prefixes(docs: DataFrame, large: DataFrame, threshold: float, words: int) -
             for rep, s in zip(batch.column(0).to_pylist(), shingle_sets(text_bytes(batch.column(1)), words)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep, np.int64)), pa.array(s.view(np.int64))], names=["rep", "bucket"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), clean_text().alias("text")).join(large.select("rep"), "rep", "left_semi")
-    rows = written(texts.mapInArrow(run, "rep long, bucket long"), "shingles")
+    members = texts.join(large.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = written(members.mapInArrow(run, "rep long, bucket long"), "shingles")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
     rows = rows.join(written(shared, "frequencies"), "bucket").join(large, "rep")
     first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
+    m = F.count("*").over(Window.partitionBy("rep"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "bucket"))
-    return rows.withColumns({"place": place, "most": first - alone}).where("place <= most").select("bucket", "rep", "n")
+    return rows.withColumns({"m": m, "place": place, "most": first - (F.col("n") - m)}).where("place <= most").select("bucket", "rep", "n", "m")
 
 
 def _pairwise_size(left: DataFrame, most: int) -> int:
-    """The largest bucket size up to which all pairs of all buckets together are at most most."""
+    """The largest bucket size up to which all pairs of all buckets together are at most most, SMALL_BUCKET at least."""
     sizes = left.groupBy("members").count().collect()  # a row for each size there is
     size, pairs = SMALL_BUCKET, 0
     for r in sorted(sizes, key=lambda r: r["members"]):
@@ -152,11 +152,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     other columns are left out.
 
     Candidates share a band of the min-max signature. A bucket's members are first compared with its
-    smallest member. Buckets whose members that leaves in several components are searched again, by
-    all pairs of different components while those stay in proportion to the documents. The members of
-    larger ones are dealt anew by their rarest shingles (see _prefixes), and what stays large then is
-    searched from leaders: the members with the most links so far, twice as many each round. Copies by
-    the thousand so cost a few comparisons each, not a pair each, and no bucket is capped: a leader
+    smallest member. Buckets whose members that leaves in several components are searched again: small
+    ones by all pairs of different components. The members of the largest are dealt anew by their
+    rarest shingles (see _prefixes). Large ones are searched from leaders, the members with the most
+    links so far, twice as many each round, which unites most of what belongs together; after two
+    rounds by all pairs of different components if those stay in proportion to the documents. Copies
+    by the thousand so cost a few comparisons each, not a pair each, and no bucket is capped: a leader
     leaves a bucket only once it was compared with all of it.
     """
     small_batches(docs.sparkSession)
@@ -170,47 +171,51 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     shared = written(shared, "shared")
     entries = written(entries.join(shared, "bucket"), "entries")
 
+    percent = round(threshold * 100)
+
     def sized(pairs: DataFrame) -> DataFrame:
-        """Sets whose sizes alone rule the similarity out are no candidates."""
-        return pairs.where(f"100 * least(n_a, n_b) >= {round(threshold * 100)} * greatest(n_a, n_b)").select("a", "b").distinct()
+        """Sets are no candidates if what they may share at most (m) rules the similarity out for their sizes."""
+        return pairs.where(f"{100 + percent} * least(m_a, m_b) >= {percent} * (n_a + n_b)").select("a", "b").distinct()
 
     sizes = classes.select(F.col("rep").alias("leader"), F.col("n").alias("n_leader"))
     first = entries.where("rep <> leader").select("rep", "leader", "n").distinct().join(sizes, "leader")
-    first = first.select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("n_leader").alias("n_a"), F.col("n").alias("n_b"))
+    first = first.select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("n_leader").alias("n_a"), F.col("n").alias("n_b"), F.col("n_leader").alias("m_a"), F.col("n").alias("m_b"))
     tested = written(sized(first), "candidates")
-    links = written(_confirmed(tested, docs, threshold, words), "links")
+    members = entries.select(F.col("rep").alias("doc_id")).distinct()
+    texts = written(docs.select("doc_id", clean_text().alias("text")).join(members.hint("merge"), "doc_id", "left_semi"), "texts")
+    links = written(_confirmed(tested, texts, threshold, words), "links")
     linked = written(components(links), "components")
-    linear, leaders_each = 4 * classes.count() + 100_000, LEADERS
-    left = written(_mixed(entries.where("rep <> leader").select("bucket", "rep", "n"), linked), "mixed")
-    small = _pairwise_size(left, linear)
-    entries = left.where(f"members <= {small}").select("bucket", "rep", "n")
+    linear, leaders_each = PAIRS_A_CLASS * classes.count() + 100_000, LEADERS
+    left = written(_mixed(entries.where("rep <> leader").select("bucket", "rep", "n", F.col("n").alias("m")), linked), "mixed")
+    small = _pairwise_size(left, linear // 16)
+    entries = left.where(f"members <= {small}").select("bucket", "rep", "n", "m")
     large = left.where(f"members > {small}").select("rep", "n").distinct()
     if not large.isEmpty():
-        entries = entries.union(written(_prefixes(docs, written(large, "large"), threshold, words), "prefixes"))
+        entries = entries.union(written(_prefixes(texts, written(large, "large"), threshold, words), "prefixes"))
     while True:
         left = written(_mixed(entries, linked), "mixed")
         if left.isEmpty():
             break
-        small = _pairwise_size(left, linear)
+        small = _pairwise_size(left, linear) if leaders_each > 2 * LEADERS else SMALL_BUCKET
         few, many = left.where(f"members <= {small}"), left.where(f"members > {small}")
         degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
         salt = F.pmod(F.xxhash64("rep", "bucket"), F.lit(leaders_each))
         hubs = many.join(degrees, "rep", "left").groupBy("bucket", salt.alias("salt"))
-        leaders = hubs.agg(F.min_by(F.struct("rep", "n", "component"), F.struct(-F.coalesce("degree", F.lit(0)), "rep")).alias("x"))
+        leaders = hubs.agg(F.min_by(F.struct("rep", "n", "m", "component"), F.struct(-F.coalesce("degree", F.lit(0)), "rep")).alias("x"))
         leaders = written(leaders.select("bucket", "x.*"), "leaders")
-        one = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        one = one.union(leaders.select("bucket", "rep", "n", "component"))
-        other = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        pairs = one.join(other, "bucket").where("a <> b and c_a <> c_b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b")
+        one = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("component").alias("c_a"), F.lit(False).alias("leads"))
+        one = one.union(leaders.select("bucket", "rep", "n", "m", "component", F.lit(True)))
+        other = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("component").alias("c_b"))
+        pairs = one.join(other, "bucket").where("(leads or a < b) and c_a <> c_b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "m_a", "m_b")
         pairs = written(sized(pairs).join(tested, ["a", "b"], "left_anti"), "candidates")
         if not pairs.isEmpty():
-            found = written(_confirmed(pairs, docs, threshold, words), "links")
+            found = written(_confirmed(pairs, texts, threshold, words), "links")
             if not found.isEmpty():
                 links = links.union(found)
                 linked = written(components(links), "components")
             tested = tested.union(pairs)
-        entries = many.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n")
+        entries = many.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n", "m")
         leaders_each *= 2
     groups = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     groups = written(groups.select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
