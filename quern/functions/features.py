@@ -89,8 +89,8 @@ def neighbour_summary(context: Column) -> Features:
     for p in ("hydro", "charge"):
         values = [prop(F.get(context, F.lit(k)), p) for k in range(10)]
         mean = sum(values[1:], values[0]) / F.lit(10.0)
-        square = sum((v * v for v in values[1:]), values[0] * values[0]) / F.lit(10.0)
-        out |= {f"ctx_mean_{p}": mean, f"ctx_std_{p}": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))}
+        squares = [(v - mean) * (v - mean) for v in values]
+        out |= {f"ctx_mean_{p}": mean, f"ctx_std_{p}": F.sqrt(sum(squares[1:], squares[0]) / F.lit(10.0))}
     return out
 
 

@@ -61,11 +61,11 @@ def with_splits(pool: DataFrame, targets: dict[str, list[int]], seed: int = 42)
         return by_row.withColumns({"_split_gene": F.col("_split_variant"), "_split_gene_note": F.lit("single gene: same as variant")})
     groups = group_split(pool, "GeneSymbol", F.col("label") == 1, share, (train + test, train + test), seed).select("GeneSymbol", "in_test")
     sided = by_row.join(groups, "GeneSymbol")
-    sampled = variant_split(sided.withColumn("_stratum", F.concat_ws("/", F.col("in_test").cast("string"), F.col("label").cast("string"))), "_stratum", 1, 0, F.col("VariationID"), seed)
+    sided = sided.withColumn("_stratum", F.concat_ws("/", F.col("in_test").cast("string"), F.col("label").cast("string")))
     place = F.row_number().over(_by("_stratum", seed))
     limit = F.when(F.col("in_test"), F.lit(test)).otherwise(F.lit(train))
     side = F.when(place > limit, "unused").when(F.col("in_test"), "test").otherwise("train")
-    return sampled.withColumn("_split_gene", side).withColumn("_split_gene_note", F.lit(None).cast("string")).drop("side", "_stratum", "in_test")
+    return sided.withColumn("_split_gene", side).withColumn("_split_gene_note", F.lit(None).cast("string")).drop("_stratum", "in_test")
 
 
 def _by(stratum: str, seed: int):

@@ -24,7 +24,7 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", heade
     columns are found by name, whatever their order and whatever other columns there are.
     """
     declared = T._parse_datatype_string(schema)
-    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": "true"}
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": "true", "columnPruning": "false"}
     if comment:
         options["comment"] = comment
     reader = spark.read.options(**options)
