@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, line runs, near duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is stored as Parquet and read again
-as the next stage's docs. All but the last return the columns of documents.
+as the next stage's docs. All but the last return the columns of documents. Decisions that may concern
+a large part of the documents are joined by exchange at every size: no table that grows is broadcast.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
     others = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(written(others, "others"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(written(others, "others").hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -274,7 +274,7 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> Data
     inside = lambda i: F.exists("cuts", lambda c: (c["first"] <= i) & (i <= c["last"]))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, i: ~inside(i))
-    joined = docs.drop("lines_removed", "cuts").join(cuts, "doc_id", "left")
+    joined = docs.drop("lines_removed", "cuts").join(cuts.hint("merge"), "doc_id", "left")
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     removed = F.aggregate("cuts", F.lit(0), lambda n, c: n + c["last"] - c["first"] + 1)
     columns = [c for c in docs.columns if c not in ("lines_removed", "cuts")]
