@@ -146,8 +146,8 @@ def held_out():
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, prior: float = 500.0, least_z: float = 3.0) -> Model:
     """Learn the model from the labelled rows that aren't held out.
 
-    At most about most_rows of them are used, drawn by a hash of doc_id; that bounds the counts and
-    the model on the driver. A token's weight is its log-odds between toxic and other texts under a
+    At most about most_rows of them are used, drawn by a hash of doc_id; that bounds what is broadcast
+    (12 bytes of data a row), the counts and the model on the driver. A token's weight is its log-odds between toxic and other texts under a
     Dirichlet prior of one half plus prior times its share of all counts; tokens with a z-score of
     least_z or more stay. All other tokens together have the log-odds of what is left of either side.
     No labels, or labels of one kind: no token, and every text gets the same low score.
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, prior: floa
     n = chosen.count()
     if n > most_rows:
         chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(1e6 * most_rows / n))
-    training = written(docs.select("doc_id", clean_text().alias("text")).join(chosen, "doc_id").select("text", "toxic"), "training")
+    training = written(docs.select("doc_id", clean_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "training")
     counts = written(_counts(training), "token_counts")
     n1, n0, size = counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first()
     if not n1 or not n0:
