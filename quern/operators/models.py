@@ -108,3 +108,41 @@ def stack(df: DataFrame, label: str, scores: list[str], c: float = 1.0, n: int |
 def stacked(model: PipelineModel, df: DataFrame, scores: list[str]) -> DataFrame:
     ready = df.select("*", *(clipped_logit(F.col(s)).alias(f"_l_{s}") for s in scores))
     return model.transform(ready).withColumn("p_stack", probability()).select(*df.columns, "p_stack")
+
+
+def search(df: DataFrame, label: str, numeric: list[str], trials: int = 8, fold: str = "fold", k: int = 3, seed: int = 42) -> list[tuple[dict, float]]:
+    """Random settings of the learner and their mean AUC over the folds, best first."""
+    import random
+
+    from quern.operators.stats import roc_auc
+
+    draw, out = random.Random(seed), []
+    fills = fill_values(df, numeric, [])
+    ready = df.na.fill(fills).withColumn("label", F.col(label).cast("double"))
+    for _ in range(trials):
+        settings = {"maxDepth": draw.randint(2, 5), "maxIter": draw.choice([5, 10, 20]), "stepSize": draw.choice([0.05, 0.1, 0.2, 0.3]), "subsamplingRate": draw.choice([0.7, 1.0])}
+        scores = []
+        for i in range(k):
+            model = Pipeline(stages=[*preprocessor(numeric, []), GBTClassifier(seed=seed, **settings)]).fit(ready.where(F.col(fold) != i))
+            scored = model.transform(ready.where(F.col(fold) == i)).select(label, probability().alias("_p"))
+            scores.append(roc_auc(scored, label, "_p").first().auc)
+        known = [x for x in scores if x is not None]
+        out.append((settings, sum(known) / len(known) if known else 0.0))
+    return sorted(out, key=lambda x: -x[1])
+
+
+def permutation_importance(model: Ensemble, df: DataFrame, label: str, columns: list[str], key: str, seed: int = 42) -> list[tuple[str, float]]:
+    """Loss of AUC when a column's values are dealt anew among the rows by a drawn order; largest loss first."""
+    from pyspark.sql import Window
+
+    from quern.operators.select import draw
+    from quern.operators.stats import roc_auc
+
+    base = roc_auc(model.score(df), label, "p_ensemble").first().auc or 0.0
+    out = []
+    for c in columns:
+        order = lambda s: F.row_number().over(Window.orderBy(draw(s, F.col(key)), key)).alias("_i")
+        values = df.select(order(seed + 1), F.col(c).alias("_v"))
+        dealt = df.select("*", order(seed)).join(values, "_i").withColumn(c, F.col("_v")).drop("_i", "_v")
+        out.append((c, base - (roc_auc(model.score(dealt), label, "p_ensemble").first().auc or 0.0)))
+    return sorted(out, key=lambda x: -x[1])

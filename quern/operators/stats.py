@@ -96,6 +96,17 @@ def youden_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     return threshold_grid(df, label, score).withColumn("j", j).orderBy(F.desc("j"), "i").limit(1).select("threshold", "j")
 
 
+def panel_thresholds(df: DataFrame, label: str, score: str, by: str, least: int = 30) -> DataFrame:
+    """by, threshold, own: each group's own first best threshold, or that of all rows where it has one class or too few rows."""
+    j = F.round(F.col("sensitivity") + F.col("specificity") - 1, 9)
+    best = threshold_grid(df, label, score, [by]).withColumn("j", j).groupBy(by).agg(F.max_by("threshold", F.struct("j", -F.col("i"))).alias("own_threshold"))
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    enough = rows.groupBy(by).agg(((F.count("*") >= least) & (F.count_distinct(label) == 2)).alias("own"))
+    overall = youden_threshold(df, label, score).first()
+    threshold = F.when(F.col("own"), F.col("own_threshold")).otherwise(F.lit(overall.threshold if overall else 0.5))
+    return enough.join(best, by, "left").select(by, threshold.alias("threshold"), "own")
+
+
 def sensitivity_threshold(df: DataFrame, label: str, score: str, least: float = 0.90) -> DataFrame:
     """The highest grid threshold with enough sensitivity, 0.05 if there is none."""
     return threshold_grid(df, label, score).agg(F.coalesce(F.max(F.when(F.col("sensitivity") >= least, F.col("threshold"))), F.lit(0.05)).alias("threshold"))
