@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 
 import numpy as np
@@ -42,11 +43,29 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return slot.astype(np.int64)
 
 
-def token_sequences(docs: DataFrame, stride: int, tokenizer: str, end_id: int) -> DataFrame:
-    """part, nth, ids (16-bit, little-endian), pieces of each sequence of stride ids.
+def _sequence_counts(docs: DataFrame, stride: int, tokenizer: str) -> list[tuple[int, int]]:
+    """Task and number of sequences of each task that has documents, in order: a row a task."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        encoder, total = word_tokenizer(tokenizer), 0
+        for batch in batches:
+            total += sum(len(ids) + 1 for ids in encoder.encode(text_bytes(batch.column(0))))
+        if total:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([-(-total // stride)], pa.int64())})
+
+    rows = docs.select(clean_text()).mapInArrow(run, "part int, n long").collect()
+    return sorted((r.part, r.n) for r in rows)
+
+
+def token_sequences(docs: DataFrame, stride: int, tokenizer: str, end_id: int, slot_of, per_shard: int) -> tuple[DataFrame, str]:
+    """slot, shard, ids (16-bit, little-endian), pieces of each sequence of stride ids, and the type of pieces.
 
     A task's documents, each closed by end_id, follow one another without gaps; the last sequence of a
-    task may be shorter. pieces says which document's ids stand where.
+    task may be shorter. pieces says which document's ids stand where. slot_of(task, numbers) gives the
+    slots of a task's sequences.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -57,14 +76,16 @@ def token_sequences(docs: DataFrame, stride: int, tokenizer: str, end_id: int) -
         encoder, part, nth = word_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
         if len(encoder.ends) > 1 << 16:
             raise ValueError("ids of this tokenizer need more than 16 bits")
-        held, pieces, size = [], [], 0
+        held, pieces, size, doc_type = [], [], 0, None
 
         def batch_of(rows):
+            nonlocal nth
+            slot = slot_of(part, np.arange(nth, nth + len(rows)))
+            nth += len(rows)
             field = pa.struct([("doc_id", doc_type), ("start", pa.int64()), ("length", pa.int32()), ("offset", pa.int32()), ("crc32", pa.int64())])
-            part_, nth_, ids, pieces_ = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(part_, pa.int32()), pa.array(nth_, pa.int64()), pa.array(ids, pa.binary()), pa.array(pieces_, pa.list_(field))], names=["part", "nth", "ids", "pieces"])
+            ids, pieces_ = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(ids, pa.binary()), pa.array(pieces_, pa.list_(field))], names=["slot", "shard", "ids", "pieces"])
 
-        doc_type = None
         for batch in batches:
             doc_type, rows = batch.column(0).type, []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(text_bytes(batch.column(1)))):
@@ -75,43 +96,54 @@ def token_sequences(docs: DataFrame, stride: int, tokenizer: str, end_id: int) -
                     held.append(cut)
                     start, size = start + len(cut), size + len(cut)
                     if size == stride:
-                        rows.append((part, nth, b"".join(x.tobytes() for x in held), pieces))
-                        held, pieces, size, nth = [], [], 0, nth + 1
+                        rows.append((b"".join(x.tobytes() for x in held), pieces))
+                        held, pieces, size = [], [], 0
             if rows:
                 yield batch_of(rows)
         if size:
-            yield batch_of([(part, nth, b"".join(x.tobytes() for x in held), pieces)])
+            yield batch_of([(b"".join(x.tobytes() for x in held), pieces)])
 
-    small_batches(docs.sparkSession)
-    piece = f"struct<doc_id:{kind},start:long,length:int,offset:int,crc32:long>"
-    return docs.select("doc_id", clean_text()).mapInArrow(run, f"part int, nth long, ids binary, pieces array<{piece}>")
+    pieces_type = f"array<struct<doc_id:{kind},start:long,length:int,offset:int,crc32:long>>"
+    return docs.select("doc_id", clean_text()).mapInArrow(run, f"slot long, shard long, ids binary, pieces {pieces_type}"), pieces_type
 
 
 def write_shards(docs: DataFrame, path: str, key: int = 7, stride: int = STRIDE, per_shard: int = PER_SHARD, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
     """Write the shards of all documents at path; returns the index: doc_id, start, length, crc32, slot, shard, offset.
 
-    Sequences are counted by task (a row a task on the driver), which gives each an index and the
-    permutation a slot. Shards are ranges of per_shard slots; a shard is one file of rows of
-    4 + 2 * stride bytes: the number of ids, then the ids, 0 behind the last. It is written beside its
-    place and moved there whole, so a task that runs again, or a run that starts again, replaces it.
-    Null and empty texts are end_id alone. An empty table makes no shard.
+    A first pass counts the sequences of each task (a row a task on the driver), which gives each an
+    index and the permutation a slot; a second makes them. Encoding twice costs less than storing all
+    ids once more. Both read the same partitions of docs, which should be a table of files, whose
+    division is held for both passes; a shard whose slots aren't complete and in order is refused. Shards are ranges of
+    per_shard slots; a shard is one file of rows of 4 + 2 * stride bytes: the number of ids, then the
+    ids, 0 behind the last. It is written beside its place and moved there whole, so a task that runs
+    again, or a run that starts again, replaces it. Null and empty texts are end_id alone. An empty
+    table makes no shard.
     """
     tokenizer = tokenizer or default_tokenizer()
-    made = written(token_sequences(docs, stride, tokenizer, end_id), "sequences")
-    sizes, n, first = sorted((r["part"], r["count"]) for r in made.groupBy("part").count().collect()), 0, {}
-    for part, count in sizes:
+    small_batches(docs.sparkSession)
+    with _same_partitions(docs.sparkSession):
+        return _write(docs, path, key, stride, per_shard, tokenizer, end_id)
+
+
+@contextlib.contextmanager
+def _same_partitions(spark: SparkSession):
+    """Files are divided by the cores there are when a pass is planned: hold that number, should executors come or go."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
+def _write(docs: DataFrame, path: str, key: int, stride: int, per_shard: int, tokenizer: str, end_id: int) -> DataFrame:
+    n, first = 0, {}
+    for part, count in _sequence_counts(docs, stride, tokenizer):
         first[part], n = n, n + count
-    pieces_type = made.schema["pieces"].dataType.simpleString()
-
-    def place(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            part, nth = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            slot = feistel(np.array([first[p] for p in part.tolist()], np.int64) + nth, n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), batch.column(2), batch.column(3)], names=["slot", "shard", "ids", "pieces"])
-
-    placed = made.mapInArrow(place, f"slot long, shard long, ids binary, pieces {pieces_type}")
+    placed, pieces_type = token_sequences(docs, stride, tokenizer, end_id, lambda part, numbers: feistel(numbers + first[part], n, key), per_shard)
     shards = max(1, -(-n // per_shard))
 
     def store(batches):
