@@ -27,13 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
     longest path. Every round is a table in the shared folder. Loops and repeated edges don't matter;
     nodes without an edge to another node are not returned.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = written(now, "edges")
-    seen = None
+    now, seen = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
     while True:
+        now = written(_small_star(_large_star(now)), "edges")
         state = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if state == seen or not state[0]:
             break
         seen = state
-        now = written(_small_star(_large_star(now)), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

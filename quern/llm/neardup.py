@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import clean_text, shingle_sets, small_batches, text_bytes, written
@@ -43,8 +43,30 @@ def min_max_signature(fingerprints: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return np.concatenate([low, high])
 
 
+def sketch_of(signature: np.ndarray) -> np.ndarray:
+    """The two lowest bits of each value of a signature, 32 values a number."""
+    low = (signature & np.uint32(3)).astype(np.uint64)
+    low = np.pad(low, (0, -len(low) % 32)).reshape(-1, 32)
+    return (low << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def differing(a: str, b: str, numbers: int) -> Column:
+    """In how many values two sketches differ."""
+    total = F.lit(0)
+    for i in range(numbers):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total
+
+
+def most_differing(threshold: float, values: int) -> int:
+    """How many of so many values two bits of each may differ for sets at the threshold, five standard deviations granted."""
+    same = threshold + (1 - threshold) / 4
+    return values - math.floor(values * same - 5 * math.sqrt(values * same * (1 - same)))
+
+
 def signatures(docs: DataFrame, threshold: float, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (fingerprint of the whole set, null if it is empty), bands."""
+    """doc_id, n_shingles, set_key (fingerprint of the whole set, null if it is empty), bands, sketch."""
     n_bands = bands_needed(threshold)
     a, b = _permutations(n_bands * ROWS // 2)
     weights = np.random.default_rng(4104).integers(1, 2**63, (n_bands, ROWS), dtype=np.uint64) | np.uint64(1)
@@ -54,24 +76,27 @@ def signatures(docs: DataFrame, threshold: float, words: int = 5) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, sketches = [], [], [], []
             for s in shingle_sets(text_bytes(batch.column(1)), words):
                 sizes.append(len(s))
                 if not len(s):
                     keys.append(None)
                     bands.append(None)
+                    sketches.append(None)
                     continue
                 keys.append(xxhash.xxh3_128_digest(s))
-                rows = min_max_signature(s, a, b).reshape(n_bands, ROWS).astype(np.uint64)
+                signature = min_max_signature(s, a, b)
+                sketches.append(sketch_of(signature))
+                rows = signature.reshape(n_bands, ROWS).astype(np.uint64)
                 h = (rows * weights).sum(axis=1, dtype=np.uint64)
                 bands.append((h ^ (h >> np.uint64(29))).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", clean_text()).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", clean_text()).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -163,7 +188,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     small_batches(docs.sparkSession)
     all_docs = written(signatures(docs, threshold, words), "signatures")
     classes = all_docs.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")
     )
     classes = written(classes, "classes")
     entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
@@ -171,16 +196,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     shared = written(shared, "shared")
     entries = written(entries.join(shared, "bucket"), "entries")
 
-    percent = round(threshold * 100)
+    percent, values = round(threshold * 100), bands_needed(threshold) * ROWS
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Sets are no candidates if what they may share at most (m) rules the similarity out for their sizes."""
-        return pairs.where(f"{100 + percent} * least(m_a, m_b) >= {percent} * (n_a + n_b)").select("a", "b").distinct()
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Sets are no candidates if what they may share at most (m) rules the similarity out for their sizes, or if
+        their sketches differ by more than chance allows (one pair in three million at the threshold)."""
+        pairs = pairs.where(f"{100 + percent} * least(m_a, m_b) >= {percent} * (n_a + n_b)")
+        return pairs.where(differing("k_a", "k_b", -(-values // 32)) <= most_differing(threshold, values)).select("a", "b").distinct()
 
-    sizes = classes.select(F.col("rep").alias("leader"), F.col("n").alias("n_leader"))
-    first = entries.where("rep <> leader").select("rep", "leader", "n").distinct().join(sizes, "leader")
-    first = first.select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("n_leader").alias("n_a"), F.col("n").alias("n_b"), F.col("n_leader").alias("m_a"), F.col("n").alias("m_b"))
-    tested = written(sized(first), "candidates")
+    first = entries.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    for side in "ab":
+        first = first.join(classes.select(F.col("rep").alias(side), *(F.col(c).alias(f"{x}_{side}") for x, c in (("n", "n"), ("m", "n"), ("k", "sketch")))), side)
+    tested = written(alike(first), "candidates")
     members = entries.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.select("doc_id", clean_text().alias("text")).join(members.hint("merge"), "doc_id", "left_semi"), "texts")
     links = written(_confirmed(tested, texts, threshold, words), "links")
@@ -192,6 +219,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     large = left.where(f"members > {small}").select("rep", "n").distinct()
     if not large.isEmpty():
         entries = entries.union(written(_prefixes(texts, written(large, "large"), threshold, words), "prefixes"))
+    entries = entries.join(classes.select("rep", "sketch"), "rep").select("bucket", "rep", "n", "m", "sketch")
     while True:
         left = written(_mixed(entries, linked), "mixed")
         if left.isEmpty():
@@ -201,21 +229,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
         degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
         salt = F.pmod(F.xxhash64("rep", "bucket"), F.lit(leaders_each))
         hubs = many.join(degrees, "rep", "left").groupBy("bucket", salt.alias("salt"))
-        leaders = hubs.agg(F.min_by(F.struct("rep", "n", "m", "component"), F.struct(-F.coalesce("degree", F.lit(0)), "rep")).alias("x"))
+        leaders = hubs.agg(F.min_by(F.struct("rep", "n", "m", "sketch", "component"), F.struct(-F.coalesce("degree", F.lit(0)), "rep")).alias("x"))
         leaders = written(leaders.select("bucket", "x.*"), "leaders")
-        one = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("component").alias("c_a"), F.lit(False).alias("leads"))
-        one = one.union(leaders.select("bucket", "rep", "n", "m", "component", F.lit(True)))
-        other = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("component").alias("c_b"))
+        one = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("sketch").alias("k_a"), F.col("component").alias("c_a"), F.lit(False).alias("leads"))
+        one = one.union(leaders.select("bucket", "rep", "n", "m", "sketch", "component", F.lit(True)))
+        other = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("sketch").alias("k_b"), F.col("component").alias("c_b"))
         pairs = one.join(other, "bucket").where("(leads or a < b) and c_a <> c_b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "m_a", "m_b")
-        pairs = written(sized(pairs).join(tested, ["a", "b"], "left_anti"), "candidates")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "m_a", "m_b", "k_a", "k_b")
+        pairs = written(alike(pairs).join(tested, ["a", "b"], "left_anti"), "candidates")
         if not pairs.isEmpty():
             found = written(_confirmed(pairs, texts, threshold, words), "links")
             if not found.isEmpty():
                 links = links.union(found)
                 linked = written(components(links), "components")
             tested = tested.union(pairs)
-        entries = many.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n", "m")
+        entries = many.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n", "m", "sketch")
         leaders_each *= 2
     groups = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     groups = written(groups.select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
