@@ -38,7 +38,7 @@ def average_precision(df: DataFrame, label: str, score: str, by: list[str] | Non
     w = _window(by).orderBy(F.desc("s"))
     rows = score_counts(df, label, score, by).withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
     rows = rows.withColumn("part", F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return rows.groupBy(*by).agg((F.sum("part") / F.sum("p")).alias("ap"))
+    return rows.groupBy(*by).agg(F.try_divide(F.sum("part"), F.sum("p")).alias("ap"))
 
 
 def curves(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def curves(df: DataFrame, label: str, score: str, by: list[str] | None = None) -
     w, all_ = _window(by).orderBy(F.desc("s")), _window(by)
     rows = score_counts(df, label, score, by)
     rows = rows.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w), "pos": F.sum("p").over(all_), "neg": F.sum("n").over(all_)})
-    return rows.select(*by, F.col("s").alias("threshold"), (F.col("tp") / F.col("pos")).alias("tpr"), (F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    return rows.select(*by, F.col("s").alias("threshold"), F.try_divide("tp", "pos").alias("tpr"), F.try_divide("fp", "neg").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
@@ -87,7 +87,7 @@ def threshold_grid(df: DataFrame, label: str, score: str, by: list[str] | None =
     full = full.select(*by, grid.alias("reached")).join(counted, [*by, "reached"], "left").na.fill(0, ["p", "n"])
     full = full.withColumns({"tp": F.sum("p").over(w.orderBy(F.desc("reached"))), "fp": F.sum("n").over(w.orderBy(F.desc("reached"))), "pos": F.sum("p").over(w), "neg": F.sum("n").over(w)})
     i = F.col("reached") - 1
-    return full.where("reached > 0").select(*by, i.alias("i"), F.round(F.lit(0.05) + F.lit(0.01) * i, 2).alias("threshold"), (F.col("tp") / F.col("pos")).alias("sensitivity"), (1 - F.col("fp") / F.col("neg")).alias("specificity"))
+    return full.where("reached > 0").select(*by, i.alias("i"), F.round(F.lit(0.05) + F.lit(0.01) * i, 2).alias("threshold"), F.try_divide("tp", "pos").alias("sensitivity"), (1 - F.try_divide("fp", "neg")).alias("specificity"))
 
 
 def youden_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -181,7 +181,7 @@ def poisson_auc(df: DataFrame, label: str, score: str, key: Column, rounds: int
     counts = weighted.groupBy("round", F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy("round").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = counts.withColumn("won", F.col("p") * (below + F.col("n") / F.lit(2.0)))
-    return won.groupBy("round").agg((F.sum("won") / F.sum("p") / F.sum("n")).alias("auc"))
+    return won.groupBy("round").agg(F.try_divide(F.try_divide(F.sum("won"), F.sum("p")), F.sum("n")).alias("auc"))
 
 
 def interval(resamples: DataFrame, value: str = "auc", level: float = 0.95) -> DataFrame:

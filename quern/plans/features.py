@@ -200,7 +200,7 @@ _AUC = "sum(CASE WHEN y = 1 THEN r END) - m * (m + 1) / 2.0"
 _RANKED = "(SELECT *, rank() OVER (PARTITION BY {by} ORDER BY s) + (count(*) OVER (PARTITION BY {by}, s) - 1) / 2.0 AS r, sum(y) OVER (PARTITION BY {by}) AS m, count(*) OVER (PARTITION BY {by}) - sum(y) OVER (PARTITION BY {by}) AS n FROM d)"
 
 
-@query(f"WITH {_D} SELECT lang, max(m)::BIGINT AS n_pos, max(n)::BIGINT AS n_neg, round((sum(CASE WHEN y = 1 THEN r END) - max(m) * (max(m) + 1) / 2.0) / (max(m) * max(n)), 6) AS auc FROM {_RANKED.format(by='lang')} GROUP BY lang")
+@query(f"WITH {_D} SELECT lang, max(m)::BIGINT AS n_pos, max(n)::BIGINT AS n_neg, round((sum(CASE WHEN y = 1 THEN r END) - max(m) * (max(m) + 1) / 2.0) / nullif(max(m) * max(n), 0), 6) AS auc FROM {_RANKED.format(by='lang')} GROUP BY lang")
 def roc_auc(spark, sf_dir):
     return _rounded(stats.roc_auc(_labelled(spark, sf_dir), "y", "s", ["lang"]))
 
