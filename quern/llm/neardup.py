@@ -18,6 +18,8 @@ SMALL_BUCKET = 24
 PAIRS_A_CLASS = 200
 #: Leaders of a bucket in the first such round; each round doubles them.
 LEADERS = 8
+#: Pairs with a set of fewer shingles are confirmed whatever their sketches say; that costs little.
+SMALL_SET = 64
 
 
 def bands_needed(threshold: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -44,8 +46,15 @@ def min_max_signature(fingerprints: np.ndarray, a: np.ndarray, b: np.ndarray) ->
 
 
 def sketch_of(signature: np.ndarray) -> np.ndarray:
-    """The two lowest bits of each value of a signature, 32 values a number."""
-    low = (signature & np.uint32(3)).astype(np.uint64)
+    """Two bits of each value of a signature after mixing all of it, 32 values a number.
+
+    The low bits of a x + b themselves agree for values that agree in their low bits whatever a and b
+    are, so over the permutations of a pair they are not independent.
+    """
+    h = signature ^ (signature >> np.uint32(16))
+    h = h * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    low = ((h ^ (h >> np.uint32(16))) & np.uint32(3)).astype(np.uint64)
     low = np.pad(low, (0, -len(low) % 32)).reshape(-1, 32)
     return (low << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
@@ -59,10 +68,14 @@ def differing(a: str, b: str, numbers: int) -> Column:
     return total
 
 
-def most_differing(threshold: float, values: int) -> int:
-    """How many of so many values two bits of each may differ for sets at the threshold, five standard deviations granted."""
-    same = threshold + (1 - threshold) / 4
-    return values - math.floor(values * same - 5 * math.sqrt(values * same * (1 - same)))
+def most_differing(threshold: float, values: int, miss: float = 1e-6 / 3) -> int:
+    """How many of so many values two bits of each may differ, which sets at the threshold exceed with a probability of miss at most."""
+    p = (1 - threshold) * 3 / 4
+    most, tail = values, p**values
+    while tail <= miss and most:
+        most -= 1
+        tail += math.comb(values, most) * p**most * (1 - p) ** (values - most)
+    return most
 
 
 def signatures(docs: DataFrame, threshold: float, words: int = 5) -> DataFrame:
@@ -200,9 +213,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Sets are no candidates if what they may share at most (m) rules the similarity out for their sizes, or if
-        their sketches differ by more than chance allows (one pair in three million at the threshold)."""
+        their sketches differ by more than chance allows (one pair in three million at the threshold; not asked of small sets)."""
         pairs = pairs.where(f"{100 + percent} * least(m_a, m_b) >= {percent} * (n_a + n_b)")
-        return pairs.where(differing("k_a", "k_b", -(-values // 32)) <= most_differing(threshold, values)).select("a", "b").distinct()
+        near = differing("k_a", "k_b", -(-values // 32)) <= most_differing(threshold, values)
+        return pairs.where((F.least("n_a", "n_b") < SMALL_SET) | near).select("a", "b").distinct()
 
     first = entries.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     for side in "ab":

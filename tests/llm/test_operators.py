@@ -1,6 +1,7 @@
 """The text operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -90,6 +91,23 @@ def test_near_duplicates_of_crowded_buckets(spark, monkeypatch, small):
     assert 1 < len(set(root)) < len(texts)
 
 
+@pytest.mark.parametrize("skipped", [True, False])
+def test_sketches_keep_pairs_at_the_threshold(spark, monkeypatch, skipped):
+    """Pairs with a similarity of 0.8 that the low bits of unmixed values told apart, with and without the way round for small sets."""
+    if not skipped:
+        monkeypatch.setattr(neardup, "SMALL_SET", 0)
+    chains = [[f"w{i}x{j}" for j in range(14)] for i in (508, 6443, 15519, 15668, 15703, 17500, 21563)]
+    texts = [" ".join(t) for w in chains for t in (w[:13], w[1:])]
+    got = by_id(neardup.near_duplicates(made(spark, texts), 0.8), "component_id")
+    assert got == {i: (i - i % 2,) for i in range(len(texts))}
+
+
+def test_most_differing():
+    p, most = 0.15, neardup.most_differing(0.8, 420)
+    tail = [sum(math.comb(420, k) * p**k * (1 - p) ** (420 - k) for k in range(m, 421)) for m in (most, most + 1)]
+    assert tail[1] <= 1e-6 / 3 < tail[0]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(40, 50), (50, 45), (60, 60), (40, 50)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
