@@ -20,14 +20,15 @@ BASE = {
 }
 WEAK = {
     "weak_access": (r"""(?i:access_?key(?:_?id)?|client_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,}+)""", [0]),
-    "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*+)(?=[A-Za-z+/_-]{0,64}[0-9])(?=[a-z0-9+/_-]{0,64}[A-Z])(?=[A-Z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}", [0]),
+    "weak_secret": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}", [0]),
     "endpoint": (r"""(?i:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]++|(?i:endpoint|host(?:name)?|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:/-]{4,}+)""", [0]),
 }
 _SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
-#: What each weak part needs in its scope: all groups, one of the kinds of each.
+#: What each weak part needs in its scope: all groups, one of the kinds of each. An access key alone confirms a weak
+#: secret; a word like user does only with an endpoint, as names and long tokens often meet by chance.
 NEEDS = {
     "weak_access": [("assign", "hex", "weak_secret")],
-    "weak_secret": [("access", "weak_access"), ("endpoint",)],
+    "weak_secret": [("access", "weak_access"), ("access", "endpoint")],
     "endpoint": [("access", "weak_access"), ("assign", "hex", "weak_secret")],
 }
 

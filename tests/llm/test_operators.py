@@ -238,6 +238,16 @@ def test_secrets(spark, odd, none):
     assert secrets.find_secrets(odd).count() == odd.count() and secrets.find_secrets(none).count() == 0
 
 
+def test_weak_secrets_in_common_forms(spark):
+    """After '=' without spaces, with a late first digit, capital or small letter, and with an access key but no endpoint."""
+    key, value = "AKIA" + "Q" * 16, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    late = ["aB" * 33 + "7" + "aB" * 20, "a7" * 40 + "B" + "a7", "B7" * 40 + "a" + "B7"]
+    texts = [f"id={key}\naws_secret_access_key={value}\nhttps://db.example.com/x", f"{key} {value}", f"x={value}", f"user: bob {value}", *(f"{key} {v}" for v in late)]
+    got = {i: [s for s in spans.split(",") if s.startswith("weak_secret")] for i, (spans,) in by_id(secrets.find_secrets(made(spark, texts)), "spans").items()}
+    span = lambda t, v: [f"weak_secret:{t.index(v)}:{t.index(v) + len(v)}"]
+    assert got == {0: span(texts[0], value), 1: span(texts[1], value), 2: [], 3: [], **{4 + i: span(texts[4 + i], v) for i, v in enumerate(late)}}
+
+
 def test_many_matches_in_one_text(spark):
     text = "é" + " ".join(f"token={k:06d}" for k in range(3000))
     spans = by_id(secrets.find_secrets(made(spark, [text])), "spans")[0][0].split(",")
