@@ -110,6 +110,15 @@ def stacked(model: PipelineModel, df: DataFrame, scores: list[str]) -> DataFrame
     return model.transform(ready).withColumn("p_stack", probability()).select(*df.columns, "p_stack")
 
 
+def stacked_out_of_fold(df: DataFrame, label: str, scores: list[str], fold: str = "fold", k: int = 5) -> DataFrame:
+    """df with p_stack, each row scored by the stack that was fitted on the other folds."""
+    parts = None
+    for i in range(k):
+        scored = stacked(stack(df.where(F.col(fold) != i), label, scores), df.where(F.col(fold) == i), scores)
+        parts = scored if parts is None else parts.unionByName(scored)
+    return parts
+
+
 def search(df: DataFrame, label: str, numeric: list[str], trials: int = 8, fold: str = "fold", k: int = 3, seed: int = 42) -> list[tuple[dict, float]]:
     """Random settings of the learner and their mean AUC over the folds, best first."""
     import random

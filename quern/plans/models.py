@@ -7,31 +7,41 @@ from pyspark.sql import functions as F
 from quern.operators import models, select, stats
 from quern.plans.registry import query, table
 
-_N = 8
-
 
 def _vectors(spark, sf_dir):
+    """The rows with a column for each value of the vector, as many as the longest has, and the columns' names."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", (F.col("label") % 2).cast("int").alias("y"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(_N)))
+    names = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    values = (F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(names))
+    return e.select("vec_id", (F.col("label") % 2).cast("int").alias("y"), *values), names
+
+
+def _out_of_fold(rows, names):
+    """Every row's scores by the ensemble of the other four folds, kept, as later steps read them several times."""
+    rows = select.stratified_folds(rows, "y", F.col("vec_id")).persist()
+    scored = models.out_of_fold(rows, "y", names, [])
+    return scored.select("vec_id", "fold", "y", "p_deep", "p_shallow", "p_ensemble").persist()
 
 
 @query()
 def gbt_oof(spark, sf_dir):
-    rows = select.stratified_folds(_vectors(spark, sf_dir), "y", F.col("vec_id"), 3)
-    scored = models.out_of_fold(rows, "y", [f"x{i}" for i in range(_N)], [], k=3)
-    return scored.select("vec_id", "fold", "y", "p_deep", "p_shallow", "p_ensemble")
+    return _out_of_fold(*_vectors(spark, sf_dir))
 
 
 @query()
 def isotonic_calibration(spark, sf_dir):
-    rows = select.hold_out(_vectors(spark, sf_dir), "y", F.col("vec_id"), 0.3)
-    raw = rows.withColumn("p", 1 / (1 + F.exp(-F.col("x0"))))
-    _, calibrated = models.isotonic(raw.where("held"), "y", "p")
-    return calibrated(raw.where("not held")).select("vec_id", "y", "p", "calibrated")
+    """Calibration by the held rows, which the model has not seen, of the others' scores, each out of fold."""
+    rows, names = _vectors(spark, sf_dir)
+    rows = select.hold_out(rows, "y", F.col("vec_id"), 0.3).persist()
+    fit, held = rows.where("not held"), rows.where("held")
+    final = models.Ensemble.fit(fit, "y", names, [])
+    _, calibrated = models.isotonic(final.score(held), "y", "p_ensemble")
+    scored = calibrated(_out_of_fold(fit, names))
+    return scored.select("vec_id", "y", F.col("p_ensemble").alias("p"), "calibrated")
 
 
 @query()
 def stacking(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select("vec_id", "y", *((1 / (1 + F.exp(-F.col(f"x{i}")))).alias(f"p{i}") for i in range(2)))
-    model = models.stack(rows, "y", ["p0", "p1"])
-    return stats.evaluate(models.stacked(model, rows, ["p0", "p1"]), "y", "p_stack")
+    """The two learners' out-of-fold scores stacked, each row by the stack of the other folds."""
+    scored = _out_of_fold(*_vectors(spark, sf_dir))
+    return stats.evaluate(models.stacked_out_of_fold(scored, "y", ["p_deep", "p_shallow"]), "y", "p_stack")
