@@ -47,8 +47,8 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.8,
 
     An item is contained if that share of its distinct shingles of width words (lower-cased) occurs in
     the document, wherever and among however much else; an item of fewer words is one shingle of all
-    of them, one without words is contained in nothing. Items are partitioned by size (powers of two):
-    each partition looks for as many of an item's smallest shingle hashes as its smallest sizes need. A
+    of them, one without words is contained in nothing. Items are not
+    partitioned: each looks for as many of its smallest shingle hashes as its own size needs (sketch_size). A
     document that has one of them is a candidate, and the share is then counted on the shingles
     themselves. Null or empty texts contain nothing; repeated rows of a document count as one text
     each, their shingles together; other columns are left out.
@@ -61,9 +61,7 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.8,
     hashed = written(_item_hashes(tests, width), "item_hashes")
     sketches = hashed.groupBy("item_id", "width").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
     size = F.size("hashes")
-    least = F.pow(F.lit(2), F.floor(F.log2(size))).cast("int")
-    most = F.least(size, 2 * least - 1)
-    sketches = sketches.withColumn("looked_for", sketch_size(most, containment))
+    sketches = sketches.withColumn("looked_for", sketch_size(size, containment))
     sketches = sketches.select("item_id", "width", F.explode(F.slice("hashes", F.lit(1), F.least(F.col("looked_for"), size))).alias("hash"))
     sketches = written(sketches, "sketches")
     n = sketches.count()
