@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests on one machine) a
-    temporary folder of this machine takes its place.
+    A cluster names it in spark.checkpoint.dir. Only with a master on this machine, as in tests, a
+    temporary folder may take its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
@@ -35,11 +38,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: later stages read it, lost executors don't lose it."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: later stages read it, lost executors don't lose it.
+
+    batch: rows of an Arrow batch on the way through Python, where a row may hold a very long text.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    with small_batches(spark, batch) if batch else contextlib.nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_work_tables(spark: SparkSession) -> None:
@@ -48,9 +56,16 @@ def remove_work_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, as a row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Arrow batches of few rows for the jobs run inside, as a row may hold a very long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def clean_text(column: str = "text"):

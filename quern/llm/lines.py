@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import clean_text, small_batches, text_bytes, written
+from quern.llm.common import clean_text, text_bytes, written
 
 LEAST_WORDS = 50
 
@@ -30,7 +30,6 @@ def _line_rows(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "line", "key", "words"],
                 )
 
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", clean_text()).mapInArrow(run, f"doc_id {kind}, line int, key binary, words int")
 
@@ -61,7 +60,7 @@ def live_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     numbers them by doc_id, then line; at is a line's place in its stretch, left how many lines the
     stretch has from it on.
     """
-    lines = written(_line_rows(docs.where("doc_id is not null")), "lines")
+    lines = written(_line_rows(docs.where("doc_id is not null")), "lines", 500)
     twice = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     repeated = lines.join(written(twice, "repeated"), "key").groupBy("doc_id", "line").agg(F.min(F.struct("key", "words")).alias("x"))
     repeated = written(repeated.select("doc_id", "line", "x.*"), "repeated_lines")
@@ -257,7 +256,21 @@ def copied_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = runs.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, cuts array<struct<first:int,last:int>>")
-    return written(found.groupBy("doc_id").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "cuts")
+    return written(found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("cuts"))).alias("cuts")), "cuts", 500)
+
+
+def cut_texts(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """row (all columns of docs), text and removed (number of lines) after drop_repeated_lines."""
+    cuts = copied_lines(docs, least_words).withColumnRenamed("doc_id", "of")
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(cuts.hint("merge"), F.col("row")["doc_id"] == F.col("of"), "left")
+    text, lines, n = F.col("row")["text"], F.split(F.col("row")["text"], "\n"), F.size("cuts")
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1)["last"] + 1)
+    end = lambda i: F.when(i == n, F.size(lines)).otherwise(F.get("cuts", i)["first"])
+    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(lines, begin(i) + 1, F.greatest(end(i) - begin(i), F.lit(0))))
+    removed = F.aggregate("cuts", F.lit(0), lambda total, c: total + c["last"] - c["first"] + 1)
+    whole = F.col("cuts").isNull()
+    return joined.select("row", F.when(whole, text).otherwise(F.array_join(F.flatten(kept), "\n")).alias("text"), F.when(whole, F.lit(0)).otherwise(removed).alias("removed"))
 
 
 def drop_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -268,15 +281,8 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> Data
     whose lines also occur in order at an earlier place (smaller doc_id, then line) is deleted, with
     wordless lines inside. Lines are equal if their bytes are (128-bit fingerprints). Null and empty
     texts and rows without doc_id stay as they are. doc_id is meant to be unique: rows that repeat it
-    count as one text and get the same cuts. A column named lines_removed is replaced.
+    count as one text and get the same cuts. A column named lines_removed is replaced, all others keep
+    their values whatever they are called.
     """
-    cuts = copied_lines(docs, least_words)
-    inside = lambda i: F.exists("cuts", lambda c: (c["first"] <= i) & (i <= c["last"]))
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: ~inside(i))
-    joined = docs.drop("lines_removed", "cuts").join(cuts.hint("merge"), "doc_id", "left")
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.aggregate("cuts", F.lit(0), lambda n, c: n + c["last"] - c["first"] + 1)
-    columns = [c for c in docs.columns if c not in ("lines_removed", "cuts")]
-    done = joined.withColumns({"text": text, "lines_removed": F.coalesce(removed, F.lit(0))})
-    return done.select(*(F.col(f"`{c}`") for c in columns), "lines_removed")
+    columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "lines_removed"]
+    return cut_texts(docs, least_words).select(*columns, F.col("removed").alias("lines_removed"))

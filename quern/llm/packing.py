@@ -9,18 +9,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import clean_text, small_batches, text_bytes, written
+from quern.llm.common import clean_text, text_bytes, written
 from quern.llm.tokens import default_tokenizer, word_tokenizer
 
 CAPACITY = 4096
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+PIECES = "piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
     """One row for each piece of at most capacity ids of each document; end_id closes a document.
 
-    A null or empty text is the end id alone. Repeated rows are documents of their own. Other columns
-    are left out. part and nth number the pieces of a length within the task that made them.
+    A null or empty text is the end id alone. Repeated rows are documents of their own, doc_id may be
+    null and of any type. Other columns are left out. part and nth number the pieces of a length within the task that made them.
     """
     path = tokenizer or default_tokenizer()
 
@@ -39,12 +39,12 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
                     rows.append((doc, piece, start, len(cut), zlib.crc32(cut), part, seen[len(cut)]))
                     seen[len(cut)] += 1
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                kinds = (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 arrays = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECES.split(", ")])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(x.split()[0] for x in PIECES.split(", "))])
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", clean_text()).mapInArrow(run, PIECES)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", clean_text()).mapInArrow(run, f"doc_id {kind}, {PIECES}")
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -152,6 +152,6 @@ def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | No
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. See token_pieces and pack.
     """
-    pieces = written(token_pieces(docs, capacity, tokenizer, end_id), "pieces")
+    pieces = written(token_pieces(docs, capacity, tokenizer, end_id), "pieces", 500)
     packed = pack(pieces, capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

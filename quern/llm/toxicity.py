@@ -7,8 +7,9 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from quern.llm.common import _BYTE, _LOWER, _power_tables, blocks, clean_text, mix, small_batches, text_bytes, written
+from quern.llm.common import _BYTE, _LOWER, _power_tables, blocks, clean_text, mix, text_bytes, written
 
 PREFIX = 5
 THRESHOLD = 0.3
@@ -152,14 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, prior: floa
     least_z or more stay. All other tokens together have the log-odds of what is left of either side.
     No labels, or labels of one kind: no token, and every text gets the same low score.
     """
-    small_batches(docs.sparkSession)
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").where(~F.coalesce(held_out(), F.lit(False)))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = chosen.count()
     if n > most_rows:
         chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(1e6 * most_rows / n))
     training = written(docs.select("doc_id", clean_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "training")
-    counts = written(_counts(training), "token_counts")
+    counts = written(_counts(training), "token_counts", 500)
     n1, n0, size = counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first()
     if not n1 or not n0:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -0.01, 1.0, (-3.0, 0.0))
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, prior: floa
             scores = pa.array([[s for _, _, s in x] for _, x in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), scores], names=["toxic", "n", "scores"])
 
-    seen = written(training.mapInArrow(best, "toxic int, n long, scores array<double>"), "training_scores")
+    seen = written(training.mapInArrow(best, "toxic int, n long, scores array<double>"), "training_scores", 500)
     top = F.coalesce(F.array_max("scores"), F.lit(0.0))
     k = seen.where("toxic = 0 and n > 0").agg(F.count("*") / F.sum(F.col("n") * F.exp(-top))).first()[0]
     model.k = float(k or 1.0)
@@ -199,11 +199,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """docs with score (0 to 1) and passages (first and last word and excess score of each significant segment).
 
     keep: the columns to carry along, all by default; text is read whole, null as empty. A column named
-    score or passages is replaced.
+    score or passages is replaced; whoever needs theirs carries all columns as one struct.
     """
     keep = [c for c in (keep or docs.columns) if c not in ("score", "passages")]
-    small_batches(docs.sparkSession)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    passage = ArrayType(StructType().add("first", "long").add("last", "long").add("score", "double"))
+    schema = StructType([docs.schema[c] for c in keep]).add("score", "double").add("passages", passage)
 
     def run(batches):
         import pyarrow as pa
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array(passages, kind)], names=[*keep, "score", "passages"])
 
     source = docs.select(*(F.col(f"`{c}`") for c in keep), clean_text().alias("_scored"))
-    return source.mapInArrow(run, f"{fields}, score double, passages array<struct<first:long,last:long,score:double>>")
+    return written(source.mapInArrow(run, schema), "scored", 500)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh_path, small_batches, written
+from quern.llm.common import fresh_path, written
 
 #: Payloads of fewer bytes are always stored anew.
 LEAST_REVISIT = 1000
@@ -142,11 +142,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    small_batches(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    captures = written(files.mapInArrow(run, CAPTURES), "runs")
-    small_batches(spark)
-    return captures
+    return written(files.mapInArrow(run, CAPTURES), "runs", 1)
 
 
 def capture_order(row: tuple):
