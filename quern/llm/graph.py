@@ -35,3 +35,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def united(linked: DataFrame, found: DataFrame) -> DataFrame:
+    """linked (node, component, as components gives) after further edges found (a, b).
+
+    The new edges are drawn between the components there are, so the rounds follow the new links only.
+    """
+    edges = found
+    for side in "ab":
+        of = linked.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        edges = edges.join(of, side, "left").withColumn(side, F.coalesce(f"c_{side}", side)).drop(f"c_{side}")
+    fresh = written(components(edges.distinct()), "united")
+    moved = linked.join(fresh.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    moved = moved.select("node", F.coalesce("to", "component").alias("component"))
+    return written(moved.union(fresh.join(linked, "node", "left_anti")), "components")

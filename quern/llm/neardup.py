@@ -5,21 +5,23 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from quern.llm.common import clean_text, shingle_sets, small_batches, text_bytes, written
-from quern.llm.graph import components
+from quern.llm.common import clean_text, shingle_sets, text_bytes, written
+from quern.llm.graph import components, united
 
 ROWS = 7
-#: Buckets of at least this many members are searched from leaders if their pairs outgrow the input.
+#: Buckets of more members are dealt anew by their rarest shingles before their members meet.
 SMALL_BUCKET = 24
-#: Comparisons of sizes (not of sets) a class that searching all pairs of buckets may take; constant, so in all they follow the input.
-PAIRS_A_CLASS = 200
-#: Leaders of a bucket in the first such round; each round doubles them.
-LEADERS = 8
-#: Pairs with a set of fewer shingles are confirmed whatever their sketches say; that costs little.
-SMALL_SET = 64
+#: Leaders of a bucket in the first round that searches it; each round has four times as many.
+LEADERS = 16
+#: Members of a bucket that one task compares with its leaders.
+SHARE = 512
+#: A profile counts shingles in so many groups, each up to 8: a bit for each.
+GROUPS = 128
+_NUMBERS = GROUPS * 8 // 64
 
 
 def bands_needed(threshold: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -45,41 +47,27 @@ def min_max_signature(fingerprints: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return np.concatenate([low, high])
 
 
-def sketch_of(signature: np.ndarray) -> np.ndarray:
-    """Two bits of each value of a signature after mixing all of it, 32 values a number.
+def profile(fingerprints: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many shingles fall into each of GROUPS groups, as that many set bits of 8 each, and how many exceed 8.
 
-    The low bits of a x + b themselves agree for values that agree in their low bits whatever a and b
-    are, so over the permutations of a pair they are not independent.
+    Two sets share at most the smaller count of each group, which is the number of bits set in both,
+    and at most the smaller excess besides. So profiles bound what two sets have in common, exactly.
     """
-    h = signature ^ (signature >> np.uint32(16))
-    h = h * np.uint32(0x85EBCA6B)
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    low = ((h ^ (h >> np.uint32(16))) & np.uint32(3)).astype(np.uint64)
-    low = np.pad(low, (0, -len(low) % 32)).reshape(-1, 32)
-    return (low << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def differing(a: str, b: str, numbers: int) -> Column:
-    """In how many values two sketches differ."""
-    total = F.lit(0)
-    for i in range(numbers):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return total
+    counts = np.bincount((fingerprints & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    bits = np.packbits(counts[:, None] > np.arange(8), bitorder="little")
+    return bits.view(np.int64), int(np.maximum(counts - 8, 0).sum())
 
 
-def most_differing(threshold: float, values: int, miss: float = 1e-6 / 3) -> int:
-    """How many of so many values two bits of each may differ, which sets at the threshold exceed with a probability of miss at most."""
-    p = (1 - threshold) * 3 / 4
-    most, tail = values, p**values
-    while tail <= miss and most:
-        most -= 1
-        tail += math.comb(values, most) * p**most * (1 - p) ** (values - most)
-    return most
+def most_common() -> Column:
+    """The bound of two profiles (k_a, k_b: bits; o_a, o_b: excess) on what the sets share."""
+    total = F.least("o_a", "o_b").cast("int")
+    for i in range(_NUMBERS):
+        total = total + F.bit_count(F.get("k_a", F.lit(i)).bitwiseAND(F.get("k_b", F.lit(i))))
+    return total
 
 
 def signatures(docs: DataFrame, threshold: float, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (fingerprint of the whole set, null if it is empty), bands, sketch."""
+    """doc_id, n, set_key (fingerprint of the whole set, null if it is empty), bands, k and o (profile)."""
     n_bands = bands_needed(threshold)
     a, b = _permutations(n_bands * ROWS // 2)
     weights = np.random.default_rng(4104).integers(1, 2**63, (n_bands, ROWS), dtype=np.uint64) | np.uint64(1)
@@ -89,27 +77,26 @@ def signatures(docs: DataFrame, threshold: float, words: int = 5) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            sizes, keys, bands, sketches = [], [], [], []
+            sizes, keys, bands, bits, excess = [], [], [], [], []
             for s in shingle_sets(text_bytes(batch.column(1)), words):
                 sizes.append(len(s))
                 if not len(s):
-                    keys.append(None)
-                    bands.append(None)
-                    sketches.append(None)
+                    for column in (keys, bands, bits, excess):
+                        column.append(None)
                     continue
                 keys.append(xxhash.xxh3_128_digest(s))
-                signature = min_max_signature(s, a, b)
-                sketches.append(sketch_of(signature))
-                rows = signature.reshape(n_bands, ROWS).astype(np.uint64)
+                rows = min_max_signature(s, a, b).reshape(n_bands, ROWS).astype(np.uint64)
                 h = (rows * weights).sum(axis=1, dtype=np.uint64)
                 bands.append((h ^ (h >> np.uint64(29))).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
-            )
+                k, o = profile(s)
+                bits.append(k)
+                excess.append(o)
+            many = pa.list_(pa.int64())
+            columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, many), pa.array(bits, many), pa.array(excess, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "set_key", "bands", "k", "o"])
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", clean_text()).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", clean_text()).mapInArrow(run, f"doc_id {kind}, n long, set_key binary, bands array<long>, k array<long>, o long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -123,14 +110,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
 
         for batch in batches:
             keep, last, mine = [], None, None
-            for key, s, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(2)), shingle_sets(text_bytes(batch.column(3)), words)):
-                if key != last:
-                    last, mine = key, next(shingle_sets([s], words))
+            for s, t in zip(text_bytes(batch.column(2)), shingle_sets(text_bytes(batch.column(3)), words)):
+                if s != last:
+                    last, mine = s, next(shingle_sets([s], words))
                 same = len(np.intersect1d(mine, t, assume_unique=True))
                 keep.append(100 * same >= percent * (len(mine) + len(t) - same) and same > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _mixed(entries: DataFrame, linked: DataFrame) -> DataFrame:
@@ -140,44 +128,50 @@ def _mixed(entries: DataFrame, linked: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("bucket", "members"), "bucket")
 
 
-def _prefixes(texts: DataFrame, large: DataFrame, threshold: float, words: int) -> DataFrame:
-    """bucket, rep, n, m: the rarest shingles of the members of large buckets, as buckets of their own.
+def _dealt_anew(texts: DataFrame, large: DataFrame, threshold: float, words: int, kind: DataType) -> DataFrame:
+    """bucket, rep, n, m, k, o: the rarest shingles of the members (rep) of large buckets, as buckets of their own.
 
     Sets of which one has n shingles and that share the threshold's part of it have one in common
     among the n - ceil(threshold n) + 1 shingles of each that come first in one order of all. With
     the rarest among these members first, a passage that all of them share comes last, and members
     with enough shingles of their own have no partner at all. So no pair is lost and none is made
-    because of the passage. m is how many shingles of rep any other member has.
+    because of the passage. m is how many shingles of rep any other member has, k and o their profile.
     """
     percent = round(threshold * 100)
+    name = kind.simpleString()
 
-    def run(batches):
+    def shingles(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for rep, s in zip(batch.column(0).to_pylist(), shingle_sets(text_bytes(batch.column(1)), words)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep, np.int64)), pa.array(s.view(np.int64))], names=["rep", "bucket"])
+            for i, s in enumerate(shingle_sets(text_bytes(batch.column(1)), words)):
+                size = pa.array(np.full(len(s), len(s)), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(s), i))), size, pa.array(s.view(np.int64))], names=["rep", "n", "bucket"])
 
     members = texts.join(large.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = written(members.mapInArrow(run, "rep long, bucket long"), "shingles")
+    rows = written(members.mapInArrow(shingles, f"rep {name}, n long, bucket long"), "shingles", 500)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
-    rows = rows.join(written(shared, "frequencies"), "bucket").join(large, "rep")
-    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
-    m = F.count("*").over(Window.partitionBy("rep"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "bucket"))
-    return rows.withColumns({"m": m, "place": place, "most": first - (F.col("n") - m)}).where("place <= most").select("bucket", "rep", "n", "m")
-
-
-def _pairwise_size(left: DataFrame, most: int) -> int:
-    """The largest bucket size up to which all pairs of all buckets together are at most most, SMALL_BUCKET at least."""
-    sizes = left.groupBy("members").count().collect()  # a row for each size there is
-    size, pairs = SMALL_BUCKET, 0
-    for r in sorted(sizes, key=lambda r: r["members"]):
-        pairs += r["count"] * (r["members"] - 1) // 2
-        if pairs > most:
-            break
-        size = max(size, r["members"])
-    return size
+    mine = rows.join(written(shared, "frequencies"), "bucket").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "bucket")).alias("x"))
+
+    def first(batches):
+        import pyarrow as pa
+
+        many = pa.list_(pa.int64())
+        for batch in batches:
+            buckets, m, bits, excess = [], [], [], []
+            for n, x in zip(batch.column(1).to_pylist(), batch.column(2)):
+                df, s = (x.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                most = n - -(-n * percent // 100) + 1 - (n - len(s))  # what others don't have comes first and makes no bucket
+                buckets.append(s[np.lexsort((s, df))[: max(0, most)]])
+                m.append(len(s))
+                k, o = profile(s.view(np.uint64))
+                bits.append(k)
+                excess.append(o)
+            columns = [pa.array(m, pa.int64()), pa.array(bits, many), pa.array(excess, pa.int64()), pa.array(buckets, many)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["rep", "n", "m", "k", "o", "buckets"])
+
+    dealt = mine.mapInArrow(first, f"rep {name}, n long, m long, k array<long>, o long, buckets array<long>")
+    return dealt.select(F.explode("buckets").alias("bucket"), "rep", "n", "m", "k", "o")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
@@ -186,81 +180,80 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     Documents are linked if the Jaccard similarity of their sets of word shingles reaches threshold
     (whole percents); component_id is the smallest doc_id reachable by links, kept is whether that is
     the document itself. Texts with equal sets form one class, which its smallest doc_id stands for.
-    A null or empty text, or one without words, has an empty set and stays alone. doc_id is unique;
-    other columns are left out.
-
-    Candidates share a band of the min-max signature. A bucket's members are first compared with its
-    smallest member. Buckets whose members that leaves in several components are searched again: small
-    ones by all pairs of different components. The members of the largest are dealt anew by their
-    rarest shingles (see _prefixes). Large ones are searched from leaders, the members with the most
-    links so far, twice as many each round, which unites most of what belongs together; after two
-    rounds by all pairs of different components if those stay in proportion to the documents. Copies
-    by the thousand so cost a few comparisons each, not a pair each, and no bucket is capped: a leader
-    leaves a bucket only once it was compared with all of it.
+    A null or empty text, or one without words, has an empty set and stays alone. doc_id may be of any
+    type with an order; rows that repeat one are judged by their own text each. A row without doc_id
+    belongs to the class of its text if a row with one has that too, else it stays alone and is kept.
+    Other columns are left out.
+
+    Candidates share a band of the min-max signature; a pair at the threshold is missed by all bands
+    with a probability of at most one in a million, and nothing later loses any. A bucket's members
+    are first compared with its smallest member. Buckets that this leaves in several components are
+    searched again: those of more than SMALL_BUCKET members are dealt anew by their rarest shingles
+    (see _dealt_anew); then all are searched from leaders, the members with the most links so far, four
+    times as many each round, until a bucket is of one component or all its members have led. Members
+    of a large bucket are dealt over tasks, each with the bucket's leaders. Copies by the thousand so
+    cost a few comparisons each, not a pair each. Before texts are read, pairs are ruled out by their
+    sizes and by their profiles (see profile), which bound what they share exactly.
     """
-    small_batches(docs.sparkSession)
-    all_docs = written(signatures(docs, threshold, words), "signatures")
-    classes = all_docs.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")
-    )
-    classes = written(classes, "classes")
-    entries = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    kind = docs.schema["doc_id"].dataType
+    all_docs = written(signatures(docs, threshold, words), "signatures", 500)
+    one = F.min(F.struct("doc_id", "n", "bands", "k", "o")).alias("x")
+    classes = all_docs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(one)
+    classes = written(classes.select("set_key", F.col("x.doc_id").alias("rep"), "x.n", "x.bands", "x.k", "x.o"), "classes")
+    entries = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
-    shared = written(shared, "shared")
-    entries = written(entries.join(shared, "bucket"), "entries")
-
-    percent, values = round(threshold * 100), bands_needed(threshold) * ROWS
+    entries = written(entries.join(written(shared, "shared"), "bucket"), "entries")
+    percent = round(threshold * 100)
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Sets are no candidates if what they may share at most (m) rules the similarity out for their sizes, or if
-        their sketches differ by more than chance allows (one pair in three million at the threshold; not asked of small sets)."""
-        pairs = pairs.where(f"{100 + percent} * least(m_a, m_b) >= {percent} * (n_a + n_b)")
-        near = differing("k_a", "k_b", -(-values // 32)) <= most_differing(threshold, values)
-        return pairs.where((F.least("n_a", "n_b") < SMALL_SET) | near).select("a", "b").distinct()
+        """Pairs whose sizes n and whose shingles that others have (m of them, profile k and o) allow the similarity."""
+        enough = lambda most: (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+        return pairs.where(enough(F.least("m_a", "m_b")) & enough(most_common()))
+
+    def side(df: DataFrame, x: str, *more) -> DataFrame:
+        return df.select(*more, F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "m", "k", "o")))
 
+    whole = classes.select("rep", "n", F.col("n").alias("m"), "k", "o")
     first = entries.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    for side in "ab":
-        first = first.join(classes.select(F.col("rep").alias(side), *(F.col(c).alias(f"{x}_{side}") for x, c in (("n", "n"), ("m", "n"), ("k", "sketch")))), side)
-    tested = written(alike(first), "candidates")
+    first = alike(first.join(side(whole, "a"), "a").join(side(whole, "b"), "b"))
+    tested = written(first.select("a", "b"), "candidates")
     members = entries.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", clean_text().alias("text")).join(members.hint("merge"), "doc_id", "left_semi"), "texts")
-    links = written(_confirmed(tested, texts, threshold, words), "links")
+    texts = docs.select("doc_id", clean_text().alias("text")).join(members.hint("merge"), "doc_id", "left_semi")
+    texts = written(texts, "texts")
+    links = written(_confirmed(tested, texts, threshold, words), "links", 500)
     linked = written(components(links), "components")
-    linear, leaders_each = PAIRS_A_CLASS * classes.count() + 100_000, LEADERS
-    left = written(_mixed(entries.where("rep <> leader").select("bucket", "rep", "n", F.col("n").alias("m")), linked), "mixed")
-    small = _pairwise_size(left, linear // 16)
-    entries = left.where(f"members <= {small}").select("bucket", "rep", "n", "m")
-    large = left.where(f"members > {small}").select("rep", "n").distinct()
+    left = written(_mixed(entries.where("rep <> leader").select("bucket", "rep"), linked), "mixed")
+    large = written(left.where(f"members > {SMALL_BUCKET}").select("rep").distinct(), "large")
+    entries = left.where(f"members <= {SMALL_BUCKET}").select("bucket", "rep").join(whole, "rep").select("bucket", "rep", "n", "m", "k", "o")
     if not large.isEmpty():
-        entries = entries.union(written(_prefixes(texts, written(large, "large"), threshold, words), "prefixes"))
-    entries = entries.join(classes.select("rep", "sketch"), "rep").select("bucket", "rep", "n", "m", "sketch")
+        entries = entries.union(_dealt_anew(texts, large, threshold, words, kind))
+    entries, leaders_each = written(entries, "dealt", 500), LEADERS
     while True:
         left = written(_mixed(entries, linked), "mixed")
         if left.isEmpty():
             break
-        small = _pairwise_size(left, linear) if leaders_each > 2 * LEADERS else SMALL_BUCKET
-        few, many = left.where(f"members <= {small}"), left.where(f"members > {small}")
         degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        salt = F.pmod(F.xxhash64("rep", "bucket"), F.lit(leaders_each))
-        hubs = many.join(degrees, "rep", "left").groupBy("bucket", salt.alias("salt"))
-        leaders = hubs.agg(F.min_by(F.struct("rep", "n", "m", "sketch", "component"), F.struct(-F.coalesce("degree", F.lit(0)), "rep")).alias("x"))
-        leaders = written(leaders.select("bucket", "x.*"), "leaders")
-        one = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("sketch").alias("k_a"), F.col("component").alias("c_a"), F.lit(False).alias("leads"))
-        one = one.union(leaders.select("bucket", "rep", "n", "m", "sketch", "component", F.lit(True)))
-        other = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("sketch").alias("k_b"), F.col("component").alias("c_b"))
-        pairs = one.join(other, "bucket").where("(leads or a < b) and c_a <> c_b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "m_a", "m_b", "k_a", "k_b")
-        pairs = written(alike(pairs).join(tested, ["a", "b"], "left_anti"), "candidates")
+        salt = F.when(F.col("members") <= SMALL_BUCKET, F.xxhash64("rep")).otherwise(F.pmod(F.xxhash64("rep", "bucket"), F.lit(leaders_each)))
+        ranked = left.join(degrees, "rep", "left").groupBy("bucket", "members", salt.alias("salt"))
+        leaders = ranked.agg(F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("order"), "rep", "n", "m", "k", "o", "component")).alias("x"))
+        leaders = written(leaders.select("bucket", "members", "x.*"), "leaders")
+        shares = F.ceil(F.col("members") / SHARE).cast("int")
+        ahead = leaders.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+        behind = left.withColumn("share", F.pmod(F.xxhash64("rep"), shares).cast("int"))
+        ahead, behind = (side(df, x, "bucket", "share", F.col("component").alias(f"c_{x}")) for df, x in ((ahead, "a"), (behind, "b")))
+        pairs = alike(ahead.join(behind, ["bucket", "share"]).where("c_a <> c_b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         if not pairs.isEmpty():
-            found = written(_confirmed(pairs, texts, threshold, words), "links")
+            found = written(_confirmed(pairs, texts, threshold, words), "links", 500)
             if not found.isEmpty():
                 links = links.union(found)
-                linked = written(components(links), "components")
+                linked = united(linked, found)
             tested = tested.union(pairs)
-        entries = many.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n", "m", "sketch")
-        leaders_each *= 2
+        entries = left.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n", "m", "k", "o")
+        leaders_each *= 4
     groups = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     groups = written(groups.select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
-    result = all_docs.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
+    result = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(groups, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
