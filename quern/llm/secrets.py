@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import clean_text, written
@@ -19,7 +22,7 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}+", [0]),
 }
 WEAK = {
-    "weak_access": (r"""(?i:access_?key(?:_?id)?|client_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,}+)""", [0]),
+    "weak_access": (r"""(?<!(?i:secret)[_-]?)(?i:access_?key(?:_?id)?|client_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,}+)""", [0]),
     "weak_secret": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}", [0]),
     "endpoint": (r"""(?i:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]++|(?i:endpoint|host(?:name)?|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:/-]{4,}+)""", [0]),
 }
@@ -36,26 +39,28 @@ NEEDS = {
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts (row, kind, start, end) with complementary parts within scope code points.
 
-    Interval join on the starts: each part falls into a bucket of scope code points; a bucket's first
-    and last start of each kind, computed before the exchange, are sent to the bucket and its two
-    neighbours, and a part meets these few rows. Within a bucket every start is near enough; from a
-    neighbour the nearest one decides. So no pairs of parts are made, however many a text has.
+    Interval join by a sweep over a text's parts in either direction: each weak part meets, of every
+    kind, the nearest part that ends before it and the nearest that begins behind it. The parts of a
+    kind don't overlap, so if any of them lies apart from the weak part and within scope of it, one of
+    these two does. A part that overlaps the weak part complements nothing: it may be the same value.
+    No pairs of parts are made, however many a text has.
     """
-    parts = parts.withColumn("bucket", F.floor(F.col("start") / scope))
-    ends = parts.groupBy("row", "bucket", "kind").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    ends = ends.select("row", "kind", "first", "last", F.explode(F.array(*(F.struct((F.col("bucket") + d).alias("bucket"), F.lit(d).alias("from")) for d in (-1, 0, 1)))).alias("x"))
-    near = ends.select("row", "x.bucket", F.col("kind").alias("other"), "x.from", "first", "last")
-    weak = parts.where(F.col("kind").isin(*WEAK))
-    met = weak.join(near, ["row", "bucket"]).where("kind <> other")
-    inside = (F.col("from") == 0) | (F.col("from") == 1) & (F.col("start") - F.col("last") <= scope) | (F.col("from") == -1) & (F.col("first") - F.col("start") <= scope)
-    kinds = met.where(inside).groupBy("row", "kind", "start", "end").agg(F.collect_set("other").alias("others"))
-    enough = F.lit(False)
-    for kind, needs in NEEDS.items():
-        all_of = F.lit(True)
-        for group in needs:
-            all_of = all_of & F.arrays_overlap("others", F.array(*map(F.lit, group)))
-        enough = enough | (F.col("kind") == kind) & all_of
-    return kinds.where(enough).select("row", "kind", "start", "end")
+    kinds, weak = [*BASE, *WEAK], F.col("kind").isin(*WEAK)
+
+    def swept(ask: str, answer: str, order, nearest, side: str) -> DataFrame:
+        event = lambda asks, place: F.struct(F.lit(asks).alias("asks"), F.col(place).alias("place"))
+        events = F.when(weak, F.array(event(False, answer), event(True, ask))).otherwise(F.array(event(False, answer)))
+        rows = parts.select("*", F.explode(events).alias("event")).select("*", "event.*")
+        so_far = Window.partitionBy("row").orderBy(order("place"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = [nearest(F.when(~F.col("asks") & (F.col("kind") == k), F.col(answer))).over(so_far).alias(f"{side}_{k}") for k in kinds]
+        return rows.select("row", "kind", "start", "end", "asks", *found).where("asks").drop("asks")
+
+    before, behind = swept("start", "end", F.asc, F.max, "left"), swept("end", "start", F.desc, F.min, "right")
+    met = before.join(behind, ["row", "kind", "start", "end"])
+    there = {k: F.coalesce((F.col("start") - F.col(f"left_{k}") <= scope) | (F.col(f"right_{k}") - F.col("end") <= scope), F.lit(False)) for k in kinds}
+    one_of = lambda group: reduce(or_, (there[k] for k in group))
+    enough = [(F.col("kind") == kind) & reduce(and_, map(one_of, needs)) for kind, needs in NEEDS.items()]
+    return met.where(reduce(or_, enough)).select("row", "kind", "start", "end")
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -65,7 +70,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     or more, runs of 24 or more hexadecimal digits; leftmost, not overlapping within a kind, and a
     match that fails is dropped without another try. The base spans stay; weak access identifiers,
     weak secrets and endpoints are added where linked_parts confirms them. Null and empty texts have
-    no span. Repeated rows each keep their result; other columns are left out.
+    no span. doc_id may be null and of any type. Repeated rows each keep their result; other columns are left out.
     """
     texts = docs.select("doc_id", clean_text().alias("text"))
     found = add_matches(texts, "text", {**BASE, **WEAK})
