@@ -42,44 +42,53 @@ def sketch_size(n: Column, containment: float, miss: float = 1e-6) -> Column:
     return F.least(sure, F.lit(enough)).cast("int")
 
 
+def item_sketches(tests: DataFrame, width: int, containment: float) -> DataFrame:
+    """part, item_id, hash: the smallest shingle hashes of each item (item_id, width, words).
+
+    Items are partitioned by the number of their shingles, in powers of two (part). A partition's
+    sketches are as long as its largest item needs (sketch_size).
+    """
+    by_width = [F.when(F.col("width") == w, _hashed("words", w)) for w in range(1, width + 1)]
+    hashed = tests.groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(*by_width))))).alias("hashes"))
+    part = F.floor(F.log2(F.size("hashes") + F.lit(0.5))).cast("int")
+    largest = F.lit(2.0) ** (F.col("part") + 1) - 1
+    length = F.least(F.size("hashes"), sketch_size(largest, containment))
+    return hashed.withColumn("part", part).select("part", "item_id", F.explode(F.slice("hashes", F.lit(1), length)).alias("hash"))
+
+
 def benchmark_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.8, width: int = 5) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment for each document that contains an item.
 
     An item is contained if that share of its distinct shingles of width words (lower-cased) occurs in
     the document, wherever and among however much else; an item of fewer words is one shingle of all
-    of them, one without words is contained in nothing. Items are not
-    partitioned: each looks for as many of its smallest shingle hashes as its own size needs (sketch_size). A
-    document that has one of them is a candidate, and the share is then counted on the shingles
-    themselves. Null or empty texts contain nothing; repeated rows of a document count as one text
-    each, their shingles together; other columns are left out.
+    of them, one without words is contained in nothing.
+
+    Items are partitioned by size and each partition has MinHash sketches of its own length, the
+    smallest shingle hashes of its items (item_sketches). A document's sketch is those of its shingle
+    hashes that don't exceed the largest one looked for, so a long document meets the sketches
+    with few of its shingles. One hash in common makes a candidate, whose share is then counted on the
+    shingles themselves. Null or empty texts contain nothing. Rows that repeat a doc_id or an item_id
+    count as one text, their shingles together; rows without one are left out, as are other columns.
     """
-    tests = items.select("item_id", words_of(clean_text()).alias("words")).where("size(words) > 0")
+    tests = items.where("item_id is not null").select("item_id", words_of(clean_text()).alias("words")).where("size(words) > 0")
     tests = tests.select("item_id", F.least(F.size("words"), F.lit(width)).alias("width"), "words")
     parts = tests.select("item_id", "width", F.explode(F.array_distinct(_strings("words", F.col("width")))).alias("shingle"))
     parts = parts.distinct()
     sized = written(parts.join(parts.groupBy("item_id").agg(F.count("*").alias("n_item")), "item_id"), "items")
-    hashed = written(_item_hashes(tests, width), "item_hashes")
-    sketches = hashed.groupBy("item_id", "width").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
-    size = F.size("hashes")
-    sketches = sketches.withColumn("looked_for", sketch_size(size, containment))
-    sketches = sketches.select("item_id", "width", F.explode(F.slice("hashes", F.lit(1), F.least(F.col("looked_for"), size))).alias("hash"))
-    sketches = written(sketches, "sketches")
-    n = sketches.count()
-    texts = docs.select("doc_id", clean_text().alias("text"))
-    words = texts.select("doc_id", words_of(F.col("text")).alias("words"))
-    found = None
-    for row in sorted(r["width"] for r in sketches.select("width").distinct().collect()):
-        mine = sketches.where(F.col("width") == row).select("hash", "item_id")
-        rows = words.select("doc_id", F.explode(_hashed("words", row)).alias("hash"))
-        met = rows.join(F.broadcast(mine) if n <= MOST_BROADCAST else mine, "hash").select("doc_id", "item_id")
-        found = met if found is None else found.union(met)
+    sketches = written(item_sketches(tests, width, containment), "sketches")
+    n, largest = sketches.agg(F.count("*"), F.max("hash")).first()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long, containment double"
-    if found is None:
+    if not n:
         return docs.sparkSession.createDataFrame([], schema)
+    widths = sorted(r["width"] for r in sized.select("width").distinct().collect())
+    words = docs.where("doc_id is not null").select("doc_id", words_of(clean_text()).alias("words"))
+    hashes = F.explode(F.concat(*(_hashed("words", w) for w in widths)) if len(widths) > 1 else _hashed("words", widths[0]))
+    rows = words.select("doc_id", hashes.alias("hash")).where(F.col("hash") <= largest)
+    mine = sketches.select("hash", "item_id")
+    found = rows.join(F.broadcast(mine) if n <= MOST_BROADCAST else mine, "hash").select("doc_id", "item_id")
     candidates = written(found.distinct(), "candidates")
     near = words.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    widths = sized.groupBy("item_id").agg(F.first("width").alias("width"))
-    asked = candidates.join(widths, "item_id").select("doc_id", "width").distinct()
+    asked = candidates.join(sized.select("item_id", "width").distinct(), "item_id").select("doc_id", "width").distinct()
     mine = near.join(asked, "doc_id").select("doc_id", "width", F.explode(F.array_distinct(_strings("words", F.col("width")))).alias("shingle"))
     mine = mine.join(sized.select("width", "shingle").distinct(), ["width", "shingle"], "left_semi").distinct()
     both = mine.join(sized, ["width", "shingle"]).join(candidates, ["doc_id", "item_id"], "left_semi")
@@ -88,14 +97,6 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.8,
     return counted.where(F.col("n_shared") >= F.lit(containment) * F.col("n_item") - 1e-9).withColumn("containment", share)
 
 
-def _item_hashes(tests: DataFrame, width: int) -> DataFrame:
-    by_width = None
-    for w in range(1, width + 1):
-        rows = tests.where(F.col("width") == w).select("item_id", "width", F.explode(_hashed("words", w)).alias("hash"))
-        by_width = rows if by_width is None else by_width.union(rows)
-    return by_width
-
-
 DECONTAMINATION_SQL = r"""
     WITH w AS (
         SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents
