@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, line runs, near duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is stored as Parquet and read again
-as the next stage's docs. All but the last return the columns of documents. Decisions that may concern
+as the next stage's docs. All but the last return the columns of documents, with any further columns
+whatever they are called; rows without doc_id are judged by toxicity alone and packed. Decisions that may concern
 a large part of the documents are joined by exchange at every size: no table that grows is broadcast.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import table, written
 from quern.llm.decontam import benchmark_leaks
-from quern.llm.lines import drop_repeated_lines
+from quern.llm.lines import cut_texts
 from quern.llm.neardup import near_duplicates
 from quern.llm.packing import best_fit_pack
 from quern.llm.toxicity import THRESHOLD, fit, score
@@ -23,16 +24,17 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold."""
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") < THRESHOLD).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("document"), "text")
+    scored = score(rows, fit(docs, table(spark, sf_dir, "labels")), ["document"])
+    return scored.where(F.col("score") < THRESHOLD).select("document.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; those of which nothing is left go."""
-    cut = drop_repeated_lines(docs)
-    left = cut.where((F.col("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    size = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", size).select(docs.columns)
+    left = cut_texts(docs).where((F.col("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    size = F.when(F.col("removed") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    fresh = {"text": F.col("text"), "n_chars": size.alias("n_chars")}
+    return left.select(*(fresh.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
