@@ -142,16 +142,15 @@ def search(df: DataFrame, label: str, numeric: list[str], trials: int = 8, fold:
 
 def permutation_importance(model: Ensemble, df: DataFrame, label: str, columns: list[str], key: str, seed: int = 42) -> list[tuple[str, float]]:
     """Loss of AUC when a column's values are dealt anew among the rows by a drawn order; largest loss first."""
-    from pyspark.sql import Window
-
+    from quern.operators.ordered import drawn_places
     from quern.operators.select import draw
     from quern.operators.stats import roc_auc
 
     base = roc_auc(model.score(df), label, "p_ensemble").first().auc or 0.0
     out = []
     for c in columns:
-        order = lambda s: F.row_number().over(Window.orderBy(draw(s, F.col(key)), key)).alias("_i")
-        values = df.select(order(seed + 1), F.col(c).alias("_v"))
-        dealt = df.select("*", order(seed)).join(values, "_i").withColumn(c, F.col("_v")).drop("_i", "_v")
+        placed = lambda s: drawn_places(df, [], draw(s, F.col(key)), key)
+        values = placed(seed + 1).select("place", F.col(c).alias("_v"))
+        dealt = placed(seed).join(values, "place").withColumn(c, F.col("_v")).select(df.columns)
         out.append((c, base - (roc_auc(model.score(dealt), label, "p_ensemble").first().auc or 0.0)))
     return sorted(out, key=lambda x: -x[1])

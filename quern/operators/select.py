@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ordered import DIGITS, drawn_places, with_before
+
 
 def draw(seed: int, *ids: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in ids)))
@@ -44,66 +46,72 @@ def variant_split(df: DataFrame, strata: str, n_train: int, n_test: int, key: Co
 
     A stratum that is too small is divided in the same ratio (half to even).
     """
-    w = Window.partitionBy(strata)
-    size = F.count("*").over(w)
-    place = F.row_number().over(w.orderBy(draw(seed, key), key))
+    rows = drawn_places(df, [strata], draw(seed, key), key)
+    size, place = F.col("group_size"), F.col("place")
     short = size < n_train + n_test
     train = F.when(short, F.bround(size * F.lit(float(n_train)) / F.lit(float(n_train + n_test)), 0)).otherwise(F.lit(float(n_train)))
     end = F.when(short, size.cast("double")).otherwise(F.lit(float(n_train + n_test)))
     side = F.when(place <= train, "train").when(place <= end, "test").otherwise("unused")
-    return df.withColumn("side", side)
+    return rows.select(*df.columns, side.alias("side"))
 
 
 def group_split(df: DataFrame, group: str, positive: Column, test_share: float, targets: tuple[int, int], seed: int = 42) -> DataFrame:
     """group, n_p, n_b, in_test: whole groups go to the test side in a drawn order until it has enough of both classes.
 
     Enough is test_share of what there is, or of the target if that is smaller. The running sums only
-    grow, so membership is a condition on the sums before a group. The groups, not the rows, are
-    ordered as a whole.
+    grow, so membership is a condition on the sums before a group, which parts of the drawn order give.
     """
     groups = df.groupBy(group).agg(F.count_if(positive).alias("n_p"), F.count_if(~positive).alias("n_b"))
     total = groups.agg(F.coalesce(F.sum("n_p"), F.lit(0)).alias("p"), F.coalesce(F.sum("n_b"), F.lit(0)).alias("b")).first()
     need_p, need_b = (math.floor(test_share * min(n, t) + 0.5) for n, t in zip((total.p, total.b), targets))
-    before = Window.orderBy(draw(seed, F.col(group)), group).rowsBetween(Window.unboundedPreceding, -1)
-    done = (F.coalesce(F.sum("n_p").over(before), F.lit(0)) >= need_p) & (F.coalesce(F.sum("n_b").over(before), F.lit(0)) >= need_b)
-    return groups.withColumn("in_test", ~done)
+    groups = groups.withColumn("_drawn", draw(seed, F.col(group)))
+    part = F.conv(F.substring("_drawn", 1, DIGITS), 16, 10).cast("int")
+    summed = with_before(groups, [], part, [F.col("_drawn"), F.col(group)], ["n_p", "n_b"])
+    done = (F.col("before_n_p") >= need_p) & (F.col("before_n_b") >= need_b)
+    return summed.select(group, "n_p", "n_b", (~done).alias("in_test"))
 
 
 def stratified_folds(df: DataFrame, label: str, key: Column, k: int = 5, seed: int = 42) -> DataFrame:
     """df with fold (0 to k - 1), even within each label."""
-    w = Window.partitionBy(label).orderBy(draw(seed, key), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    rows = drawn_places(df, [label], draw(seed, key), key)
+    return rows.select(*df.columns, ((F.col("place") - 1) % k).cast("int").alias("fold"))
+
 
+def group_folds(df: DataFrame, group: str, label: str, k: int = 5, key: str | None = None, seed: int = 42) -> DataFrame:
+    """group, fold: whole groups dealt so that sizes and labels are even over the folds.
 
-def group_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
-    """group, fold: whole groups dealt so that labels are even: the largest groups first, each to the fold that its class
-    counts leave most even. Works on class counts of groups; these are the only rows in one task.
+    The groups are ordered by their positives, then by their others, then drawn, all falling, and
+    dealt to and fro (0 to k - 1, k - 1 to 0), so each fold gets as many large groups as any. A table
+    of one group has none to keep apart: with key, each of its rows is a group (key, fold).
     """
-    counts = df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("n_p"), F.count_if(F.col(label) == 0).alias("n_b"))
-    kind = df.schema[group].dataType.simpleString()
+    counts = df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("n_p"), F.count_if(F.col(label) == 0).alias("n_b"), F.lit(1).cast("long").alias("_one"))
+    if key and counts.count() < 2:
+        return group_folds(df.select(F.col(key), label), key, label, k, seed=seed)
+    counts = counts.withColumn("_drawn", draw(seed, F.col(group)))
+    part = F.struct("n_p", "n_b", F.substring("_drawn", 1, DIGITS))
+    placed = with_before(counts, [], part, [F.desc("_drawn"), F.desc(group)], ["_one"], descending=True)
+    place, turn = F.col("before__one") % k, F.floor(F.col("before__one") / k) % 2
+    return placed.select(group, F.when(turn == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
+
 
-    def deal(pdf):
-        import numpy as np
+def leave_one_out(df: DataFrame, key: str, most: int = 200) -> DataFrame:
+    """df with fold: each row is a fold of its own, in the order of key. For tables of at most most rows, as every fold is a fit."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many for a fit each, {most} at most")
+    return df.withColumn("fold", (F.row_number().over(Window.orderBy(key)) - 1).cast("int"))
 
-        pdf = pdf.sort_values(["n", group], ascending=[False, True])
-        total = pdf[["n_p", "n_b"]].sum().to_numpy(float).clip(1)
-        held, folds = np.zeros((k, 2)), []
-        for row in pdf[["n_p", "n_b"]].to_numpy(float):
-            spread = [np.std((held + row * (np.arange(k) == f)[:, None]) / total, axis=0).mean() for f in range(k)]
-            best = min(range(k), key=lambda f: (round(spread[f], 12), held[f].sum(), f))
-            held[best] += row
-            folds.append(best)
-        return pdf[[group]].assign(fold=folds)
 
-    sized = counts.withColumn("n", F.col("n_p") + F.col("n_b"))
-    return sized.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: deal(pdf), f"`{group}` {kind}, fold int")
+def pseudo_group(key: Column, n: int = 20, prefix: str = "TRAIN_G", seed: int = 42) -> Column:
+    """A drawn group for each key, as a name with two digits."""
+    number = F.conv(F.substring(draw(seed, key), 1, 8), 16, 10).cast("long") % n
+    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), 2, "0"))
 
 
 def hold_out(df: DataFrame, label: str, key: Column, share: float = 0.15, seed: int = 42) -> DataFrame:
     """df with held: a stratified share of the rows."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(draw(seed, key), key))
-    return df.withColumn("held", place <= F.ceil(F.count("*").over(w) * F.lit(share)))
+    rows = drawn_places(df, [label], draw(seed, key), key)
+    return rows.select(*df.columns, (F.col("place") <= F.ceil(F.col("group_size") * F.lit(share))).alias("held"))
 
 
 def group_hold_out(df: DataFrame, group: str, share: float = 0.15, seed: int = 42) -> DataFrame:

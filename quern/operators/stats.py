@@ -1,7 +1,8 @@
 """Evaluation of scores as grouped aggregates: exact with ties, in one table however many groups.
 
 Scores are first counted by value (group, score, positives, negatives), which the tasks do before any
-exchange; ranks and cumulative sums then run over the distinct scores of a group.
+exchange; ranks and cumulative sums then run over the distinct scores of a group, in parts of their
+order (see ordered), so that no task holds all of them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ordered import drawn_places, score_part, with_before
 from quern.operators.select import draw
 
 
@@ -23,11 +25,16 @@ def _window(by: list[str] | None):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
 
 
+def _placed(df: DataFrame, label: str, score: str, by: list[str], descending: bool = False) -> DataFrame:
+    """score_counts with before_p, before_n (positives and negatives of smaller, or larger, scores), all_p and all_n."""
+    order = [F.desc("s") if descending else F.asc("s")]
+    return with_before(score_counts(df, label, score, by), by, score_part(F.col("s")), order, ["p", "n"], descending)
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """auc: the share of pairs of a positive and a negative that the score orders rightly, ties half."""
     by = by or []
-    below = F.coalesce(F.sum("n").over(_window(by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = score_counts(df, label, score, by).withColumn("won", F.col("p") * (below + F.col("n") / F.lit(2.0)))
+    rows = _placed(df, label, score, by).withColumn("won", F.col("p") * (F.col("before_n") + F.col("n") / F.lit(2.0)))
     total = rows.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     return total.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / F.col("n_pos") / F.col("n_neg"))).drop("won")
 
@@ -35,19 +42,17 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
 def average_precision(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """ap: the mean precision at each step of recall, without interpolation."""
     by = by or []
-    w = _window(by).orderBy(F.desc("s"))
-    rows = score_counts(df, label, score, by).withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
-    rows = rows.withColumn("part", F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    tp, fp = F.col("before_p") + F.col("p"), F.col("before_n") + F.col("n")
+    rows = _placed(df, label, score, by, descending=True).withColumn("part", F.col("p") * tp / (tp + fp))
     return rows.groupBy(*by).agg(F.try_divide(F.sum("part"), F.sum("p")).alias("ap"))
 
 
 def curves(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """threshold, tpr, fpr, precision at each distinct score: the points of the ROC and precision-recall curves."""
     by = by or []
-    w, all_ = _window(by).orderBy(F.desc("s")), _window(by)
-    rows = score_counts(df, label, score, by)
-    rows = rows.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w), "pos": F.sum("p").over(all_), "neg": F.sum("n").over(all_)})
-    return rows.select(*by, F.col("s").alias("threshold"), F.try_divide("tp", "pos").alias("tpr"), F.try_divide("fp", "neg").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    tp, fp = F.col("before_p") + F.col("p"), F.col("before_n") + F.col("n")
+    rows = _placed(df, label, score, by, descending=True)
+    return rows.select(*by, F.col("s").alias("threshold"), F.try_divide(tp, F.col("all_p")).alias("tpr"), F.try_divide(fp, F.col("all_n")).alias("fpr"), (tp / (tp + fp)).alias("precision"))
 
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
@@ -125,17 +130,36 @@ def mid_rank(values: Column, by: list[Column | str] | None = None) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(values)) + (F.count("*").over(Window.partitionBy(*by, values)) - 1) / F.lit(2.0)
 
 
+def mid_ranks(df: DataFrame, value: str, by: list[str], name: str = "mid_rank") -> DataFrame:
+    """df with the average rank with ties of each row's value within its group; null where the value is."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_s")).agg(F.count("*").alias("_n"))
+    ranks = with_before(counts, by, score_part(F.col("_s")), [F.col("_s")], ["_n"])
+    rank = F.col("before__n") + (F.col("_n") + 1) / F.lit(2.0)
+    ranks = ranks.select(*(F.col(b).alias(f"_b_{i}") for i, b in enumerate(by)), "_s", rank.alias(name))
+    same = F.col(value).cast("double") == F.col("_s")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b_{i}"))
+    return df.join(ranks, same, "left").select(*df.columns, name)
+
+
 def delong(df: DataFrame, label: str, a: str, b: str) -> DataFrame:
-    """auc_a, auc_b, delta, z for two scores of the same rows; z is 0 if the difference has no variance."""
-    rows = df.where(F.col(label).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(label).alias("y"), F.col(a).alias("a"), F.col(b).alias("b"))
-    m, n = F.count_if(F.col("y") == 1).over(_window(None)), F.count_if(F.col("y") == 0).over(_window(None))
-    ranked = rows.select("y", m.alias("m"), n.alias("n"), *(mid_rank(F.col(s)).alias(f"all_{s}") for s in "ab"), *(mid_rank(F.col(s), ["y"]).alias(f"own_{s}") for s in "ab"))
-    part = lambda s: F.when(F.col("y") == 1, (F.col(f"all_{s}") - F.col(f"own_{s}")) / F.col("n")).otherwise(1 - (F.col(f"all_{s}") - F.col(f"own_{s}")) / F.col("m"))
-    parts = ranked.select("y", "m", "n", part("a").alias("va"), part("b").alias("vb"))
+    """auc_a, auc_b, delta, z for two scores of the same rows.
+
+    z is 0 if the difference has no variance; all are null if a class is absent, and z is null if one
+    has a single row. A row's placement is the share of the other class that its score beats, ties half.
+    """
+    rows = df.where(F.col(label).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(label).alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    parts = rows
+    for s in "ab":
+        beats = lambda x: (F.col(f"before_{x}") + F.col(x) / F.lit(2.0)) / F.col(f"all_{x}")
+        placed = _placed(rows, "y", s, [])
+        placed = placed.select(F.col("s").alias(s), F.when(F.col("all_n") > 0, beats("n")).alias(f"pos_{s}"), F.when(F.col("all_p") > 0, 1 - beats("p")).alias(f"neg_{s}"))
+        parts = parts.join(placed, s).withColumn(f"v{s}", F.when(F.col("y") == 1, F.col(f"pos_{s}")).otherwise(F.col(f"neg_{s}")))
     side = lambda y, f, *c: f(*(F.when(F.col("y") == y, F.col(x)) for x in c))
     variance = F.lit(0.0)
-    for y, size in ((1, "m"), (0, "n")):
-        variance = variance + (side(y, F.var_samp, "va") + side(y, F.var_samp, "vb") - 2 * side(y, F.covar_samp, "va", "vb")) / F.max(size)
+    for y in (1, 0):
+        spread = side(y, F.var_samp, "va") + side(y, F.var_samp, "vb") - 2 * side(y, F.covar_samp, "va", "vb")
+        variance = variance + F.try_divide(spread, F.count_if(F.col("y") == y))
     out = parts.agg(side(1, F.avg, "va").alias("auc_a"), side(1, F.avg, "vb").alias("auc_b"), variance.alias("v"))
     delta = F.col("auc_a") - F.col("auc_b")
     return out.select("auc_a", "auc_b", delta.alias("delta"), F.when(F.col("v") <= 1e-18, 0.0).otherwise(delta / F.sqrt(F.greatest("v", F.lit(1e-18)))).alias("z"))
@@ -152,42 +176,99 @@ def normal_p(z: Column) -> Column:
     return F.when(x == 0, 1.0).otherwise(poly * F.exp(-x * x))
 
 
+def resamples(df: DataFrame, key: Column, rounds: int, seed: int = 42) -> DataFrame:
+    """round and df's columns: rounds resamples with replacement, as many rows each as df has.
+
+    The rows are numbered by their drawn order, and draw k of a round takes row md5(seed, round, k) mod n.
+    The draws are a distributed range, not an array in a row.
+    """
+    rows = drawn_places(df, [], draw(seed, key), key).withColumn("_i", F.col("place") - 1).select(*df.columns, "_i")
+    n = max(df.count(), 1)
+    draws = df.sparkSession.range(rounds * n).select(F.floor(F.col("id") / n).cast("long").alias("round"), (F.col("id") % n).alias("_k"))
+    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "round", "_k")), 1, 8), 16, 10).cast("long") % n
+    return draws.select("round", index.alias("_i")).join(rows, "_i").drop("_i")
+
+
 def bootstrap_auc(df: DataFrame, label: str, score: str, key: Column, rounds: int = 50, seed: int = 42) -> DataFrame:
     """round, auc of resamples with replacement; a resample of one class has none.
 
-    The rows are numbered by their drawn order, and draw k of a round takes row md5(seed, round, k) mod n.
-    Scores of more rows than fit a few tasks are better resampled by Poisson weights: see poisson_auc.
+    Scores of very many rows are better resampled by Poisson weights: see poisson_auc.
     """
-    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    numbered = rows.select(F.col(label).alias("y"), F.col(score).alias("s"), (F.row_number().over(Window.orderBy(draw(seed, key), key)) - 1).alias("i"))
-    n = rows.count()
-    spark = df.sparkSession
-    draws = spark.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("k"))
-    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "round", "k")), 1, 8), 16, 10).cast("long") % max(n, 1)
-    drawn = draws.withColumn("i", index.cast("int")).join(numbered, "i")
-    return roc_auc(drawn, "y", "s", ["round"]).where("auc is not null").select("round", "auc")
-
-
-def poisson_auc(df: DataFrame, label: str, score: str, key: Column, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """round, auc of resamples by Poisson(1) weights from a hash of round and key: no numbering, no join."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("round"), key), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(label).alias("y"), F.col(score).alias("s"), key.alias("_key"))
+    return roc_auc(resamples(rows, F.col("_key"), rounds, seed), "y", "s", ["round"]).where("auc is not null").select("round", "auc")
+
+
+def bootstrap_metrics(df: DataFrame, label: str, score: str, key: Column, threshold: float = 0.5, rounds: int = 50, seed: int = 42) -> DataFrame:
+    """round, auc, ap, f1, sensitivity, specificity of resamples with replacement; those of one class are left out."""
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(label).alias("y"), F.col(score).alias("s"), key.alias("_key"))
+    drawn = resamples(rows, F.col("_key"), rounds, seed).groupBy("round", "s").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+    placed = with_before(drawn, ["round"], score_part(F.col("s")), [F.desc("s")], ["p", "n"], descending=True)
+    tp, fp, call = F.col("before_p") + F.col("p"), F.col("before_n") + F.col("n"), F.col("s") >= threshold
+    behind = F.col("all_n") - F.col("before_n") - F.col("n")
+    sums = placed.groupBy("round").agg(
+        F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.sum(F.col("p") * (behind + F.col("n") / F.lit(2.0))).alias("won"), F.sum(F.col("p") * tp / (tp + fp)).alias("steps"),
+        F.sum(F.when(call, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(call, F.col("n")).otherwise(0)).alias("fp"),
+    ).where("pos > 0 and neg > 0")
+    wrong = F.col("fp") + F.col("pos") - F.col("tp")
+    return sums.select(
+        "round", (F.col("won") / F.col("pos") / F.col("neg")).alias("auc"), (F.col("steps") / F.col("pos")).alias("ap"), (2 * F.col("tp") / (2 * F.col("tp") + wrong)).alias("f1"),
+        (F.col("tp") / F.col("pos")).alias("sensitivity"), (1 - F.col("fp") / F.col("neg")).alias("specificity"),
+    )
+
+
+def metric_intervals(resampled: DataFrame, metrics: tuple[str, ...] = ("auc", "ap", "f1", "sensitivity", "specificity"), level: float = 0.95) -> DataFrame:
+    """metric, lo, hi: percentiles of each metric over the rounds."""
+    return interval(resampled.unpivot(["round"], list(metrics), "metric", "value"), "value", level, ["metric"])
+
+
+def paired_bootstrap(df: DataFrame, label: str, a: str, b: str, key: Column, rounds: int = 50, seed: int = 42) -> DataFrame:
+    """delta, lo, hi, p of the difference of two scores' AUC on the same resamples; p = 2 min(P(d <= 0), P(d >= 0)), at most 1."""
+    rows = df.where(F.col(label).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(label).alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), key.alias("_key"))
+    drawn = resamples(rows, F.col("_key"), rounds, seed).unpivot(["round", "y"], ["a", "b"], "which", "s")
+    auc = roc_auc(drawn, "y", "s", ["round", "which"]).where("auc is not null")
+    d = auc.groupBy("round").agg((F.max(F.when(F.col("which") == "a", F.col("auc"))) - F.max(F.when(F.col("which") == "b", F.col("auc")))).alias("d"))
+    share = lambda c: F.avg(c.cast("double"))
+    whole = roc_auc(rows.unpivot(["y"], ["a", "b"], "which", "s"), "y", "s", ["which"])
+    delta = whole.agg((F.max(F.when(F.col("which") == "a", F.col("auc"))) - F.max(F.when(F.col("which") == "b", F.col("auc")))).alias("delta"))
+    p = F.least(F.lit(1.0), 2 * F.least(share(F.col("d") <= 0), share(F.col("d") >= 0)))
+    return delta.crossJoin(d.agg(F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"), p.alias("p")))
+
+
+def poisson_weight(u: Column) -> Column:
+    """The Poisson(1) number that a uniform draw from 0 to 1 stands for, 12 at most."""
     cumulated, weight, term = 0.0, F.lit(0), math.exp(-1)
     for k in range(12):
         cumulated += term
         weight = weight + F.when(u > cumulated, 1).otherwise(0)
         term /= k + 1
-    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    weighted = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("w", weight)
-    counts = weighted.groupBy("round", F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("round").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("p") * (below + F.col("n") / F.lit(2.0)))
-    return won.groupBy("round").agg(F.try_divide(F.try_divide(F.sum("won"), F.sum("p")), F.sum("n")).alias("auc"))
+    return weight
 
 
-def interval(resamples: DataFrame, value: str = "auc", level: float = 0.95) -> DataFrame:
+def poisson_auc(df: DataFrame, label: str, score: str, key: Column, rounds: int = 200, seed: int = 42, at_once: int = 20) -> DataFrame:
+    """round, auc of resamples by Poisson(1) weights from md5(seed, round, key): no numbering, no join.
+
+    Each pass over the rows counts at_once rounds, as columns of one row a score, so rows aren't
+    multiplied by rounds.
+    """
+    rows, out = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()), None
+    for first in range(0, rounds, at_once):
+        mine = range(first, min(first + at_once, rounds))
+        u = {r: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(r)), key.cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0) for r in mine}
+        weighed = rows.select(F.col(label).alias("y"), F.col(score).cast("double").alias("s"), *(poisson_weight(u[r]).alias(f"w{r}") for r in mine))
+        of = lambda y, r: F.sum(F.when(F.col("y") == y, F.col(f"w{r}")).otherwise(0))
+        counts = weighed.groupBy("s").agg(*(of(1, r).alias(f"p{r}") for r in mine), *(of(0, r).alias(f"n{r}") for r in mine))
+        placed = with_before(counts, [], score_part(F.col("s")), [F.col("s")], [f"n{r}" for r in mine])
+        won = {r: F.sum(F.col(f"p{r}") * (F.col(f"before_n{r}") + F.col(f"n{r}") / F.lit(2.0))) for r in mine}
+        auc = placed.agg(*(F.try_divide(F.try_divide(won[r], F.sum(f"p{r}")), F.sum(f"n{r}")).alias(str(r)) for r in mine))
+        part = auc.unpivot([], [str(r) for r in mine], "round", "auc").withColumn("round", F.col("round").cast("long"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def interval(resamples: DataFrame, value: str = "auc", level: float = 0.95, by: list[str] | None = None) -> DataFrame:
     """lo, hi: percentiles with linear interpolation."""
     tail = (1 - level) / 2
-    return resamples.agg(F.percentile(value, F.lit(tail)).alias("lo"), F.percentile(value, F.lit(1 - tail)).alias("hi"))
+    return resamples.groupBy(*(by or [])).agg(F.percentile(value, F.lit(tail)).alias("lo"), F.percentile(value, F.lit(1 - tail)).alias("hi"))
 
 
 def baseline_table(df: DataFrame, label: str, scores: dict[str, int], by: str, least: int = 10) -> DataFrame:

@@ -32,7 +32,7 @@ def panel_thresholds(spark, sf_dir):
 
 @query(f"WITH {_D} SELECT doc_id, rank() OVER (PARTITION BY lang ORDER BY t) + (count(*) OVER (PARTITION BY lang, t) - 1) / 2.0 AS mid_rank FROM d")
 def mid_ranks(spark, sf_dir):
-    return _labelled(spark, sf_dir).select("doc_id", stats.mid_rank(F.col("t"), ["lang"]).alias("mid_rank"))
+    return stats.mid_ranks(_labelled(spark, sf_dir), "t", ["lang"]).select("doc_id", "mid_rank")
 
 
 @query("SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS best_so_far FROM orders")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quern.functions import features as fx
 from quern.functions.residues import distance, distance_table, letter, prop, property_table
 from quern.functions.schema import feature_group
 from quern.operators import rules, stats
+from quern.plans import registry
 from quern.plans.registry import query, table
 
 _AA = "ACDEFGHIKLMNPQRSTVWY"
@@ -263,9 +266,15 @@ def delong(spark, sf_dir):
     return _rounded(stats.delong(_labelled(spark, sf_dir), "y", "s", "t"))
 
 
-@query()
+_DELONG = registry.SQL["delong"]
+#: The error function's approximation that stats.normal_p has.
+_ERF = "0.3275911 0.254829592 -0.284496736 1.421413741 -1.453152027 1.061405429".split()
+
+
+@query(f"""WITH z AS ({_DELONG}), x AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + {_ERF[0]} * abs(z) / sqrt(2.0)) AS t FROM z)
+    SELECT auc_a, auc_b, delta, z, round(CASE WHEN x = 0 THEN 1.0 ELSE t * ({_ERF[1]} + t * ({_ERF[2]} + t * ({_ERF[3]} + t * ({_ERF[4]} + t * {_ERF[5]})))) * exp(-x * x) END, 6) AS p FROM x""")
 def delong_p(spark, sf_dir):
-    return delong(spark, sf_dir).withColumn("p", stats.normal_p(F.col("z")))
+    return _rounded(delong(spark, sf_dir).withColumn("p", stats.normal_p(F.col("z"))))
 
 
 _BOOT = f"""WITH {_D}, b AS (SELECT y, s, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS i, count(*) OVER () AS n FROM d), k AS (SELECT count(*) AS n FROM d),
@@ -279,9 +288,44 @@ def bootstrap_auc(spark, sf_dir):
     return _rounded(stats.interval(stats.bootstrap_auc(_labelled(spark, sf_dir), "y", "s", F.col("doc_id"))))
 
 
-@query()
+_CUMULATED = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+_POISSON = f"""WITH {_D}, u AS (SELECT r AS round, y, s, (('0x' || substr(md5('42|' || r || '|' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM d, range(100) t(r)),
+    w AS (SELECT round, y, s, {' + '.join(f'(u > {c!r})::INT' for c in _CUMULATED)} AS w FROM u), c AS (SELECT round, s, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS n FROM w GROUP BY ALL),
+    b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY round ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+    a AS (SELECT round, sum(p * (below + n / 2.0)) / sum(p) / sum(n) AS auc FROM b GROUP BY round)"""
+
+
+@query(_POISSON + " SELECT round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a")
 def poisson_bootstrap_auc(spark, sf_dir):
-    return stats.interval(stats.poisson_auc(_labelled(spark, sf_dir), "y", "s", F.col("doc_id"), 100))
+    return _rounded(stats.interval(stats.poisson_auc(_labelled(spark, sf_dir), "y", "s", F.col("doc_id"), 100)))
+
+
+_DRAWN = f"""WITH {_D}, b AS (SELECT y, s, t, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS i FROM d), k AS (SELECT count(*) AS n FROM d),
+    x AS (SELECT r AS round, ('0x' || substr(md5('42|' || r || '|' || j), 1, 8))::BIGINT % k.n AS i FROM k, range(50) q(r), range((SELECT count(*) FROM d)) v(j)),
+    z AS (SELECT x.round, y, s, t FROM x JOIN b USING (i))"""
+
+
+@query(_DRAWN + """, r AS (SELECT round, y, s, rank() OVER (PARTITION BY round ORDER BY s) + (count(*) OVER (PARTITION BY round, s) - 1) / 2.0 AS r FROM z),
+    m AS (SELECT round, sum(y) AS p, count(*) - sum(y) AS n, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc,
+        count(*) FILTER (WHERE y = 1 AND s >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND s >= 0.5) AS fp FROM r GROUP BY round),
+    c AS (SELECT round, s, sum(y) AS p, count(*) - sum(y) AS n FROM z GROUP BY ALL),
+    w AS (SELECT round, p, sum(p) OVER (PARTITION BY round ORDER BY s DESC) AS t, sum(n) OVER (PARTITION BY round ORDER BY s DESC) AS f FROM c),
+    e AS (SELECT round, sum(p * t / (t + f)) / sum(p) AS ap FROM w GROUP BY round),
+    l AS (SELECT round, auc, ap, 2.0 * tp / (2 * tp + fp + p - tp) AS f1, tp / p AS sensitivity, 1 - fp / n AS specificity FROM m JOIN e USING (round) WHERE p > 0 AND n > 0),
+    u AS (UNPIVOT l ON auc, ap, f1, sensitivity, specificity INTO NAME metric VALUE v)
+    SELECT metric, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM u GROUP BY metric""")
+def bootstrap_intervals(spark, sf_dir):
+    return _rounded(stats.metric_intervals(stats.bootstrap_metrics(_labelled(spark, sf_dir), "y", "s", F.col("doc_id"))))
+
+
+@query(_DRAWN + """, g AS (SELECT round, 'a' AS which, y, s AS x FROM z UNION ALL SELECT round, 'b', y, t FROM z UNION ALL SELECT -1, 'a', y, s FROM d UNION ALL SELECT -1, 'b', y, t FROM d),
+    r AS (SELECT round, which, y, rank() OVER (PARTITION BY round, which ORDER BY x) + (count(*) OVER (PARTITION BY round, which, x) - 1) / 2.0 AS r FROM g),
+    a AS (SELECT round, which, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc FROM r GROUP BY ALL),
+    e AS (SELECT round, max(auc) FILTER (WHERE which = 'a') - max(auc) FILTER (WHERE which = 'b') AS d FROM a GROUP BY round)
+    SELECT round((SELECT d FROM e WHERE round = -1), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi,
+        round(least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))), 6) AS p FROM e WHERE round >= 0 AND d IS NOT NULL""")
+def paired_bootstrap(spark, sf_dir):
+    return _rounded(stats.paired_bootstrap(_labelled(spark, sf_dir), "y", "s", "t", F.col("doc_id")))
 
 
 @query(f"""WITH {_D}, u AS (SELECT lang, y, 's' AS baseline, CASE WHEN s < 1 THEN s END AS v, CASE WHEN s < 1 THEN s END AS x FROM d UNION ALL SELECT lang, y, 't', nullif(t, 0), -nullif(t, 0) FROM d),

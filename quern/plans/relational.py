@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.nulls import known, num, row_count, row_mean, row_variance
 from quern.functions.parse import is_missense, last_part
-from quern.operators import clean, select
+from quern.operators import clean, ordered, select
 from quern.plans.registry import query, table
 
 
@@ -172,12 +172,10 @@ def split_summary(spark, sf_dir):
     SELECT o_orderkey, CASE WHEN in_test THEN 'test' WHEN hash_place <= 5000 THEN 'train' ELSE 'unused' END AS side
     FROM (SELECT o_orderkey, in_test, row_number() OVER (PARTITION BY in_test ORDER BY md5('42|' || o_orderkey), o_orderkey) AS hash_place FROM orders JOIN s USING (o_custkey))""")
 def group_split_rows(spark, sf_dir):
-    from pyspark.sql import Window
-
     groups = _group_split(spark, sf_dir).select("o_custkey", "in_test")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(groups, "o_custkey")
-    place = F.row_number().over(Window.partitionBy("in_test").orderBy(select.draw(42, F.col("o_orderkey")), "o_orderkey"))
-    return rows.select("o_orderkey", F.when(F.col("in_test"), "test").when(place <= 5000, "train").otherwise("unused").alias("side"))
+    placed = ordered.drawn_places(rows, ["in_test"], select.draw(42, F.col("o_orderkey")), "o_orderkey")
+    return placed.select("o_orderkey", F.when(F.col("in_test"), "test").when(F.col("place") <= 5000, "train").otherwise("unused").alias("side"))
 
 
 @query("SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1) % 5)::INT AS fold FROM orders")
@@ -186,7 +184,10 @@ def kfold(spark, sf_dir):
     return select.stratified_folds(rows, "o_orderstatus", F.col("o_orderkey")).select("o_orderkey", "fold")
 
 
-@query()
+@query("""
+    WITH g AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_p, count(*) FILTER (WHERE o_orderstatus <> 'F') AS n_b FROM orders GROUP BY 1),
+    p AS (SELECT o_custkey, row_number() OVER (ORDER BY n_p DESC, n_b DESC, md5('42|' || o_custkey) DESC, o_custkey DESC) - 1 AS i FROM g)
+    SELECT o_custkey, (CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)::INT AS fold FROM p""")
 def group_kfold(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("label", (F.col("o_orderstatus") == "F").cast("int"))
     return select.group_folds(rows, "o_custkey", "label", 5)
