@@ -123,20 +123,33 @@ def _counts(training: DataFrame) -> DataFrame:
 
 
 def _fit_curve(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Logistic regression of the label on one number, from counts; a little ridge keeps it finite."""
+    """Logistic regression of the label on one number, from counts; a little ridge keeps it finite.
+
+    Newton steps, each halved until the penalised likelihood grows, so it converges from any counts.
+    """
     if not rows:
         return -3.0, 1.0
     x, n, y = (np.array(c, float) for c in zip(*rows))
-    beta = np.array([-2.0, 0.5])
-    design = np.stack([np.ones_like(x), x], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (y - n * p) - 1e-2 * beta
-        hessian = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+    design, ridge = np.stack([np.ones_like(x), x], axis=1), 1e-2
+
+    def likelihood(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float((y * z - n * np.logaddexp(0, z)).sum() - ridge / 2 * (beta @ beta))
+
+    share = (y.sum() + 0.5) / (n.sum() + 1)
+    beta = np.array([math.log(share / (1 - share)), 0.0])
+    now = likelihood(beta)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+        gradient = design.T @ (y - n * p) - ridge * beta
+        hessian = (design * (n * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-9 and likelihood(beta + size * step) <= now:
+            size /= 2
+        if size <= 1e-9 or np.abs(size * step).max() < 1e-9:
             break
+        beta = beta + size * step
+        now = likelihood(beta)
     return float(beta[0]), float(max(beta[1], 0.0))
 
 

@@ -178,3 +178,18 @@ def test_pages_with_nulls_repeats_and_clashing_columns(spark):
     assert got == [(-1, "revisit", 3), (1, "revisit", 3), (2, "response", -1), (2, "response", -1), (3, "response", -1), (3, "response", -1)]
 
 
+
+
+def test_curve_is_the_best_one():
+    """The gradient of the penalised likelihood vanishes, also where Newton's whole steps run away."""
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    for _ in range(40):
+        x = np.round(np.concatenate([r.normal(-3, 1.5, 400), r.normal(r.uniform(0, 30), r.uniform(0.1, 20), 60), [50.0, -5.0]]), 1)
+        y = (r.random(len(x)) < 1 / (1 + np.exp(-(x - r.uniform(-2, 6))))).astype(int)
+        rows = [(float(v), int((x == v).sum()), int(y[x == v].sum())) for v in np.unique(x)]
+        a, b = toxicity._fit_curve(rows)
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -500, 500)))
+        assert abs((y - p).sum() - 1e-2 * a) < 1e-3 and abs(((y - p) * x).sum() - 1e-2 * b) < 1e-2
+    assert toxicity._fit_curve([]) == (-3.0, 1.0)
