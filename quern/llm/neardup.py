@@ -22,6 +22,8 @@ SHARE = 512
 #: A profile counts shingles in so many groups, each up to 8: a bit for each.
 GROUPS = 128
 _NUMBERS = GROUPS * 8 // 64
+#: Rows of a table of frequencies that one task looks sets up in.
+TABLE = 1_000_000
 
 
 def bands_needed(threshold: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -121,57 +123,111 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _shares(members: str) -> Column:
+    """Over how many tasks a bucket is dealt: one for each SHARE of its members."""
+    return F.ceil(F.col(members) / SHARE).cast("int")
+
+
 def _mixed(entries: DataFrame, linked: DataFrame) -> DataFrame:
     """The entries of buckets with members of several components, with component and the bucket's members."""
     labelled = entries.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return labelled.join(mixed.select("bucket", "members"), "bucket")
+    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("members"), F.max("was").alias("was"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    mixed = mixed.select("bucket", "members", F.explode(F.sequence(F.lit(0), _shares("was") - 1)).alias("share"))
+    return labelled.withColumn("share", F.pmod(F.xxhash64("rep"), _shares("was")).cast("int")).join(mixed, ["bucket", "share"]).drop("share")
 
 
 def _dealt_anew(texts: DataFrame, large: DataFrame, threshold: float, words: int, kind: DataType) -> DataFrame:
-    """bucket, rep, n, m, k, o: the rarest shingles of the members (rep) of large buckets, as buckets of their own.
+    """bucket, was, rep, n, m, k, o: the rarest shingles of the members (rep) of large buckets, as buckets of their own.
 
     Sets of which one has n shingles and that share the threshold's part of it have one in common
     among the n - ceil(threshold n) + 1 shingles of each that come first in one order of all. With
     the rarest among these members first, a passage that all of them share comes last, and members
     with enough shingles of their own have no partner at all. So no pair is lost and none is made
-    because of the passage. m is how many shingles of rep any other member has, k and o their profile.
+    because of the passage. m is how many shingles of rep any other member has, k and o their profile;
+    was is how many members have the shingle.
+
+    A member's set stays one row. The shingles' frequencies are cut into tables of at most about TABLE
+    rows, and each task looks a share of the sets up in one table, so neither a frequent shingle nor a
+    large group gathers in one task and no shingle of a member is a row.
     """
-    percent = round(threshold * 100)
-    name = kind.simpleString()
+    percent, name = round(threshold * 100), kind.simpleString()
+
+    def sets_of(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(text_bytes(batch.column(1)), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "n", "s"])
 
-    def shingles(batches):
+    def tally(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for i, s in enumerate(shingle_sets(text_bytes(batch.column(1)), words)):
-                size = pa.array(np.full(len(s), len(s)), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(s), i))), size, pa.array(s.view(np.int64))], names=["rep", "n", "bucket"])
+            shingles, times = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(times)], names=["bucket", "times"])
 
     members = texts.join(large.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = written(members.mapInArrow(shingles, f"rep {name}, n long, bucket long"), "shingles", 500)
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
-    mine = rows.join(written(shared, "frequencies"), "bucket").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "bucket")).alias("x"))
+    sets = written(members.mapInArrow(sets_of, f"rep {name}, n long, s array<long>"), "sets", 500)
+    counted = sets.select("s").mapInArrow(tally, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("df"))
+    shared = written(counted.where("df > 1"), "frequencies", 500)
+    tables = max(1, -(-shared.count() // TABLE))
+    shares = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // (4 * TABLE * tables)))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for rep, n, s in zip(batch.column(0), batch.column(1), batch.column(2)):
+                s = s.values.to_numpy(zero_copy_only=False)
+                table = s % tables
+                order = np.argsort(table, kind="stable")
+                used, first = np.unique(table[order], return_index=True)
+                parts = np.split(s[order], first[1:]) if len(used) else []
+                same = [pa.array([x.as_py()] * len(used), x.type) for x in (rep, n)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(used, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["rep", "n", "part", "s"])
+
+    def looked_up(left, right):
+        import pyarrow as pa
+
+        left = left.combine_chunks()
+        order = np.argsort(known := right.column("bucket").to_numpy())
+        known, df = known[order], right.column("df").to_numpy()[order]
+        found, times = [], []
+        for s in left.column("s"):
+            s = s.values.to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+            hit = known[at] == s if len(known) else np.zeros(len(s), bool)
+            found.append(s[hit])
+            times.append(df[at[hit]])
+        many = pa.list_(pa.int64())
+        return pa.table({"rep": left.column("rep"), "n": left.column("n"), "s": pa.array(found, many), "df": pa.array(times, many)})
 
     def first(batches):
         import pyarrow as pa
 
         many = pa.list_(pa.int64())
         for batch in batches:
-            buckets, m, bits, excess = [], [], [], []
-            for n, x in zip(batch.column(1).to_pylist(), batch.column(2)):
-                df, s = (x.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            buckets, was, m, bits, excess = [], [], [], [], []
+            for n, s, df in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                s, df = s.values.to_numpy(zero_copy_only=False), df.values.to_numpy(zero_copy_only=False)
                 most = n - -(-n * percent // 100) + 1 - (n - len(s))  # what others don't have comes first and makes no bucket
-                buckets.append(s[np.lexsort((s, df))[: max(0, most)]])
+                rarest = np.lexsort((s, df))[: max(0, most)]
+                buckets.append(s[rarest])
+                was.append(df[rarest])
                 m.append(len(s))
                 k, o = profile(s.view(np.uint64))
                 bits.append(k)
                 excess.append(o)
-            columns = [pa.array(m, pa.int64()), pa.array(bits, many), pa.array(excess, pa.int64()), pa.array(buckets, many)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["rep", "n", "m", "k", "o", "buckets"])
+            columns = [pa.array(m, pa.int64()), pa.array(bits, many), pa.array(excess, pa.int64()), pa.array(buckets, many), pa.array(was, many)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["rep", "n", "m", "k", "o", "bucket", "was"])
 
-    dealt = mine.mapInArrow(first, f"rep {name}, n long, m long, k array<long>, o long, buckets array<long>")
-    return dealt.select(F.explode("buckets").alias("bucket"), "rep", "n", "m", "k", "o")
+    pieces = sets.mapInArrow(cut, f"rep {name}, n long, part long, s array<long>").withColumn("share", F.pmod(F.xxhash64("rep"), F.lit(shares)))
+    table = shared.select(F.pmod("bucket", F.lit(tables)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), "bucket", "df")
+    pairs = pieces.groupBy("part", "share").cogroup(table.groupBy("part", "share"))
+    mine = pairs.applyInArrow(looked_up, f"rep {name}, n long, s array<long>, df array<long>")
+    mine = mine.groupBy("rep", "n").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("df")).alias("df"))
+    dealt = mine.mapInArrow(first, f"rep {name}, n long, m long, k array<long>, o long, bucket array<long>, was array<long>")
+    return dealt.select(F.explode(F.arrays_zip("bucket", "was")).alias("x"), "rep", "n", "m", "k", "o").select("x.bucket", "x.was", "rep", "n", "m", "k", "o")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
@@ -201,7 +257,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     classes = all_docs.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(one)
     classes = written(classes.select("set_key", F.col("x.doc_id").alias("rep"), "x.n", "x.bands", "x.k", "x.o"), "classes")
     entries = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("was"), F.min("rep").alias("leader")).where("was > 1")
     entries = written(entries.join(written(shared, "shared"), "bucket"), "entries")
     percent = round(threshold * 100)
 
@@ -222,9 +278,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     texts = written(texts, "texts")
     links = written(_confirmed(tested, texts, threshold, words), "links", 500)
     linked = written(components(links), "components")
-    left = written(_mixed(entries.where("rep <> leader").select("bucket", "rep"), linked), "mixed")
+    left = written(_mixed(entries.where("rep <> leader").select("bucket", "was", "rep"), linked), "mixed")
     large = written(left.where(f"members > {SMALL_BUCKET}").select("rep").distinct(), "large")
-    entries = left.where(f"members <= {SMALL_BUCKET}").select("bucket", "rep").join(whole, "rep").select("bucket", "rep", "n", "m", "k", "o")
+    entries = left.where(f"members <= {SMALL_BUCKET}").select("bucket", "was", "rep").join(whole, "rep").select("bucket", "was", "rep", "n", "m", "k", "o")
     if not large.isEmpty():
         entries = entries.union(_dealt_anew(texts, large, threshold, words, kind))
     entries, leaders_each = written(entries, "dealt", 500), LEADERS
@@ -237,9 +293,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
         ranked = left.join(degrees, "rep", "left").groupBy("bucket", "members", salt.alias("salt"))
         leaders = ranked.agg(F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("order"), "rep", "n", "m", "k", "o", "component")).alias("x"))
         leaders = written(leaders.select("bucket", "members", "x.*"), "leaders")
-        shares = F.ceil(F.col("members") / SHARE).cast("int")
-        ahead = leaders.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
-        behind = left.withColumn("share", F.pmod(F.xxhash64("rep"), shares).cast("int"))
+        ahead = leaders.withColumn("share", F.explode(F.sequence(F.lit(0), _shares("members") - 1)))
+        behind = left.withColumn("share", F.pmod(F.xxhash64("rep"), _shares("members")).cast("int"))
         ahead, behind = (side(df, x, "bucket", "share", F.col("component").alias(f"c_{x}")) for df, x in ((ahead, "a"), (behind, "b")))
         pairs = alike(ahead.join(behind, ["bucket", "share"]).where("c_a <> c_b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -250,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
                 links = links.union(found)
                 linked = united(linked, found)
             tested = tested.union(pairs)
-        entries = left.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n", "m", "k", "o")
+        entries = left.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "was", "rep", "n", "m", "k", "o")
         leaders_each *= 4
     groups = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     groups = written(groups.select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
