@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.nulls import flag, row_count, row_mean, row_variance
+from quern.functions.nulls import flag, num, row_count, row_mean, row_variance
 from quern.functions.residues import distance, prop
 
 SEVEN = ("hydro", "mw", "charge", "polar", "vol", "arom", "blosum")
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
+#: The ten neighbours' names, five before (farthest first) and five behind.
+NEIGHBOURS = [f"up{i}" for i in range(5, 0, -1)] + [f"dn{i}" for i in range(1, 6)]
 Features = dict[str, Column]
 
 
@@ -79,8 +81,7 @@ def substitution_flags(ref: Column, alt: Column) -> Features:
 
 def neighbours(context: Column) -> Features:
     """Block E: properties of the ten neighbours."""
-    names = [f"up{i}" for i in range(5, 0, -1)] + [f"dn{i}" for i in range(1, 6)]
-    return {f"ctx_{n}_{p}": prop(F.get(context, F.lit(k)), p) for k, n in enumerate(names) for p in SEVEN}
+    return {f"ctx_{n}_{p}": prop(F.get(context, F.lit(k)), p) for k, n in enumerate(NEIGHBOURS) for p in SEVEN}
 
 
 def neighbour_summary(context: Column) -> Features:
@@ -157,3 +158,70 @@ def tool_summary(cadd: Column, sift: Column, *others: Column) -> Features:
     scaled = F.when(cadd.isNotNull(), F.least(cadd / F.lit(40.0), F.lit(1.0)))
     values = (scaled, 1 - sift, *others)
     return {"silico_mean": row_mean(*values), "silico_variance": row_variance(*values), "silico_n_tools": row_count(*values)}
+
+
+#: Populations with a frequency of their own, and the columns that blocks pass through.
+POPULATIONS = ("afr", "amr", "eas", "fin", "nfe", "sas")
+CONSERVATION = ("phylop_score", "phastcons_score", "gerp_score")
+CONSTRAINTS = ("pli", "loeuf", "mis_z")
+TOOLS = {"cadd_raw": "cadd_raw", "cadd_phred": "cadd_phred", "revel_score": "revel_score", "polyphen2_hdiv": "polyphen2_hdiv", "polyphen2_hvar": "polyphen2_hvar", "sift_score": "sift_score", "alphamissense": "am_pathogenicity"}
+
+
+def known_or_null(df: DataFrame, name: str) -> Column:
+    """A column as a double, null where the table has none or a value isn't a number."""
+    return num(F.col(f"`{name}`")) if name in df.columns else F.lit(None).cast("double")
+
+
+def context_one_hots(context: Column, letters: str, prefix: str) -> Features:
+    """A column for each neighbour and letter: 10 x 20 for residues, 10 x 4 for nucleotides; none is set beyond an end."""
+    return {f"{prefix}_ctx_{n}_{x}": flag(F.get(context, F.lit(k)) == x) for k, n in enumerate(NEIGHBOURS) for x in letters}
+
+
+def sequence_block(ref_nuc: Column, alt_nuc: Column, ref: Column, alt: Column, position: Column) -> Features:
+    """Letters, one-hots, kind of substitution, position: 57 columns. A position that isn't known is null."""
+    purines, pyrimidines = ("A", "G"), ("C", "T")
+    within = (ref_nuc.isin(*purines) & alt_nuc.isin(*purines)) | (ref_nuc.isin(*pyrimidines) & alt_nuc.isin(*pyrimidines))
+    out: Features = {"ref_nuc": ref_nuc, "alt_nuc": alt_nuc, "ref_aa": ref, "alt_aa": alt}
+    for side, nuc, aa in (("ref", ref_nuc, ref), ("alt", alt_nuc, alt)):
+        out |= one_hot(nuc, "ACGT", f"{side}_nuc") | one_hot(aa, AMINO_ACIDS, f"{side}_aa")
+    out |= {"is_transition": flag(within), "is_transversion": 1 - flag(within), "is_ct_transition": flag((ref_nuc == "C") & (alt_nuc == "T"))}
+    return out | {"aa_position": F.when(position > 0, position.cast("double")), "aa_position_log": log_position(position)}
+
+
+def context_block(residues: Column, bases: Column) -> Features:
+    """Nucleotides around as one-hots, residues around as properties, and their summary: 114 columns."""
+    encoded = {f"aa_{k}": v for k, v in neighbours(residues).items()}
+    return context_one_hots(bases, "ACGT", "nuc") | encoded | neighbour_summary(residues)
+
+
+def biochemical_block(ref: Column, alt: Column) -> Features:
+    """Properties of either residue, differences, distance and six kinds of change: 35 columns."""
+    kinds = substitution_flags(ref, alt)
+    six = ("is_conservative", "is_charge_reversal", "gains_charge", "loses_charge", "hydro_to_polar", "polar_to_hydro")
+    return substitution(ref, alt) | {k: kinds[k] for k in six}
+
+
+def conservation_block(df: DataFrame) -> Features:
+    """Conservation and constraint as they are, null where they aren't known: 6 columns."""
+    return {c: known_or_null(df, c) for c in (*CONSERVATION, *CONSTRAINTS)}
+
+
+def population_block(df: DataFrame) -> Features:
+    """The frequency, how rare it is, and that of each population: 11 columns."""
+    of_all = {k if k.startswith("maf_") else f"maf_{k}": v for k, v in population(known_or_null(df, "gnomad_af_global")).items()}
+    return of_all | {f"maf_{p}": known_or_null(df, f"gnomad_af_{p}") for p in POPULATIONS}
+
+
+def tool_block(df: DataFrame) -> Features:
+    """Seven tools' scores, their mean, variance (of two or more) and number: 10 columns."""
+    scores = {k: known_or_null(df, c) for k, c in TOOLS.items()}
+    n = row_count(*scores.values())
+    return scores | {"silico_mean": row_mean(*scores.values()), "silico_variance": F.when(n > 1, row_variance(*scores.values())), "silico_n_tools": n}
+
+
+def annotate(df: DataFrame, residues: str = "context", bases: str = "bases") -> DataFrame:
+    """df with the six blocks from ref_nuc, alt_nuc, ref_aa, alt_aa, aa_position, the neighbours and the joined scores."""
+    letters = [F.col(c) for c in ("ref_nuc", "alt_nuc", "ref_aa", "alt_aa")]
+    new = sequence_block(*letters, F.col("aa_position")) | context_block(F.col(residues), F.col(bases)) | biochemical_block(*letters[2:])
+    new |= conservation_block(df) | population_block(df) | tool_block(df)
+    return df.select(*(c for c in df.columns if c not in new), *(v.alias(k) for k, v in new.items()))

@@ -11,6 +11,8 @@ EXCLUDED = ("conflicting", "uncertain", "not provided", "drug response", "associ
 NUCLEOTIDES = r"(?i)c\.\d+([ACGT])>([ACGT])"
 MISSENSE = r"p\.[A-Z][a-z]{2}\d+[A-Z][a-z]{2}"
 NOT_MISSENSE = r"(?i)p\..*(?:Ter|\*|fs|del|ins|dup|Ext|Met1\?|=)"
+THREE_LETTERS = r"p\.([A-Z][a-z]{2})(\d+)([A-Z][a-z]{2})"
+ONE_LETTER = r"p\.([A-Z])(\d+)([A-Z])(?![a-z])"
 #: One-letter codes of the residues' three-letter codes.
 RESIDUES = dict(
     Ala="A", Arg="R", Asn="N", Asp="D", Cys="C", Gln="Q", Glu="E", Gly="G", His="H", Ile="I", Leu="L", Lys="K",
@@ -48,7 +50,7 @@ def protein_change(text: Column) -> tuple[Column, Column, Column]:
 
     Three-letter codes come first; only if they give no known pair of residues, one-letter codes.
     """
-    three, one = r"p\.([A-Z][a-z]{2})(\d+)([A-Z][a-z]{2})", r"p\.([A-Z])(\d+)([A-Z])(?![a-z])"
+    three, one = THREE_LETTERS, ONE_LETTER
     codes = F.create_map(*(F.lit(x) for pair in RESIDUES.items() for x in pair))
     valid = "".join(sorted(set(RESIDUES.values()) - {"*"}))
     get = lambda p, g: F.regexp_extract(text, p, g)
@@ -60,6 +62,13 @@ def protein_change(text: Column) -> tuple[Column, Column, Column]:
     return residue(1), residue(3), position
 
 
+def change_or_null(text: Column) -> tuple[Column, Column, Column]:
+    """As protein_change, but all three null where no whole change is stated."""
+    ref, alt, position = protein_change(text)
+    whole = (ref != "X") & (alt != "X") & (position >= 0)
+    return tuple(F.when(whole, c) for c in (ref, alt, position))
+
+
 def last_part(text: Column, separator: str) -> Column:
     return F.trim(F.element_at(F.split(text, separator), -1))
 

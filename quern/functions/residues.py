@@ -76,8 +76,15 @@ def distance_table() -> dict[str, float]:
     return out
 
 
-def _map(values: dict[str, float]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+@cache
+def _by_letter(name: str) -> tuple[float, ...]:
+    """A property of A to Z; of letters that are no residue, X's."""
+    table = property_table()
+    return tuple(table.get(chr(65 + i), table["X"])[name] for i in range(26))
+
+
+def _place(residue: Column) -> Column:
+    return F.ascii(residue) - 65
 
 
 def letter(residue: Column) -> Column:
@@ -92,10 +99,12 @@ def nucleotide(base: Column) -> Column:
 
 
 def prop(residue: Column, name: str) -> Column:
-    """A property of a letter from letter()."""
-    return F.element_at(_map({k: v[name] for k, v in property_table().items()}), residue)
+    """A property of a letter from letter(): an array's element at the letter's place, no search."""
+    return F.get(F.array(*map(F.lit, _by_letter(name))), _place(residue))
 
 
 def distance(a: Column, b: Column) -> Column:
     """Chemical distance, 0 for equal letters, 100 if either is unknown."""
-    return F.when(a == b, F.lit(0.0)).otherwise(F.coalesce(F.element_at(_map(distance_table()), F.concat(a, b)), F.lit(UNKNOWN_DISTANCE)))
+    table = distance_table()
+    pairs = F.array(*(F.lit(table.get(chr(65 + i) + chr(65 + j), UNKNOWN_DISTANCE)) for i in range(26) for j in range(26)))
+    return F.when(a == b, F.lit(0.0)).otherwise(F.coalesce(F.get(pairs, _place(a) * 26 + _place(b)), F.lit(UNKNOWN_DISTANCE)))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import random
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import ordered, select, stats
+
 #: Two settings of the learner stand for the two learners of an ensemble.
 LEARNERS = {"deep": {"maxDepth": 4, "maxIter": 8, "stepSize": 0.2}, "shallow": {"maxDepth": 2, "maxIter": 12, "stepSize": 0.3}}
 
@@ -72,8 +78,17 @@ class Ensemble:
         return sums
 
     def save(self, path: str) -> None:
+        """Every learner's pipeline and the fill values, in one folder."""
+        spark = SparkSession.getActiveSession()
         for name, model in self.models.items():
             model.write().overwrite().save(f"{path}/{name}")
+        told = {"learners": list(self.models), "fills": self.fills}
+        spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/ensemble")
+
+    @classmethod
+    def load(cls, path: str) -> Ensemble:
+        told = json.loads(SparkSession.getActiveSession().read.text(f"{path}/ensemble").first()[0])
+        return cls({name: PipelineModel.load(f"{path}/{name}") for name in told["learners"]}, told["fills"])
 
 
 def out_of_fold(df: DataFrame, label: str, numeric: list[str], categorical: list[str], fold: str = "fold", k: int = 5) -> DataFrame:
@@ -110,21 +125,105 @@ def stacked(model: PipelineModel, df: DataFrame, scores: list[str]) -> DataFrame
     return model.transform(ready).withColumn("p_stack", probability()).select(*df.columns, "p_stack")
 
 
-def stacked_out_of_fold(df: DataFrame, label: str, scores: list[str], fold: str = "fold", k: int = 5) -> DataFrame:
+def stacked_out_of_fold(df: DataFrame, label: str, scores: list[str], fold: str = "fold", k: int = 5, c: float = 1.0) -> DataFrame:
     """df with p_stack, each row scored by the stack that was fitted on the other folds."""
     parts = None
     for i in range(k):
-        scored = stacked(stack(df.where(F.col(fold) != i), label, scores), df.where(F.col(fold) == i), scores)
+        scored = stacked(stack(df.where(F.col(fold) != i), label, scores, c), df.where(F.col(fold) == i), scores)
         parts = scored if parts is None else parts.unionByName(scored)
     return parts
 
 
-def search(df: DataFrame, label: str, numeric: list[str], trials: int = 8, fold: str = "fold", k: int = 3, seed: int = 42) -> list[tuple[dict, float]]:
-    """Random settings of the learner and their mean AUC over the folds, best first."""
-    import random
+def fold_aucs(scored: DataFrame, label: str, scores: list[str], fold: str = "fold") -> DataFrame:
+    """fold, learner, auc, n_rows of each score in each fold."""
+    long = scored.unpivot([fold, label], scores, "learner", "_s")
+    auc = stats.roc_auc(long, label, "_s", [fold, "learner"])
+    return auc.select(fold, "learner", "auc", (F.col("n_pos") + F.col("n_neg")).alias("n_rows"))
+
+
+def leave_one_out_scores(df: DataFrame, label: str, numeric: list[str], key: str, most: int = 200) -> DataFrame:
+    """key, label, p of a table of a few rows: each row is scored by a logistic regression on all the others."""
+    rows = select.leave_one_out(df.na.fill(fill_values(df, numeric, [])), key, most).withColumn("label", F.col(label).cast("double"))
+    stages, parts = preprocessor(numeric, []), None
+    for r in rows.select("fold").collect():
+        others = rows.where(F.col("fold") != r.fold)
+        model = Pipeline(stages=[*stages, LogisticRegression(regParam=1.0 / most)]).fit(others)
+        one = model.transform(rows.where(F.col("fold") == r.fold)).select(key, F.col("label").cast("int").alias("y"), probability().alias("p"))
+        parts = one if parts is None else parts.union(one)
+    return parts
+
+
+def binary_calls(df: DataFrame, score: str, youden: Column, sensitive: Column) -> DataFrame:
+    """df with pred_youden and pred_sens90: whether the score reaches either threshold."""
+    return df.withColumns({"pred_youden": (F.col(score) >= youden).cast("int"), "pred_sens90": (F.col(score) >= sensitive).cast("int")})
+
 
-    from quern.operators.stats import roc_auc
+@dataclass(frozen=True)
+class Scorer:
+    """A fitted ensemble with its calibration and thresholds (of all rows, and of single panels)."""
 
+    ensemble: Ensemble
+    calibrated: object
+    thresholds: DataFrame
+    columns: tuple[str, ...]
+
+    @classmethod
+    def fit(cls, fit: DataFrame, held: DataFrame, label: str, numeric: list[str], categorical: list[str], panel: str, least_sensitivity: float = 0.90) -> Scorer:
+        """The ensemble learns from fit; calibration and each panel's thresholds from held."""
+        ensemble = Ensemble.fit(fit, label, numeric, categorical)
+        _, calibrated = isotonic(ensemble.score(held), label, "p_ensemble")
+        scored = calibrated(ensemble.score(held)).persist()
+        both = stats.panel_thresholds(scored, label, "calibrated", panel)
+        high = stats.panel_sensitivity_thresholds(scored, label, "calibrated", panel, least_sensitivity)
+        return cls(ensemble, calibrated, both.select(panel, "threshold").join(high.select(panel, F.col("threshold").alias("sensitive")), panel).persist(), (*numeric, *categorical))
+
+    def score(self, df: DataFrame, panel: str) -> DataFrame:
+        """df with P_raw_ensemble, P_pathogenic (calibrated), pred_youden and pred_sens90 by the panel's thresholds; a panel that
+        wasn't held has the thresholds' mean."""
+        out = self.calibrated(self.ensemble.score(df)).withColumnsRenamed({"p_ensemble": "P_raw_ensemble", "calibrated": "P_pathogenic"})
+        mean = self.thresholds.agg(F.avg("threshold"), F.avg("sensitive")).first()
+        out = out.join(F.broadcast(self.thresholds), panel, "left")
+        calls = binary_calls(out, "P_pathogenic", F.coalesce("threshold", F.lit(mean[0])), F.coalesce("sensitive", F.lit(mean[1])))
+        return calls.drop("threshold", "sensitive")
+
+
+def choose_strength(df: DataFrame, label: str, scores: list[str], fold: str = "fold", k: int = 5, among: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> tuple[float, dict[float, float]]:
+    """The first inverse strength with the best out-of-fold AUC, and the AUC of each."""
+    found = {c: stats.roc_auc(stacked_out_of_fold(df, label, scores, fold, k, c), label, "p_stack").first().auc or 0.0 for c in among}
+    return max(among, key=lambda c: (round(found[c], 12), -among.index(c))), found
+
+
+def ablation(df: DataFrame, label: str, base: list[str], more: list[str], key: str, fold: str = "fold", k: int = 5, rounds: int = 50) -> DataFrame:
+    """One row: AUC out of fold of the stack on base and on base and more, their difference, its test and interval."""
+    small = stacked_out_of_fold(df, label, base, fold, k).select(key, F.col(label).alias("y"), F.col("p_stack").alias("p_base"))
+    large = stacked_out_of_fold(df, label, [*base, *more], fold, k).select(key, F.col("p_stack").alias("p_more"))
+    return _compared(small.join(large, key).persist(), key, rounds)
+
+
+def _compared(rows: DataFrame, key: str, rounds: int) -> DataFrame:
+    test = stats.delong(rows, "y", "p_more", "p_base")
+    drawn = stats.paired_bootstrap(rows, "y", "p_more", "p_base", F.col(key), rounds)
+    n = rows.agg(F.count("*").alias("n"))
+    return n.crossJoin(test).crossJoin(drawn.select("lo", "hi")).select(
+        "n", F.col("auc_b").alias("auc_base"), F.col("auc_a").alias("auc_more"), "delta", "z", stats.normal_p(F.col("z")).alias("p"), "lo", "hi"
+    )
+
+
+def panel_evaluation(train: DataFrame, test: DataFrame, label: str, base: list[str], more: list[str], key: str, panel: str, strength: float = 1.0, least: int = 10, rounds: int = 50) -> DataFrame:
+    """panel, n, auc_base, auc_more, delta, z, p, lo, hi of stacks fitted on train, on each test panel with both classes and enough rows."""
+    small, large = stack(train, label, base, strength), stack(train, label, [*base, *more], strength)
+    a = stacked(small, test, base).withColumnRenamed("p_stack", "p_base")
+    scored = stacked(large, a, [*base, *more]).select(panel, key, F.col(label).alias("y"), "p_base", F.col("p_stack").alias("p_more")).persist()
+    enough = scored.groupBy(panel).agg(F.count("*").alias("n"), F.count_distinct("y").alias("classes")).where((F.col("n") >= least) & (F.col("classes") == 2))
+    out = None
+    for name in sorted(r[0] for r in enough.collect()):  # a few panels
+        row = _compared(scored.where(F.col(panel) == name), key, rounds).select(F.lit(name).alias(panel), "*")
+        out = row if out is None else out.union(row)
+    return out if out is not None else _compared(scored.limit(0), key, 1).select(F.lit("").alias(panel), "*").limit(0)
+
+
+def search(df: DataFrame, label: str, numeric: list[str], trials: int = 8, fold: str = "fold", k: int = 3, seed: int = 42) -> list[tuple[dict, float]]:
+    """Random settings of the learner and their mean AUC over the folds, best first."""
     draw, out = random.Random(seed), []
     fills = fill_values(df, numeric, [])
     ready = df.na.fill(fills).withColumn("label", F.col(label).cast("double"))
@@ -134,7 +233,7 @@ def search(df: DataFrame, label: str, numeric: list[str], trials: int = 8, fold:
         for i in range(k):
             model = Pipeline(stages=[*preprocessor(numeric, []), GBTClassifier(seed=seed, **settings)]).fit(ready.where(F.col(fold) != i))
             scored = model.transform(ready.where(F.col(fold) == i)).select(label, probability().alias("_p"))
-            scores.append(roc_auc(scored, label, "_p").first().auc)
+            scores.append(stats.roc_auc(scored, label, "_p").first().auc)
         known = [x for x in scores if x is not None]
         out.append((settings, sum(known) / len(known) if known else 0.0))
     return sorted(out, key=lambda x: -x[1])
@@ -142,15 +241,25 @@ def search(df: DataFrame, label: str, numeric: list[str], trials: int = 8, fold:
 
 def permutation_importance(model: Ensemble, df: DataFrame, label: str, columns: list[str], key: str, seed: int = 42) -> list[tuple[str, float]]:
     """Loss of AUC when a column's values are dealt anew among the rows by a drawn order; largest loss first."""
-    from quern.operators.ordered import drawn_places
-    from quern.operators.select import draw
-    from quern.operators.stats import roc_auc
-
-    base = roc_auc(model.score(df), label, "p_ensemble").first().auc or 0.0
+    base = stats.roc_auc(model.score(df), label, "p_ensemble").first().auc or 0.0
     out = []
     for c in columns:
-        placed = lambda s: drawn_places(df, [], draw(s, F.col(key)), key)
+        placed = lambda s: ordered.drawn_places(df, [], select.draw(s, F.col(key)), key)
         values = placed(seed + 1).select("place", F.col(c).alias("_v"))
         dealt = placed(seed).join(values, "place").withColumn(c, F.col("_v")).select(df.columns)
-        out.append((c, base - (roc_auc(model.score(dealt), label, "p_ensemble").first().auc or 0.0)))
+        out.append((c, base - (stats.roc_auc(model.score(dealt), label, "p_ensemble").first().auc or 0.0)))
     return sorted(out, key=lambda x: -x[1])
+
+
+def search_history(spark: SparkSession, found: list[tuple[dict, float]]) -> DataFrame:
+    """trial (best first), setting, value, auc: the history of search, a row for each setting of a trial."""
+    rows = [(i, k, float(v), float(auc)) for i, (settings, auc) in enumerate(found) for k, v in sorted(settings.items())]
+    return spark.createDataFrame(rows, "trial int, setting string, value double, auc double")
+
+
+def setting_importances(history: DataFrame) -> DataFrame:
+    """setting, importance: the share of the trials' variance that lies between the values of a setting."""
+    cells = history.groupBy("setting", "value").agg(F.avg("auc").alias("mean"), F.count("*").alias("n"))
+    total = history.groupBy("setting").agg(F.avg("auc").alias("all"), F.var_pop("auc").alias("spread"), F.count("*").alias("trials"))
+    parts = cells.join(total, "setting").groupBy("setting", "spread", "trials").agg(F.sum(F.col("n") * (F.col("mean") - F.col("all")) * (F.col("mean") - F.col("all"))).alias("between"))
+    return parts.select("setting", F.coalesce(F.try_divide(F.col("between") / F.col("trials"), F.col("spread")), F.lit(0.0)).alias("importance")).orderBy(F.desc("importance"), "setting")

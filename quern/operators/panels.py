@@ -41,6 +41,14 @@ def supplemented(rows: DataFrame, more: DataFrame, seed: int = 42, extra: int =
     return rows.unionByName(chosen, allowMissingColumns=True)
 
 
+def with_any_star(pool: DataFrame, raw: DataFrame, name: str, target: int) -> DataFrame:
+    """pool with negatives of any review level, where it is a single gene's and less than half of target; new ids only."""
+    if len(PANELS.get(name, ())) != 1 or pool.count() >= 0.5 * target:
+        return pool
+    more = panel(labelled(raw, reviewed=None).where("label = 0"), name).join(pool, "VariationID", "left_anti")
+    return pool.unionByName(more.select(*pool.columns))
+
+
 def panel(rows: DataFrame, name: str, general_excludes: bool = True) -> DataFrame:
     """The rows of a panel; the general one is all but the others' genes."""
     gene = F.coalesce(F.col("GeneSymbol"), F.lit(""))

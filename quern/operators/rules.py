@@ -7,8 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.nulls import row_mean
-from quern.functions.residues import distance, prop
+from quern.functions.features import POPULATIONS, known_or_null
+from quern.functions.nulls import row_mean, row_values
+from quern.functions.residues import distance, letter, prop
+from quern.functions.schema import CONSERVATION
+
+#: The tools whose mean the rules PP3 and BP4 judge.
+PP3_TOOLS = ("cadd_phred", "revel_score", "polyphen2_hdiv", "polyphen2_hvar", "sift_score", "alphamissense")
 
 
 @dataclass(frozen=True)
@@ -54,6 +59,24 @@ def substitution_rules(af: Column, population_max: Column, conservation_max: Col
     ]
 
 
+def normalised_tools(df: DataFrame) -> list[Column]:
+    """The tools' scores, all growing with damage within 0 to 1: the scaled one over 40 up to 1, the inverse one turned."""
+    out = []
+    for name in PP3_TOOLS:
+        x = known_or_null(df, name)
+        out.append(F.when(x.isNotNull(), F.least(x / F.lit(40.0), F.lit(1.0))) if name == "cadd_phred" else 1 - x if name == "sift_score" else x)
+    return out
+
+
+def column_rules(df: DataFrame, feature_set: str = "core") -> list[Rule]:
+    """The rule table over a table's own columns: whichever populations, conservation scores and (in full) tools it has."""
+    highest = lambda names: F.array_max(row_values(*(known_or_null(df, c) for c in names)))
+    silico = normalised_tools(df) if feature_set == "full" else None
+    return substitution_rules(
+        known_or_null(df, "maf_global"), highest([f"maf_{p}" for p in POPULATIONS]), highest(sorted(CONSERVATION)), known_or_null(df, "pli"), letter(F.col("ref_aa")), letter(F.col("alt_aa")), silico
+    )
+
+
 def rule_counts(scored: DataFrame) -> DataFrame:
     """How often each rule fired."""
     return scored.where("rules <> ''").select(F.explode(F.split("rules", ",")).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))

@@ -112,6 +112,16 @@ def panel_thresholds(df: DataFrame, label: str, score: str, by: str, least: int
     return enough.join(best, by, "left").select(by, threshold.alias("threshold"), "own")
 
 
+def panel_sensitivity_thresholds(df: DataFrame, label: str, score: str, by: str, least_sensitivity: float = 0.90, least: int = 30) -> DataFrame:
+    """by, threshold, own: each group's highest threshold with enough sensitivity, or that of all rows where it has one class or too few rows."""
+    own = threshold_grid(df, label, score, [by]).groupBy(by).agg(F.max(F.when(F.col("sensitivity") >= least_sensitivity, F.col("threshold"))).alias("own_threshold"))
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    enough = rows.groupBy(by).agg(((F.count("*") >= least) & (F.count_distinct(label) == 2)).alias("own"))
+    overall = sensitivity_threshold(df, label, score, least_sensitivity).first()
+    threshold = F.when(F.col("own"), F.coalesce("own_threshold", F.lit(0.05))).otherwise(F.lit(overall.threshold))
+    return enough.join(own, by, "left").select(by, threshold.alias("threshold"), "own")
+
+
 def sensitivity_threshold(df: DataFrame, label: str, score: str, least: float = 0.90) -> DataFrame:
     """The highest grid threshold with enough sensitivity, 0.05 if there is none."""
     return threshold_grid(df, label, score).agg(F.coalesce(F.max(F.when(F.col("sensitivity") >= least, F.col("threshold"))), F.lit(0.05)).alias("threshold"))

@@ -137,11 +137,6 @@ def neighbour_features(spark, sf_dir):
     return _context(spark, sf_dir).select("doc_id", *(v.alias(k) for k, v in fx.neighbours(F.col("context")).items()))
 
 
-@query()
-def enriched(spark, sf_dir):
-    return fx.enrich(_context(spark, sf_dir))
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS maf_global, round(log10(l_discount + 1e-6), 6) AS maf_log10, (l_discount < 0.0001)::INT AS is_rare, (l_discount < 0.000001)::INT AS is_very_rare, (l_discount > 0.01)::INT AS is_common FROM lineitem""")
 def population_flags(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")

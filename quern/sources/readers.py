@@ -12,7 +12,7 @@ from quern.operators.select import keep_first
 VARIANTS = "VariationID STRING, Assembly STRING, Type STRING, ReviewStatus STRING, ClinicalSignificance STRING, Name STRING, GeneSymbol STRING, Chromosome STRING, Start BIGINT"
 SCORES = "chrom STRING, pos BIGINT, ref STRING, alt STRING, genome STRING, uniprot_id STRING, transcript_id STRING, protein_variant STRING, am_pathogenicity DOUBLE, am_class STRING"
 _COUNTS = "STRUCT<af: DOUBLE, ac: BIGINT, an: BIGINT, populations: ARRAY<STRUCT<id: STRING, ac: BIGINT, an: BIGINT>>>"
-POPULATION = f"variant_id STRING, pos BIGINT, ref STRING, alt STRING, hgvsp STRING, consequence STRING, genome {_COUNTS}, exome {_COUNTS}"
+POPULATION = f"variant_id: STRING, pos: BIGINT, ref: STRING, alt: STRING, hgvsp: STRING, consequence: STRING, genome: {_COUNTS}, exome: {_COUNTS}"
 #: Names that versions of the constraint table give to its columns, first choice first.
 CONSTRAINT_NAMES = {"pli": ("pLI", "lof.pLI", "exac_pLI"), "loeuf": ("oe_lof_upper", "lof.oe_ci.upper", "LOEUF"), "mis_z": ("mis_z", "mis.z_score", "exac_mis_z")}
 
@@ -34,7 +34,9 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", heade
         names = declared.fieldNames()
     text = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())])
     rows = reader.option("header", header).schema(text).csv(path)
-    fields = F.size(F.split(F.col("_corrupt"), sep if sep != "|" else r"\|"))
+    # the reader refuses a plan that needs nothing but the corrupt record, as a mere count would; no letter of a real column is added
+    whole = F.concat("_corrupt", F.substring(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")), 1, 0))
+    fields = F.size(F.split(whole, sep if sep != "|" else r"\|"))
     rows = rows.where(F.col("_corrupt").isNull() | (fields <= len(names)))
     out = []
     for f in declared.fields:
@@ -87,20 +89,27 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return keep_first(rows, ["gene"], [-F.length("seq"), F.col("seq")])
 
 
-def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents, one file or many."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def documents(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """JSON documents, one file or many (path may have wildcards): a document a file, or a line."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+
+
+def population_records(genes: DataFrame) -> DataFrame:
+    """gene and the fields of each variant, from documents with a gene and its list of variants (POPULATION)."""
+    return genes.select("gene", F.explode("variants").alias("v")).select("gene", "v.*")
 
 
 def population_rows(raw: DataFrame, populations: tuple[str, ...] = ("afr", "amr", "eas", "fin", "nfe", "sas"), least: float = 0.001) -> DataFrame:
-    """Common missense variants of a gene's population records, flat: frequency from genomes, else exomes."""
+    """Common missense variants of population records, flat and labelled benign: the frequency from genomes, else exomes."""
     from quern.functions.parse import frequency, last_part
 
     af = F.when(F.col("genome.af") > 0, F.col("genome.af")).otherwise(F.col("exome.af"))
-    kept = raw.where(F.col("consequence").contains("missense") & (F.coalesce(af, F.lit(0.0)) >= least))
+    kept = raw.where(F.lower("consequence").contains("missense") & (F.coalesce(af, F.lit(0.0)) >= least))
+    gene = F.col("gene") if "gene" in raw.columns else F.lit(None).cast("string")
     return kept.select(
-        F.concat(F.lit("gnomad_"), "variant_id").alias("VariationID"), F.split("variant_id", "-")[0].alias("Chromosome"), F.col("pos").alias("Start"), F.col("ref").alias("ReferenceAllele"), F.col("alt").alias("AlternateAllele"),
-        F.coalesce(last_part(F.col("hgvsp"), ":"), F.lit("")).alias("ProteinChange"), F.lit(0).alias("label"), F.lit("gnomAD").alias("source"), af.alias("gnomad_af_global"),
+        gene.alias("GeneSymbol"), F.concat(F.lit("gnomad_"), "variant_id").alias("VariationID"), F.col("variant_id").alias("Name"), F.lit("Benign_gnomAD").alias("ClinicalSignificance"),
+        F.lit(0).alias("label"), F.lit("gnomad_common").alias("label_confidence"), F.lit("gnomAD").alias("source"), F.split("variant_id", "-")[0].alias("Chromosome"), F.col("pos").alias("Start"),
+        F.col("ref").alias("ReferenceAllele"), F.col("alt").alias("AlternateAllele"), F.coalesce(last_part(F.col("hgvsp"), ":"), F.lit("")).alias("ProteinChange"), af.alias("gnomad_af_global"),
         *(frequency(F.col("genome"), F.col("exome"), p).alias(f"gnomad_af_{p}") for p in populations),
     )
 

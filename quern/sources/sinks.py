@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.metadata
+import importlib.util
 import json
+import logging
+import platform
+import sys
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +42,39 @@ def markdown(rows: list[dict], digits: int = 3) -> str:
     return "\n".join(lines + ["| " + " | ".join(shown(r.get(n)) for n in names) + " |" for r in rows])
 
 
+def copied(spark: SparkSession, source: str, target: str) -> str:
+    """A file or folder copied under a stable name, through Spark's file systems; an older copy is replaced."""
+    hadoop, configuration = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    a, b = hadoop.Path(source), hadoop.Path(target)
+    from_, to = a.getFileSystem(configuration), b.getFileSystem(configuration)
+    fresh = hadoop.Path(f"{target}.{uuid.uuid4().hex}")
+    hadoop.FileUtil.copy(from_, a, to, fresh, False, True, configuration)
+    to.delete(b, True)
+    if not to.rename(fresh, b):
+        raise OSError(f"{target} could not be replaced")
+    return target
+
+
+def logger(name: str, file: str | None = None) -> logging.Logger:
+    """A logger to standard output and, if named, a file on the driver; asked for again it gets no second handler."""
+    out = logging.getLogger(name)
+    out.setLevel(logging.INFO)
+    wanted = [logging.StreamHandler(sys.stdout)] + ([logging.FileHandler(file, encoding="utf-8")] if file else [])
+    for handler in wanted:
+        known = any(type(h) is type(handler) and getattr(h, "baseFilename", None) == getattr(handler, "baseFilename", None) for h in out.handlers)
+        if not known:
+            handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+            out.addHandler(handler)
+    return out
+
+
+def environment() -> dict[str, str]:
+    """Versions of what a result depends on."""
+    names = ("pyspark", "pyarrow", "numpy", "pandas")
+    found = {n: importlib.metadata.version(n) for n in names if importlib.util.find_spec(n)}
+    return {"python": platform.python_version(), "system": platform.system(), "machine": platform.machine(), **found}
+
+
 def file_digest(path: str) -> str:
     digest = hashlib.md5()
     with open(path, "rb") as f:
