@@ -36,7 +36,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: later stages read it, lost executors don't lose it."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that only finished tables were made from.
+
+    Then the driver collects its garbage, so that Spark drops the exchanges of plans nobody holds any
+    more; a long loop would else fill the executors' disks.
+    """
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def remove_work_tables(spark: SparkSession) -> None:
