@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.work import forget, fresh_path, remove_work_tables, shared_dir, stored  # noqa: F401
+
 #: White space that separates words, as a Java character class.
 SPACE = r"\x20\x09-\x0D"
 WORDS = rf"[{SPACE}]+"
@@ -19,41 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in spark.checkpoint.dir. Only with a master on this machine, as in tests, a
-    temporary folder may take its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 def written(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
-    """df as a table in the shared folder: later stages read it, lost executors don't lose it.
+    """df as a table in the shared folder (see work.stored).
 
     batch: rows of an Arrow batch on the way through Python, where a row may hold a very long text.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    with small_batches(spark, batch) if batch else contextlib.nullcontext():
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_work_tables(spark: SparkSession) -> None:
-    """Delete what this application has left in the shared folder, once its results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    with small_batches(df.sparkSession, batch) if batch else contextlib.nullcontext():
+        return stored(df, label)
 
 
 @contextlib.contextmanager

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import clean_text, text_bytes, written
+from quern.llm.common import clean_text, forget, text_bytes, written
 
 LEAST_WORDS = 50
 
@@ -34,8 +36,8 @@ def _line_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", clean_text()).mapInArrow(run, f"doc_id {kind}, line int, key binary, words int")
 
 
-def dense_ranks(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """df in the order of columns, with its rows' numbers from 1 on as name.
+def dense_ranks(df: DataFrame, columns: list[str], name: str) -> tuple[DataFrame, int]:
+    """df in the order of columns, with its rows' numbers from 1 on as name, and how many there are.
 
     Ranges are dealt to tasks and sorted there; monotonically_increasing_id holds a row's task and its
     place in it, and the tasks' sizes, a row a task, give the numbers before.
@@ -49,7 +51,8 @@ def dense_ranks(df: DataFrame, columns: list[str], name: str) -> DataFrame:
         first += n
     starts = df.sparkSession.createDataFrame(rows, "_part long, _first long")
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_first") + place).drop("_part", "_first", "_at")
+    numbered = ordered.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_first") + place).drop("_part", "_first", "_at")
+    return numbered, first - 1
 
 
 def live_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -73,67 +76,75 @@ def live_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     stretch = stretch.withColumn("total", F.sum("words").over(by_run)).where(F.col("total") >= least_words)
     stretch = stretch.withColumns({"at": F.row_number().over(by_run.orderBy("line")) - 1, "n": F.count("*").over(by_run)})
     stretch = stretch.select("doc_id", "line", "key", "words", F.col("at").cast("long").alias("at"), (F.col("n") - F.col("at")).alias("left"))
-    return dense_ranks(stretch, ["doc_id", "line"], "pos")
+    live = written(dense_ranks(stretch, ["doc_id", "line"], "pos")[0], "live")
+    forget(lines, repeated)
+    return live
 
 
-def prefix_doubling(ids: DataFrame) -> DataFrame:
-    """pos, rank of every suffix of the stretches, from ids (pos, left, rank: the rank of the line itself).
+def prefix_doubling(ids: DataFrame) -> list[DataFrame]:
+    """pos, left, rank of every suffix of the stretches by its first 1, 2, 4, ... lines, from ids (pos, left, rank: of the line itself).
 
     Round k ranks the pairs of ranks of pos and of pos + 2^k (0 behind the stretch's end), which orders
-    suffixes by their first 2^(k+1) lines; it ends when no rank is split any more. Equal pairs are made
-    one row before they are sorted, so a line that all documents share is one row there too.
+    suffixes by their first 2^(k+1) lines; it ends when no rank is split any more, so suffixes of equal
+    rank in the last table are equal. Equal pairs are made one row before they are sorted, so a line
+    that all documents share is one row there too.
     """
-    now, known, step = ids, ids.select("rank").distinct().count(), 1
+    levels, known, step = [ids], ids.select("rank").distinct().count(), 1
     longest = ids.agg(F.max("left")).first()[0] or 0
     while step < longest:
-        ahead = now.select((F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        pairs = now.join(ahead, "pos", "left").withColumn("next", F.when(F.col("left") > step, F.col("next")).otherwise(F.lit(0).cast("long")))
+        ahead = levels[-1].select((F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        pairs = levels[-1].join(ahead, "pos", "left").withColumn("next", F.when(F.col("left") > step, F.col("next")).otherwise(F.lit(0).cast("long")))
         pairs = written(pairs, "pairs")
-        ranks = written(dense_ranks(pairs.select("rank", "next").distinct(), ["rank", "next"], "fresh"), "ranks")
-        count = ranks.count()
+        ranks, count = dense_ranks(pairs.select("rank", "next").distinct(), ["rank", "next"], "fresh")
         if count == known:
             break
-        now = written(pairs.join(ranks, ["rank", "next"]).select("pos", "left", F.col("fresh").alias("rank")), "suffixes")
+        levels.append(written(pairs.join(ranks, ["rank", "next"]).select("pos", "left", F.col("fresh").alias("rank")), "suffixes"))
+        forget(pairs)
         known, step = count, 2 * step
-    return now.select("pos", "rank")
+    return levels
 
 
-def common_prefixes(order: DataFrame, stretches: DataFrame) -> DataFrame:
+def common_prefixes(order: DataFrame, levels: list[DataFrame], stretches: DataFrame) -> DataFrame:
     """sa, lcp: how many lines the suffixes sa - 1 and sa have in common.
 
-    order: sa, pos, first (the pos its stretch begins with). stretches: first, ranks (of its lines in
-    order). The neighbours in the suffix array are gathered by pairs of stretches; for each diagonal of
-    such a pair the lines are compared once.
+    order: sa, pos of all suffixes; levels: see prefix_doubling; stretches: pos, left, first (the pos its
+    stretch begins with). If the same line stands before both suffixes of a pair, the suffixes one
+    line earlier are neighbours too and have one line more in common; so lines are compared only where
+    the lines before differ, and the other pairs count down from there. The comparison takes the
+    highest level at which two suffixes have the same rank, moves on by that many lines, and so on: a
+    round of look-ups for each bit of the result, each row a few numbers whatever the stretch's length.
     """
-    import numpy as np
-
-    before = order.select((F.col("sa") + 1).alias("sa"), F.col("pos").alias("pos_a"), F.col("first").alias("first_a"))
-    pairs = order.join(before, "sa").withColumns({"i": F.col("pos_a") - F.col("first_a"), "j": F.col("pos") - F.col("first")})
-    pairs = pairs.groupBy("first_a", "first").agg(F.collect_list(F.struct("sa", "i", "j")).alias("places"))
-    pairs = pairs.join(stretches.select(F.col("first").alias("first_a"), F.col("ranks").alias("ranks_a")), "first_a")
-    pairs = pairs.join(stretches, "first").select("places", "ranks_a", "ranks")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sa, lcp = [], []
-            for k in range(batch.num_rows):
-                a, b = (np.asarray(batch.column(c)[k].values) for c in (1, 2))
-                diagonals = {}
-                for x in batch.column(0)[k].as_py():
-                    diagonals.setdefault(x["i"] - x["j"], []).append((x["i"], x["sa"]))
-                for d, places in diagonals.items():
-                    start = max(0, d)
-                    n = min(len(a), len(b) + d) - start
-                    differs = np.flatnonzero(a[start : start + n] != b[start - d : start - d + n]) + start
-                    ends = np.append(differs, start + n)
-                    i = np.array([p[0] for p in places])
-                    sa += [p[1] for p in places]
-                    lcp += (ends[np.searchsorted(ends, i)] - i).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(sa, pa.int64()), pa.array(lcp, pa.int64())], names=["sa", "lcp"])
-
-    return pairs.mapInArrow(run, "sa long, lcp long")
+    lines = levels[0].select("pos", "rank").join(stretches, "pos")
+    before = lines.select((F.col("pos") + 1).alias("pos"), F.col("rank").alias("line_before"), F.col("first").alias("first_before"))
+    there = order.join(lines.drop("rank"), "pos").join(before, "pos", "left")
+    there = written(there.withColumn("line_before", F.when(F.col("first") == F.col("first_before"), F.col("line_before"))).drop("first_before"), "suffix_order")
+    above = there.select((F.col("sa") + 1).alias("sa"), F.col("pos").alias("a"), F.col("left").alias("left_a"), F.col("line_before").alias("before_a"))
+    pairs = there.join(above, "sa").withColumn("new", ~F.coalesce(F.col("line_before") == F.col("before_a"), F.lit(False)))
+    pairs = written(pairs.select("sa", F.col("pos").alias("b"), F.col("left").alias("left_b"), "first", "a", "left_a", "new"), "neighbours")
+
+    ranks = [t.select("pos", F.struct(F.lit(k).alias("k"), "rank").alias("x")) for k, t in enumerate(levels)]
+    ranks = reduce(DataFrame.union, ranks).groupBy("pos").agg(F.sort_array(F.collect_list("x")).alias("x")).select("pos", F.col("x.rank").alias("ranks"))
+    ranks, top = written(ranks, "all_ranks"), len(levels) - 1
+    active = pairs.where("new").select("sa", "a", "b", "left_a", "left_b", F.lit(0).cast("long").alias("off"), F.lit(top).alias("below"))
+    done = None
+    while True:
+        for x in "ab":
+            place = ranks.select((F.col("pos")).alias(f"at_{x}"), F.col("ranks").alias(f"ranks_{x}"))
+            active = active.withColumn(f"at_{x}", F.col(x) + F.col("off")).join(place, f"at_{x}")
+        same = F.filter(F.sequence(F.lit(0), F.col("below")), lambda k: F.get("ranks_a", k) == F.get("ranks_b", k))
+        active = active.withColumn("k", F.coalesce(F.array_max(same), F.lit(-1)))
+        rest = F.least(F.col("left_a"), F.col("left_b")) - F.col("off")
+        gain = F.when(F.col("k") < 0, F.lit(0)).when(F.col("k") == top, rest).otherwise(F.least(F.pow(F.lit(2.0), F.col("k")).cast("long"), rest))
+        active = active.withColumns({"off": F.col("off") + gain, "over": (F.col("k") <= 0) | (F.col("k") == top) | (gain == rest)})
+        active = written(active.select("sa", "a", "b", "left_a", "left_b", "off", "over", F.greatest(F.col("k") - 1, F.lit(0)).alias("below")), "compared")
+        ended = active.where("over").select("sa", F.col("off").alias("lcp"))
+        done = ended if done is None else done.union(ended)
+        active = active.where("not over").drop("over")
+        if active.isEmpty():
+            break
+    counted = pairs.join(done, "sa", "left").withColumn("from", F.when(F.col("new"), F.struct(F.col("b").alias("pos"), "lcp")))
+    last = F.last("from", ignorenulls=True).over(Window.partitionBy("first").orderBy("b"))
+    return counted.withColumn("from", last).select("sa", (F.col("from.lcp") - (F.col("b") - F.col("from.pos"))).alias("lcp"))
 
 
 def _narrowed(entries) -> list[tuple[int, int]]:
@@ -172,13 +183,58 @@ def scan(pos, joins, carry) -> list[int]:
     return out
 
 
-def earlier_copies(table: DataFrame, chunk: int = 50_000) -> DataFrame:
+def _after(held, least: int, entries) -> list[tuple[int, int]]:
+    """What is held behind a chunk: what was held before it, as far as its least common prefix lets through, and its own entries."""
+    return _narrowed([*((min(c, least), q) for c, q in held), *entries])
+
+
+def carried(sums: DataFrame, fan: int = 256) -> DataFrame:
+    """chunk, side, held: for each chunk what those before it (side 0) or behind it (side 1) hand on, from the chunks' summaries
+    (chunk, side, least, entries).
+
+    A scan by a tree: groups of fan chunks are summed up in tasks, their sums are scanned the same way,
+    and each group then goes through its chunks from what it was handed. No task and no driver holds
+    more than fan summaries.
+    """
+
+    def ordered(pdf):
+        return pdf.sort_values("chunk", ascending=not pdf["side"].iloc[0])
+
+    def through(pdf, held):
+        import pandas as pd
+
+        rows = []
+        for r in ordered(pdf).itertuples():
+            rows.append((r.chunk, r.side, [list(e) for e in held]))
+            held = _after(held, r.least, [tuple(e) for e in r.entries])
+        return pd.DataFrame(rows, columns=["chunk", "side", "held"]), held
+
+    def summed(pdf):
+        import pandas as pd
+
+        held = through(pdf, [])[1]
+        return pd.DataFrame([(pdf["above"].iloc[0], pdf["side"].iloc[0], int(pdf["least"].min()), [list(e) for e in held])], columns=["chunk", "side", "least", "entries"])
+
+    schema = "chunk long, side int, held array<array<long>>"
+    if sums.agg(F.max("chunk")).first()[0] in (None, *range(fan)):
+        return sums.groupBy("side").applyInPandas(lambda pdf: through(pdf, [])[0], schema)
+    grouped = sums.withColumn("above", F.floor(F.col("chunk") / fan))
+    above = written(grouped.groupBy("above", "side").applyInPandas(summed, "chunk long, side int, least long, entries array<array<long>>"), "sums")
+    handed = written(carried(above, fan).withColumnRenamed("chunk", "above"), "handed")
+
+    def within(pdf, held):
+        return through(pdf, [tuple(e) for e in held["held"].iloc[0]])[0]
+
+    return grouped.groupBy("above", "side").cogroup(handed.groupBy("above", "side")).applyInPandas(within, schema)
+
+
+def earlier_copies(table: DataFrame, chunk: int = 50_000, fan: int = 256) -> DataFrame:
     """pos, copied: how many lines from pos on also occur at an earlier place; rows with 1 or more.
 
     table: sa, pos, lcp (with the suffix before), next (with the suffix behind). The suffix array is
     scanned in chunks, once in either direction. What a chunk needs from those before it is, for each
-    length of common prefix, the earliest place: few numbers a chunk, which the first pass returns and
-    the driver links up; so no interval, however large, has to fit into one task.
+    length of common prefix, the earliest place: few numbers a chunk, which a first pass gives and
+    carried hands on; so no interval, however large, has to fit into one task.
     """
     import numpy as np
 
@@ -195,38 +251,30 @@ def earlier_copies(table: DataFrame, chunk: int = 50_000) -> DataFrame:
             rows.append((pdf["chunk"].iloc[0], side, int(joins.min()), [list(e) for e in _narrowed(zip(reach.tolist(), places.tolist()))]))
         return pd.DataFrame(rows, columns=["chunk", "side", "least", "entries"])
 
-    sums = {(r.chunk, r.side): r for r in table.groupBy("chunk").applyInPandas(summary, "chunk long, side int, least long, entries array<array<long>>").collect()}
-    carries: dict[tuple[int, int], list] = {}
-    chunks = sorted({c for c, _ in sums})
-    for side, order in ((0, chunks), (1, chunks[::-1])):
-        held: list = []
-        for c in order:
-            carries[c, side] = held
-            r = sums[c, side]
-            held = _narrowed([*((min(x, r.least), q) for x, q in held), *map(tuple, r.entries)])
-
-    def copied(pdf):
+    sums = written(table.groupBy("chunk").applyInPandas(summary, "chunk long, side int, least long, entries array<array<long>>"), "sums")
+
+    def copied(pdf, held):
         import pandas as pd
 
         pdf = pdf.sort_values("sa")
-        c, pos, lcp, behind = int(pdf["chunk"].iloc[0]), pdf["pos"].tolist(), pdf["lcp"].tolist(), pdf["next"].tolist()
-        forth = scan(pos, lcp, carries[c, 0])
-        back = scan(pos[::-1], behind[::-1], carries[c, 1])[::-1]
+        carry = {r.side: [tuple(e) for e in r.held] for r in held.itertuples()}
+        pos, lcp, behind = pdf["pos"].tolist(), pdf["lcp"].tolist(), pdf["next"].tolist()
+        forth = scan(pos, lcp, carry.get(0, []))
+        back = scan(pos[::-1], behind[::-1], carry.get(1, []))[::-1]
         best = np.maximum(forth, back)
         return pd.DataFrame({"pos": pdf["pos"].to_numpy()[best > 0], "copied": best[best > 0]})
 
-    return table.groupBy("chunk").applyInPandas(copied, "pos long, copied long")
+    return table.groupBy("chunk").cogroup(written(carried(sums, fan), "carried").groupBy("chunk")).applyInPandas(copied, "pos long, copied long")
 
 
 def copied_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, cuts: the ranges of lines (first, last) of each document that repeat earlier ones."""
-    live = written(live_lines(docs, least_words), "live")
-    ids = dense_ranks(live.select("key").distinct(), ["key"], "rank")
+    live = live_lines(docs, least_words)
+    ids, _ = dense_ranks(live.select("key").distinct(), ["key"], "rank")
     ids = written(live.join(ids, "key").select("pos", "left", "rank", (F.col("pos") - F.col("at")).alias("first")), "ids")
-    suffixes = prefix_doubling(ids.select("pos", "left", "rank"))
-    order = written(dense_ranks(suffixes, ["rank", "pos"], "sa").join(ids.select("pos", "first"), "pos").select("sa", "pos", "first"), "order")
-    stretches = ids.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("pos", "rank"))).alias("x")).select("first", F.col("x.rank").alias("ranks"))
-    shared = written(common_prefixes(order, written(stretches, "stretches")), "common")
+    levels = prefix_doubling(ids.select("pos", "left", "rank"))
+    order = written(dense_ranks(levels[-1].select("rank", "pos"), ["rank", "pos"], "sa")[0].select("sa", "pos"), "order")
+    shared = written(common_prefixes(order, levels, ids.select("pos", "left", "first")), "common")
     table = order.join(shared, "sa", "left").join(shared.select((F.col("sa") - 1).alias("sa"), F.col("lcp").alias("next")), "sa", "left")
     copies = earlier_copies(table.select("sa", "pos", F.coalesce("lcp", F.lit(0)).alias("lcp"), F.coalesce("next", F.lit(0)).alias("next")))
     marked = live.join(copies, "pos", "left").select("doc_id", (F.col("pos") - F.col("at")).alias("first"), "at", "line", "words", F.coalesce("copied", F.lit(0)).alias("copied"))
@@ -256,7 +304,9 @@ def copied_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = runs.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, cuts array<struct<first:int,last:int>>")
-    return written(found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("cuts"))).alias("cuts")), "cuts", 500)
+    cuts = written(found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("cuts"))).alias("cuts")), "cuts", 500)
+    forget(live, ids, order, shared, *levels[1:])
+    return cuts
 
 
 def cut_texts(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from quern.llm.common import clean_text, shingle_sets, text_bytes, written
+from quern.llm.common import clean_text, forget, shingle_sets, text_bytes, written
 from quern.llm.graph import components, united
 
 ROWS = 7
@@ -137,7 +137,7 @@ def _mixed(entries: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _dealt_anew(texts: DataFrame, large: DataFrame, threshold: float, words: int, kind: DataType) -> DataFrame:
-    """bucket, was, rep, n, m, k, o: the rarest shingles of the members (rep) of large buckets, as buckets of their own.
+    """rep, n, m, k, o, bucket, was: the rarest shingles (arrays bucket and was) of the members (rep) of large buckets, as buckets of their own.
 
     Sets of which one has n shingles and that share the threshold's part of it have one in common
     among the n - ceil(threshold n) + 1 shingles of each that come first in one order of all. With
@@ -227,7 +227,9 @@ def _dealt_anew(texts: DataFrame, large: DataFrame, threshold: float, words: int
     mine = pairs.applyInArrow(looked_up, f"rep {name}, n long, s array<long>, df array<long>")
     mine = mine.groupBy("rep", "n").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("df")).alias("df"))
     dealt = mine.mapInArrow(first, f"rep {name}, n long, m long, k array<long>, o long, bucket array<long>, was array<long>")
-    return dealt.select(F.explode(F.arrays_zip("bucket", "was")).alias("x"), "rep", "n", "m", "k", "o").select("x.bucket", "x.was", "rep", "n", "m", "k", "o")
+    dealt = written(dealt, "dealt", 500)
+    forget(sets, shared)
+    return dealt
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
@@ -258,7 +260,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     classes = written(classes.select("set_key", F.col("x.doc_id").alias("rep"), "x.n", "x.bands", "x.k", "x.o"), "classes")
     entries = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("was"), F.min("rep").alias("leader")).where("was > 1")
-    entries = written(entries.join(written(shared, "shared"), "bucket"), "entries")
+    shared = written(shared, "shared")
+    entries = written(entries.join(shared, "bucket"), "entries")
     percent = round(threshold * 100)
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -278,25 +281,32 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     texts = written(texts, "texts")
     links = written(_confirmed(tested, texts, threshold, words), "links", 500)
     linked = written(components(links), "components")
-    left = written(_mixed(entries.where("rep <> leader").select("bucket", "was", "rep"), linked), "mixed")
+    left = written(_mixed(entries.where("rep <> leader").select("bucket", "was", "rep", F.lit(False).alias("dealt")), linked), "mixed")
     large = written(left.where(f"members > {SMALL_BUCKET}").select("rep").distinct(), "large")
-    entries = left.where(f"members <= {SMALL_BUCKET}").select("bucket", "was", "rep").join(whole, "rep").select("bucket", "was", "rep", "n", "m", "k", "o")
+    profiles = whole.withColumn("dealt", F.lit(False))
+    more = left.where(f"members <= {SMALL_BUCKET}").select("bucket", "was", "rep", "dealt")
     if not large.isEmpty():
-        entries = entries.union(_dealt_anew(texts, large, threshold, words, kind))
-    entries, leaders_each = written(entries, "dealt", 500), LEADERS
+        anew = _dealt_anew(texts, large, threshold, words, kind)
+        profiles = profiles.union(anew.select("rep", "n", "m", "k", "o", F.lit(True)))
+        buckets = anew.select(F.explode(F.arrays_zip("bucket", "was")).alias("x"), "rep")
+        more = more.union(buckets.select("x.bucket", "x.was", "rep", F.lit(True)))
+    more, leaders_each = written(more, "entries"), LEADERS
+    forget(entries, left, shared)
+    entries, used = more, [more]
     while True:
         left = written(_mixed(entries, linked), "mixed")
+        forget(*used)
         if left.isEmpty():
             break
         degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
         salt = F.when(F.col("members") <= SMALL_BUCKET, F.xxhash64("rep")).otherwise(F.pmod(F.xxhash64("rep", "bucket"), F.lit(leaders_each)))
         ranked = left.join(degrees, "rep", "left").groupBy("bucket", "members", salt.alias("salt"))
-        leaders = ranked.agg(F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("order"), "rep", "n", "m", "k", "o", "component")).alias("x"))
+        leaders = ranked.agg(F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("order"), "rep", "dealt", "component")).alias("x"))
         leaders = written(leaders.select("bucket", "members", "x.*"), "leaders")
         ahead = leaders.withColumn("share", F.explode(F.sequence(F.lit(0), _shares("members") - 1)))
         behind = left.withColumn("share", F.pmod(F.xxhash64("rep"), _shares("members")).cast("int"))
-        ahead, behind = (side(df, x, "bucket", "share", F.col("component").alias(f"c_{x}")) for df, x in ((ahead, "a"), (behind, "b")))
-        pairs = alike(ahead.join(behind, ["bucket", "share"]).where("c_a <> c_b"))
+        sides = (side(df.join(profiles, ["rep", "dealt"]), x, "bucket", "share", F.col("component").alias(f"c_{x}")) for df, x in ((ahead, "a"), (behind, "b")))
+        pairs = alike(next(sides).join(next(sides), ["bucket", "share"]).where("c_a <> c_b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         if not pairs.isEmpty():
@@ -305,8 +315,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
                 links = links.union(found)
                 linked = united(linked, found)
             tested = tested.union(pairs)
-        entries = left.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "was", "rep", "n", "m", "k", "o")
-        leaders_each *= 4
+        entries = left.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "was", "rep", "dealt")
+        used, leaders_each = [left, leaders], 4 * leaders_each
     groups = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     groups = written(groups.select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
     result = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(groups, "set_key", "left")

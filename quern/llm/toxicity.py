@@ -209,10 +209,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, prior: floa
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """scored, stored."""
+    return written(scored(docs, model, keep), "scored", 500)
+
+
+def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs with score (0 to 1) and passages (first and last word and excess score of each significant segment).
 
     keep: the columns to carry along, all by default; text is read whole, null as empty. A column named
     score or passages is replaced; whoever needs theirs carries all columns as one struct.
+    Whoever runs it sets the rows of an Arrow batch, as rows hold whole texts.
     """
     keep = [c for c in (keep or docs.columns) if c not in ("score", "passages")]
     passage = ArrayType(StructType().add("first", "long").add("last", "long").add("score", "double"))
@@ -232,11 +238,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array(passages, kind)], names=[*keep, "score", "passages"])
 
     source = docs.select(*(F.col(f"`{c}`") for c in keep), clean_text().alias("_scored"))
-    return written(source.mapInArrow(run, schema), "scored", 500)
+    return source.mapInArrow(run, schema)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; see fit and score."""
-    scored = score(docs, fit(docs, labels), ["doc_id"])
+    rows = score(docs, fit(docs, labels), ["doc_id"])
     predicted = (F.col("score") >= THRESHOLD).cast("int")
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"), "passages")
+    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"), "passages")

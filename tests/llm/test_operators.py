@@ -248,9 +248,28 @@ def test_suffix_scan_over_chunks(spark):
     lcp = [0] + [common(order[k - 1], order[k]) for k in range(1, 60)]
     rows = [(k, order[k], lcp[k], lcp[k + 1] if k < 59 else 0) for k in range(60)]
     expected = {p: best for p in range(60) if (best := max((common(p, q) for q in range(p)), default=0))}
-    for chunk in (1, 7, 100):
+    for chunk, fan in ((1, 3), (7, 256), (4, 4), (100, 256)):
         table = spark.createDataFrame(rows, "sa long, pos long, lcp long, next long")
-        assert {r.pos: r.copied for r in lines.earlier_copies(table, chunk).collect()} == expected
+        assert {r.pos: r.copied for r in lines.earlier_copies(table, chunk, fan).collect()} == expected
+
+
+def test_common_prefixes(spark):
+    """Neighbours' common lines over stretches of a small alphabet, held against comparing them."""
+    r = random.Random(21)
+    stretches = ["".join(r.choices("ab", k=n)) for n in (1, 7, 40, 3, 3, 25)] + ["abab" * 12, "abab" * 12, "a" * 30]
+    rows, at = [], 0
+    for x in stretches:
+        rows += [(at + i, len(x) - i, at, ord(c), x[i:]) for i, c in enumerate(x)]
+        at += len(x)
+    ids = spark.createDataFrame([x[:4] for x in rows], "pos long, left long, first long, rank long")
+    order = sorted(rows, key=lambda x: (x[4], x[0]))
+    levels = lines.prefix_doubling(ids.select("pos", "left", "rank"))
+    last = {x.pos: x.rank for x in levels[-1].collect()}
+    assert [x[0] for x in order] == sorted(last, key=lambda p: (last[p], p))
+    sa = spark.createDataFrame([(k, x[0]) for k, x in enumerate(order)], "sa long, pos long")
+    got = {x.sa: x.lcp for x in lines.common_prefixes(sa, levels, ids.select("pos", "left", "first")).collect()}
+    common = lambda x, y: next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+    assert got == {k: common(order[k - 1][4], order[k][4]) for k in range(1, len(order))}
 
 
 def test_benchmark_leaks(spark, odd, none):
