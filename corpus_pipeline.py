@@ -16,17 +16,19 @@ from quern.llm.decontam import benchmark_leaks
 from quern.llm.lines import cut_texts
 from quern.llm.neardup import near_duplicates
 from quern.llm.packing import best_fit_pack
-from quern.llm.toxicity import THRESHOLD, fit, score
+from quern.llm.toxicity import THRESHOLD, fit, scored
 
+#: Rows of an Arrow batch, a setting of the pipeline's session: rows hold whole texts, and this stage's are not stored twice.
+BATCH = 500
 #: SQL can't express the learned scores, the tokenizer and the packing; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold."""
-    rows = docs.select(F.struct("*").alias("document"), "text")
-    scored = score(rows, fit(docs, table(spark, sf_dir, "labels")), ["document"])
-    return scored.where(F.col("score") < THRESHOLD).select("document.*")
+    model, rows = fit(docs, table(spark, sf_dir, "labels")), docs.select(F.struct("*").alias("document"), "text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return scored(rows, model, ["document"]).where(F.col("score") < THRESHOLD).select("document.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
