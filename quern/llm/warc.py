@@ -6,16 +6,21 @@ import gzip
 import hashlib
 import io
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import fresh_path, written
+from quern.sources.work import exists
 
 #: Payloads of fewer bytes are always stored anew.
 LEAST_REVISIT = 1000
 END = "\r\n\r\n"
+#: Bytes of an archive; captures of a range that one task merges.
+MOST_BYTES = 64 << 20
+MOST_ROWS = 50_000
 CAPTURES = (
     "page_id long, url string, urlkey string, captured_at string, record_type string, refers_to long, payload_bytes long, "
     "payload_digest string, archive string, record_offset long, record_length long, run_position long"
@@ -66,15 +71,49 @@ def capture_time():
     return F.date_format(F.timestamp_seconds(second + F.lit(1_704_067_200)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000) -> None:
-    """Write a record for each page into gzip archives at path, through Spark's writer.
+def write_archives(pages: DataFrame, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Write a record for each page into archives at path; returns archive, records, bytes of each.
 
-    A record ends with two empty lines, which is the writer's line separator; a task that is run again
-    replaces its files as for any table.
+    A record is a gzip member of its own, so a reader can seek to it. An archive is closed once the
+    next member would take it beyond most_bytes, so a longer member stands alone. It is written beside
+    its place and moved there whole; a task that is run again replaces its archives.
     """
     rows = with_revisits(pages).withColumn("captured_at", capture_time())
-    records = rows.select(record_text().alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+    def store(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        part, done, stream, where, size, records = TaskContext.get().partitionId(), [], None, "", 0, 0
+
+        def close():
+            stream.close()
+            name = f"captures-{part:06d}-{len(done):05d}.warc.gz"
+            system.move(where, f"{folder}/{name}")
+            done.append((name, records, size))
+
+        for batch in batches:
+            for record in batch.column(0).cast(pa.binary()):
+                member = gzip.compress(record.as_py() + END.encode(), 6, mtime=0)
+                if stream is not None and size + len(member) > most_bytes:
+                    close()
+                    stream = None
+                if stream is None:
+                    where, size, records = f"{folder}/.{uuid.uuid4().hex}", 0, 0
+                    stream = system.open_output_stream(where)
+                stream.write(member)
+                size, records = size + len(member), records + 1
+        if stream is not None:
+            close()
+        names, counts, sizes = zip(*done) if done else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=["archive", "records", "bytes"])
+
+    return written(rows.select(record_text().alias("value")).mapInArrow(store, "archive string, records long, bytes long"), "archives", 50)
 
 
 def surt(url: str) -> str:
@@ -87,27 +126,39 @@ def surt(url: str) -> str:
     return f"{','.join(reversed(host.split('.')))}{port}){rest or '/'}"
 
 
-def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """Headers, payload, offset and length of each record of an uncompressed archive."""
-    at = 0
-    while first := stream.readline():
-        size, headers = len(first), {}
-        if not first.startswith(b"WARC/"):
-            raise ValueError(f"no record at {at}")
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            size += len(line)
-            name, _, value = line.decode("utf-8").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        block = stream.read(int(headers["content-length"]))
-        tail = stream.read(4)
-        if tail != END.encode():
-            raise ValueError(f"record at {at} isn't closed")
-        size += 2 + len(block) + 4
-        http, _, payload = block.partition(END.encode())
-        length = re.search(rb"(?im)^content-length: *(\d+)", http)
-        headers["http-content-length"] = length[1].decode() if length else str(len(payload))
-        yield headers, payload, at, size
-        at += size
+def members(file: io.BufferedIOBase, block: int = 1 << 20) -> Iterator[tuple[bytes, int, int]]:
+    """Content, offset and length of each gzip member of an archive; one member at a time is held."""
+    at, data = 0, file.read(block)
+    while data:
+        inflate, parts, length = zlib.decompressobj(31), [], 0
+        while not inflate.eof:
+            if not data and not (data := file.read(block)):
+                raise ValueError(f"member at {at} isn't whole")
+            parts.append(inflate.decompress(data))
+            length += len(data) - len(inflate.unused_data)
+            data = inflate.unused_data
+        yield b"".join(parts), at, length
+        at += length
+        data = data or file.read(block)
+
+
+def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers (with the payload's announced size as http-content-length) and payload of one record."""
+    head, _, rest = record.partition(END.encode())
+    first, *lines = head.split(b"\r\n")
+    if not first.startswith(b"WARC/"):
+        raise ValueError("no record")
+    headers = {}
+    for line in lines:
+        name, _, value = line.decode("utf-8").partition(":")
+        headers[name.strip().lower()] = value.strip()
+    size = int(headers["content-length"])
+    if rest[size:] != END.encode():
+        raise ValueError("the record isn't closed")
+    http, _, payload = rest[:size].partition(END.encode())
+    length = re.search(rb"(?im)^content-length: *(\d+)", http)
+    headers["http-content-length"] = length[1].decode() if length else str(len(payload))
+    return headers, payload
 
 
 def _page(value: str | None) -> int | None:
@@ -118,32 +169,37 @@ def _page(value: str | None) -> int | None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The captures in the archives at path; each archive's are a run sorted by URL key, time and page.
 
-    Digest and size come from a response's own payload and are checked against the header; a revisit
-    holds no payload and states them.
+    Archives are streamed, one record held at a time. Digest and size come from a response's own payload
+    and are checked against the header; a revisit holds no payload and states them. record_offset and
+    record_length are the place of the record's member in its archive. No archive, no row.
     """
+    if not exists(spark, path):
+        return spark.createDataFrame([], CAPTURES)
 
     def run(batches):
         import pyarrow as pa
+        from pyarrow import fs
 
         names = [x.split()[0] for x in CAPTURES.split(", ")]
         kinds = [pa.string() if "string" in x else pa.int64() for x in CAPTURES.split(", ")]
+        system, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows, archive = [], file.rsplit("/", 1)[-1]
-                with gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())) as stream:
-                    for h, payload, at, size in parse_records(io.BufferedReader(stream, 1 << 16)):
+            for archive in batch.column(0).to_pylist():
+                rows = []
+                with system.open_input_stream(f"{folder}/{archive}", compression=None) as file:
+                    for record, at, size in members(file):
+                        h, payload = parse_record(record)
                         digest, length = h["warc-payload-digest"].removeprefix("sha1:"), int(h["http-content-length"])
-                        if h["warc-type"] == "response":
-                            if hashlib.sha1(payload).hexdigest() != digest or len(payload) != length:
-                                raise ValueError(f"{file} at {at}: payload and header differ")
+                        if h["warc-type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != length):
+                            raise ValueError(f"{archive} at {at}: payload and header differ")
                         url = h["warc-target-uri"]
                         rows.append((_page(h["warc-record-id"]), url, surt(url), h["warc-date"], h["warc-type"], _page(h.get("warc-refers-to")), length, digest, archive, at, size))
                 rows = [(*r, i) for i, r in enumerate(sorted(rows, key=capture_order))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                for i in range(0, len(rows), 5000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000]), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return written(files.mapInArrow(run, CAPTURES), "runs", 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+    return written(files.mapInArrow(run, CAPTURES), "runs")
 
 
 def capture_order(row: tuple):
@@ -189,11 +245,13 @@ class LoserTree:
             self._play(top)
 
 
-def merge_runs(captures: DataFrame) -> DataFrame:
+def merge_runs(captures: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """captures with position: their place (from 0) in the order of URL key, time and page.
 
-    Ranges of that order are dealt to tasks; a range may begin within one URL's captures, so a URL
-    with a third of all captures is spread too. In a task a loser tree merges the runs' parts.
+    The runs are stored; ranges of the order, of about most_rows captures however many there are, are
+    dealt to tasks, run by run, each run's part in its order. A range may begin within one URL's
+    captures, so a URL with a third of all captures is spread too. In a task a loser tree merges the
+    parts, which are all it holds.
     """
     names = captures.columns
     schema = f"{CAPTURES}, part int, nth long"
@@ -208,16 +266,15 @@ def merge_runs(captures: DataFrame) -> DataFrame:
             arrow = batch.schema
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 runs.setdefault(row[8], []).append(row)
-        for rows in runs.values():  # as the run has them, however the exchange dealt them
-            rows.sort(key=lambda r: r[11])
         part, merged, done = TaskContext.get().partitionId(), iter(LoserTree(list(runs.values()), capture_order)), 0
         while rows := [r for _, r in zip(range(5000), merged)]:
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(rows), pa.int32()), pa.array(range(done, done + len(rows)), pa.int64())], names=[*names, "part", "nth"])
             done += len(rows)
 
-    dealt = captures.repartitionByRange("urlkey", "captured_at", "page_id", "archive", "record_offset")
-    merged = written(dealt.mapInArrow(run, schema), "merged")
+    ranges = max(1, -(-captures.count() // most_rows))
+    dealt = captures.repartitionByRange(ranges, "urlkey", "captured_at", "page_id", "archive", "record_offset")
+    merged = written(dealt.sortWithinPartitions("archive", "run_position").mapInArrow(run, schema), "merged")
     sizes = sorted((r["part"], r["count"]) for r in merged.groupBy("part").count().collect())
     first, offsets = 0, []
     for part, n in sizes:  # a row a task

@@ -1,5 +1,6 @@
 """The text operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -393,6 +394,24 @@ def test_archives(spark):
     assert warc.capture_histories(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_are_cut_by_bytes_and_can_be_sought(spark, tmp_path):
+    """A page of many megabytes stands alone; a member read at its offset is its record; ranges of few rows merge to the same order."""
+    r = random.Random(4)
+    huge = "".join(r.choices("abcdefghijklmnop", k=6_000_000))
+    rows = [(i, f"http://h{i % 3}.com/{i % 5}", words(200, i)) for i in range(40)] + [(99, "http://h1.com/2", huge)]
+    path = f"file://{tmp_path}/archives"
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, most_bytes=10_000).collect()
+    assert sum(a.records for a in archives) == 41 and all(a.bytes <= 10_000 or a.records == 1 for a in archives) and len(archives) > 3
+    captures = warc.read_archives(spark, path)
+    for c in captures.collect():
+        with open(f"{tmp_path}/archives/{c.archive}", "rb") as f:
+            f.seek(c.record_offset)
+            headers, payload = warc.parse_record(gzip.decompress(f.read(c.record_length)))
+        assert headers["warc-record-id"] == f"<urn:page:{c.page_id}>" and payload.decode() == dict((i, h) for i, _, h in rows)[c.page_id]
+    order = [x.page_id for x in warc.merge_runs(captures, most_rows=6).orderBy("position").collect()]
+    assert order == [i for i, u, _ in sorted(rows, key=lambda x: (warc.surt(x[1]), x[0]))]
+
+
 @pytest.mark.parametrize("size", range(1, 9))
 def test_loser_tree(size):
     r = random.Random(size)
