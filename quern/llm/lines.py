@@ -336,3 +336,27 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> Data
     """
     columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "lines_removed"]
     return cut_texts(docs, least_words).select(*columns, F.col("removed").alias("lines_removed"))
+
+
+LINE_RUNS_SQL = r"""
+    WITH a AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
+    ), b AS (
+        SELECT *, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words FROM a
+    ), t AS MATERIALIZED (
+        SELECT doc_id, line, l, words, row_number() OVER d AS nth, sum(words) OVER d AS total FROM b WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY line)
+    ), m AS (
+        SELECT x.doc_id AS d, x.nth AS i, y.doc_id AS e, y.nth AS j FROM t x JOIN t y ON x.l = y.l AND (y.doc_id < x.doc_id OR (y.doc_id = x.doc_id AND y.nth < x.nth))
+    ), g AS (
+        SELECT *, i - row_number() OVER (PARTITION BY d, e, i - j ORDER BY i) AS run FROM m
+    ), c AS (
+        SELECT d, i, max(n) AS n FROM (SELECT d, i, count(*) OVER (PARTITION BY d, e, i - j, run ORDER BY i DESC) AS n FROM g) GROUP BY d, i
+    ), k AS (
+        SELECT d, x.line AS first, y.line AS last FROM c JOIN t x ON x.doc_id = d AND x.nth = i JOIN t y ON y.doc_id = d AND y.nth = i + n - 1 WHERE y.total - x.total + x.words >= 50
+    ), z AS (
+        SELECT b.doc_id, b.line, b.l, EXISTS (SELECT 1 FROM k WHERE d = b.doc_id AND b.line BETWEEN first AND last) AS gone FROM b WHERE b.doc_id IN (SELECT d FROM k)
+    ), o AS (
+        SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS kept, count(*) FILTER (WHERE gone)::INT AS n FROM z GROUP BY doc_id
+    )
+    SELECT documents.* REPLACE (CASE WHEN n > 0 THEN kept ELSE text END AS text), coalesce(n, 0)::INT AS lines_removed FROM documents LEFT JOIN o USING (doc_id)
+"""

@@ -322,3 +322,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     result = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(groups, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+NEAR_DUPLICATES_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ), s AS MATERIALIZED (
+        SELECT DISTINCT doc_id, array_to_string(ws[k:k + least(len(ws), 5) - 1], ' ') AS shingle
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM w WHERE len(ws) > 0)
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), p AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+    ), l AS (
+        SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)
+    ), e AS MATERIALIZED (
+        SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+    ), r(doc_id, reached) AS (
+        SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.reached FROM r JOIN e ON e.a = r.doc_id
+    ), c AS (
+        SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id
+    )
+    SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = c.doc_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import table
 from quern.llm.decontam import DECONTAMINATION_SQL, benchmark_leaks
-from quern.llm.lines import drop_repeated_lines
-from quern.llm.neardup import near_duplicates
+from quern.llm.lines import LINE_RUNS_SQL, drop_repeated_lines
+from quern.llm.neardup import NEAR_DUPLICATES_SQL, near_duplicates
 from quern.llm.packing import best_fit_pack
 from quern.llm.pii import find_personal
 from quern.llm.quality import QUALITY_SQL, host_rules
@@ -92,4 +92,6 @@ SQL: dict[str, str] = {
             urlkey, captured_at, row_number() OVER (ORDER BY urlkey, captured_at, page_id) - 1 AS position
         FROM s""",
     "op5_host_rules": QUALITY_SQL,
+    "op6_repeated_line_runs": LINE_RUNS_SQL,
+    "op9_minmax_near_dedup": NEAR_DUPLICATES_SQL,
 }
