@@ -36,7 +36,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules(table(spark, sf_dir, "documents")).drop("host", "host_rate")
+    return host_rules(table(spark, sf_dir, "documents")).drop("host", "host_rates", "host_failed")
 
 
 def op6_repeated_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,6 +354,15 @@ def test_bad_hosts(spark):
     assert not any(got[i][1] for i in range(40)) and all(got[i][1] for i in range(40, 200)) and got[201][1]
 
 
+@pytest.mark.parametrize(("rule", "bad"), [("symbols", lambda i: words(20, i) + " ### $$$"), ("lines", lambda i: "\n".join(f"same\n{words(8, 50 * i + k)}" for k in range(8))), ("letters", lambda i: " ".join(chr(97 + (i * 7 + k * k) % 26) + str(k) for k in range(40)))])
+def test_hosts_that_fail_one_rule(spark, rule, bad):
+    """A host most of whose documents fail a rule that no document is judged by alone; a small host with one failure stays."""
+    rows = [(i, bad(i) if i < 40 and i % 10 else words(30, i), "bad" if i < 40 else f"h{i % 4}") for i in range(200)] + [(200, bad(200), "small"), (201, words(30, 201), "small"), (202, words(30, 202), "small")]
+    got = {r.doc_id: r for r in quality.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[i].kept for i in range(40)) and all(got[i].host_failed == [rule] for i in range(40))
+    assert all(got[i].kept for i in range(40, 203))
+
+
 def test_segments():
     r = random.Random(4)
     for _ in range(200):
