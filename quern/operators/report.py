@@ -18,6 +18,18 @@ def dataset_summary(df: DataFrame, by: list[str], label: str, gene: str, source:
     return sources.join(genes, by).withColumn("n_neg", F.col("n") - F.col("n_pos"))
 
 
+def scheme_counts(df: DataFrame, schemes: list[str], label: str, group: str) -> DataFrame:
+    """scheme, side, n_pos, n_neg, n_groups of the sides (_split_<scheme>) of every scheme."""
+    long = df.unpivot([label, group], [F.col(f"_split_{s}").alias(s) for s in schemes], "scheme", "side")
+    return long.groupBy("scheme", "side").agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"), F.count_distinct(group).alias("n_groups"))
+
+
+def wide_counts(df: DataFrame, row: str, column: str, names: dict[str, str]) -> DataFrame:
+    """Rows of each value of row (rows) and column (columns, named by names), 0 where there are none."""
+    wide = df.groupBy(row).pivot(column, list(names)).count().na.fill(0)
+    return wide.select(row, *(F.col(c).alias(n) for c, n in names.items()))
+
+
 def interval_text(value: str, lo: str, hi: str):
     return F.format_string("%.3f (%.3f–%.3f)", value, lo, hi)
 

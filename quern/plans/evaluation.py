@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions import features as fx
+from quern.functions.schema import select_features
 from quern.operators import report, stats
-from quern.plans.features import _D, _labelled, _rounded
+from quern.plans.features import _context, _D, _labelled, _rounded
 from quern.plans.registry import query, table
 
 
@@ -69,6 +71,11 @@ def pivot_report(spark, sf_dir):
     return report.wide_results(results, ["F/core", "O/core"])
 
 
-@query("SELECT feature_group, core, \"full\" FROM (VALUES ('biochemical', 1, 1), ('conservation', 0, 1), ('gene_constraint', 1, 1), ('insilico', 0, 2)) t(feature_group, core, \"full\")")
+@query("""SELECT feature_group, core, "full" FROM (VALUES ('sequence', 57, 57), ('context', 114, 114), ('biochemical', 35, 35), ('conservation', 3, 3), ('gene_constraint', 3, 3), ('population', 11, 11),
+    ('enrichment', 149, 149), ('insilico', 0, 10), ('other', 1, 1)) t(feature_group, core, "full")""")
 def feature_count_table(spark, sf_dir):
-    return report.feature_count_table({"core": ["pli", "delta_mw"], "full": ["pli", "delta_mw", "cadd_phred", "revel_score", "gerp_rs"]}, spark)
+    """How many columns of each group a panel has under either feature set once it is annotated and enriched."""
+    rows = _context(spark, sf_dir).withColumnRenamed("doc_id", "_variant_id")
+    rows = fx.enrich(fx.annotate(rows.withColumns({"label": F.lit(1), "bases": F.col("context")})))
+    columns = [c for c in rows.columns if c != "bases"]
+    return report.feature_count_table({s: select_features(columns, s) for s in ("core", "full")}, spark)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.nulls import known, num, row_count, row_mean, row_variance
 from quern.functions.parse import is_missense, last_part
-from quern.operators import clean, ordered, select
+from quern.operators import clean, ordered, report, select
 from quern.plans.registry import query, table
 
 
@@ -178,6 +178,20 @@ def group_split_rows(spark, sf_dir):
     return placed.select("o_orderkey", F.when(F.col("in_test"), "test").when(F.col("place") <= 5000, "train").otherwise("unused").alias("side"))
 
 
+@query("""
+    WITH r AS (SELECT o_orderkey, (o_orderstatus = 'F')::INT AS y, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'unused' END AS variant, CASE WHEN o_custkey % 4 = 0 THEN 'test' ELSE 'train' END AS gene FROM orders),
+    u AS (SELECT 'gene' AS scheme, gene AS side, y, o_custkey FROM r UNION ALL SELECT 'variant', variant, y, o_custkey FROM r)
+    SELECT scheme, side, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg, count(DISTINCT o_custkey) AS n_groups FROM u GROUP BY ALL""")
+def scheme_counts(spark, sf_dir):
+    """Classes and groups of each side of every split scheme, in one pass over the rows."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderstatus") == "F").cast("int").alias("label"), "o_custkey", F.when(k % 3 == 0, "test").when(k % 3 == 1, "train").otherwise("unused").alias("_split_variant"),
+        F.when(F.col("o_custkey") % 4 == 0, "test").otherwise("train").alias("_split_gene"),
+    )
+    return report.scheme_counts(rows, ["gene", "variant"], "label", "o_custkey")
+
+
 @query("SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1) % 5)::INT AS fold FROM orders")
 def kfold(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -358,8 +372,7 @@ def json_summary(spark, sf_dir):
     SELECT l_returnflag, coalesce(sum(n) FILTER (WHERE l_linestatus = 'F'), 0)::BIGINT AS f, coalesce(sum(n) FILTER (WHERE l_linestatus = 'O'), 0)::BIGINT AS o
     FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_returnflag""")
 def pivot_counts(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0)
-    return p.select("l_returnflag", F.col("F").alias("f"), F.col("O").alias("o"))
+    return report.wide_counts(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", {"F": "f", "O": "o"})
 
 
 @query("""
@@ -368,7 +381,7 @@ def pivot_counts(spark, sf_dir):
 def formatted_intervals(spark, sf_dir):
     cell = F.concat_ws("/", "l_returnflag", "l_linestatus").alias("cell")
     c = table(spark, sf_dir, "lineitem").groupBy(cell).agg(F.avg("l_discount").alias("m"), (F.stddev_samp("l_discount") * 1.96 / F.sqrt(F.count("*"))).alias("h"))
-    return c.select("cell", F.format_string("%.3f (%.3f–%.3f)", "m", F.col("m") - F.col("h"), F.col("m") + F.col("h")).alias("shown"))
+    return c.withColumns({"lo": F.col("m") - F.col("h"), "hi": F.col("m") + F.col("h")}).select("cell", report.interval_text("m", "lo", "hi").alias("shown"))
 
 
 @query("""
@@ -376,16 +389,15 @@ def formatted_intervals(spark, sf_dir):
     b AS (SELECT o_orderpriority AS panel, avg(o_totalprice) AS m, stddev_samp(o_totalprice) / sqrt(count(*)) AS e FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
     SELECT panel, round(a.m - b.m, 4) AS difference, round((a.m - 1.96 * a.e) - (b.m + 1.96 * b.e), 4) AS lo, round((a.m + 1.96 * a.e) - (b.m - 1.96 * b.e), 4) AS hi FROM a JOIN b USING (panel)""")
 def type2_ci(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("panel"))
+    o = table(spark, sf_dir, "orders")
 
-    def of(status, x):
-        v = F.when(F.col("o_orderstatus") == status, F.col("o_totalprice"))
-        return [F.avg(v).alias(f"m_{x}"), (F.stddev_samp(v) / F.sqrt(F.count(v)) * 1.96).alias(f"e_{x}")]
+    def of(status):
+        mean, half = F.avg("o_totalprice"), F.stddev_samp("o_totalprice") / F.sqrt(F.count("*")) * 1.96
+        rows = o.where(F.col("o_orderstatus") == status).groupBy(F.col("o_orderpriority").alias("panel"))
+        return rows.agg(mean.alias("auc"), (mean - half).alias("lo"), (mean + half).alias("hi"))
 
-    d = o.agg(*of("F", "a"), *of("O", "b"))
-    lo = (F.col("m_a") - F.col("e_a")) - (F.col("m_b") + F.col("e_b"))
-    hi = (F.col("m_a") + F.col("e_a")) - (F.col("m_b") - F.col("e_b"))
-    return d.select("panel", F.round(F.col("m_a") - F.col("m_b"), 4).alias("difference"), F.round(lo, 4).alias("lo"), F.round(hi, 4).alias("hi"))
+    found = report.independent_difference(of("F"), of("O"), "panel")
+    return found.select("panel", *(F.round(c, 4).alias(c) for c in ("difference", "lo", "hi")))
 
 
 @query("SELECT n_nationkey AS key, n_name AS name, 'nation' AS origin, NULL::DOUBLE AS balance FROM nation UNION ALL SELECT s_suppkey, s_name, 'supplier', s_acctbal FROM supplier")

@@ -222,3 +222,13 @@ def test_stream(spark, tmp_path):
         score_stream(spark, paths[0], "id long, x double", rule, *paths[1:]).awaitTermination()
     got = sorted((r.id, r.logit, r.rules) for r in spark.read.parquet(paths[1]).collect())
     assert got == [(1, 0.0, ""), (2, 2.0, "HIGH"), (3, 2.0, "HIGH"), (4, 0.0, "")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quern.__main__ import main
+
+    assert main(["list"]) == 0 and "roc_auc" in capsys.readouterr().out.split()
+    assert main(["sql", "union_by_name"]) == 0 and capsys.readouterr().out.startswith("SELECT")
+    assert main(["sql", "none"]) == 2 and main(["run", "none", "--data", "x", "--out", "y"]) == 2
+    assert main(["run", "union_by_name", "--data", "/root/testdata/sf0.001", "--out", f"file://{tmp_path}/out"]) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() > 25
