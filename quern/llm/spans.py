@@ -10,20 +10,20 @@ def add_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, list[in
     """df with a column for each name: array of struct(start, end, g<n>...) of the leftmost matches of its
     pattern that don't overlap, in code points, end exclusive, g0 the match and g<n> its groups asked for.
 
-    A text without a match costs one search. The starts are sums of the lengths before, taken in two
+    A text without a match costs one search; with some, one more splits it there and one takes them out,
+    and groups are read from the matches, which must match again when they stand alone. The starts are sums of the lengths before, taken in two
     levels (blocks of about the square root of their number), so many matches don't cost their square.
     """
     hits, pieces, lengths = ({n: f"_{k}_{n}" for n in patterns} for k in ("hits", "pieces", "lengths"))
     found = df.withColumns({f"_any_{n}": F.col(text).rlike(p) for n, (p, _) in patterns.items()})
     columns = {pieces[n]: F.when(F.col(f"_any_{n}"), F.split(text, p, -1)) for n, (p, _) in patterns.items()}
-    for n, (p, groups) in patterns.items():
-        for g in {0, *groups}:
-            columns[f"{hits[n]}_{g}"] = F.when(F.col(f"_any_{n}"), F.regexp_extract_all(text, F.lit(p), F.lit(g)))
+    for n, (p, _) in patterns.items():
+        columns[hits[n]] = F.when(F.col(f"_any_{n}"), F.regexp_extract_all(text, F.lit(p), F.lit(0)))
     found = found.withColumns(columns)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x)
 
     def length(n: str) -> Column:
-        return F.transform(f"{hits[n]}_0", lambda h, i: (F.length(F.get(pieces[n], i)) + F.length(h)).cast("long"))
+        return F.transform(hits[n], lambda h, i: (F.length(F.get(pieces[n], i)) + F.length(h)).cast("long"))
 
     def sums(n: str) -> Column:
         side = F.col(f"_side_{n}")
@@ -37,17 +37,17 @@ def add_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, list[in
     found = found.withColumns({f"_sums_{n}": sums(n) for n in patterns})
     found = found.withColumns({f"_before_{n}": before(n) for n in patterns})
 
-    def span(n: str, groups: list[int]) -> Column:
+    def span(n: str, p: str, groups: list[int]) -> Column:
         def one(h, i):
             block = F.floor(i / F.col(f"_side_{n}")).cast("int")
             start = F.get(f"_before_{n}", block) + total(F.slice(lengths[n], block * F.col(f"_side_{n}") + 1, i % F.col(f"_side_{n}"))) + F.length(F.get(pieces[n], i))
             fields = [start.alias("start"), (start + F.length(h)).alias("end"), h.alias("g0")]
-            return F.struct(*fields, *(F.get(f"{hits[n]}_{g}", i).alias(f"g{g}") for g in groups if g))
+            return F.struct(*fields, *(F.regexp_extract(h, p, g).alias(f"g{g}") for g in groups if g))
 
-        return F.transform(f"{hits[n]}_0", one)
+        return F.transform(hits[n], one)
 
     kinds = {n: f"array<struct<start:bigint,end:bigint,g0:string{''.join(f',g{g}:string' for g in groups if g)}>>" for n, (_, groups) in patterns.items()}
-    found = found.withColumns({n: F.coalesce(span(n, groups), F.array().cast(kinds[n])) for n, (_, groups) in patterns.items()})
+    found = found.withColumns({n: F.coalesce(span(n, p, groups), F.array().cast(kinds[n])) for n, (p, groups) in patterns.items()})
     return found.drop(*[c for c in found.columns if c.startswith("_") and c not in df.columns])
 
 
