@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import models, select, stats
+from quern.plans.features import _labelled
 from quern.plans.registry import query, table
 
 
@@ -45,3 +46,24 @@ def stacking(spark, sf_dir):
     """The two learners' out-of-fold scores stacked, each row by the stack of the other folds."""
     scored = _out_of_fold(*_vectors(spark, sf_dir))
     return stats.evaluate(models.stacked_out_of_fold(scored, "y", ["p_deep", "p_shallow"]), "y", "p_stack")
+
+
+def _two_scores(spark, sf_dir):
+    """Labelled documents with two scores within 0 to 1 and a fold."""
+    rows = select.stratified_folds(_labelled(spark, sf_dir), "y", F.col("doc_id"))
+    return rows.withColumns({c: F.least(F.greatest(F.col(c), F.lit(0.01)), F.lit(0.99)) for c in "st"}).persist()
+
+
+@query()
+def stack_ablation(spark, sf_dir):
+    """The stack with and without the second score, out of fold, at the strength that does best."""
+    rows = _two_scores(spark, sf_dir)
+    best, _ = models.choose_strength(rows, "y", ["s", "t"])
+    return models.ablation(rows, "y", ["s"], ["t"], "doc_id", rounds=20).withColumn("strength", F.lit(best))
+
+
+@query()
+def stack_evaluation(spark, sf_dir):
+    """Stacks fitted on four folds and compared on each language's rows of the fifth."""
+    rows = _two_scores(spark, sf_dir)
+    return models.panel_evaluation(rows.where("fold < 4"), rows.where("fold = 4"), "y", ["s"], ["t"], "doc_id", "lang", rounds=20)

@@ -45,3 +45,8 @@ def test_stack_is_scored_out_of_fold(spark):
     rows = spark.createDataFrame([(i, i % 2, 0.5, i % 2) for i in range(40)], "id long, y int, p double, fold int")
     got = models.stacked_out_of_fold(rows.unionByName(rows.where("y = 1").withColumn("y", F.lit(0)).limit(1)), "y", ["p"], k=2).collect()
     assert all(r.p_stack > 0.5 for r in got if r.fold == 0) and all(r.p_stack < 0.5 for r in got if r.fold == 1)
+
+
+def test_stack_evaluation(spark):
+    rows = registry.QUERIES["stack_evaluation"](spark, "/root/testdata/sf0.01").collect()
+    assert rows and all(0 <= r.auc_base <= 1 and r.lo <= r.hi for r in rows)
