@@ -42,16 +42,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete stored tables that only finished tables were made from.
-
-    Then the driver collects its garbage, so that Spark drops the exchanges of plans nobody holds any
-    more; a long loop would else fill the executors' disks.
-    """
+    """Delete stored tables that only finished tables were made from."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+
+
+def release_exchanges(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark deletes the exchanges of plans nobody holds any more.
+
+    Between long steps only: a collection costs the driver some tenths of a second.
+    """
+    spark._jvm.System.gc()
 
 
 def remove_work_tables(spark: SparkSession) -> None:
