@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.sources.work import forget, fresh_path, remove_work_tables, shared_dir, stored  # noqa: F401
+from quern.sources.work import forget, fresh_path, release_exchanges, remove_work_tables, shared_dir, stored  # noqa: F401
 
 #: White space that separates words, as a Java character class.
 SPACE = r"\x20\x09-\x0D"

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import clean_text, forget, text_bytes, written
+from quern.llm.common import clean_text, forget, release_exchanges, text_bytes, written
 
 LEAST_WORDS = 50
+#: Lines of a stretch that is compared whole.
+SHORT = 64
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
@@ -81,8 +83,13 @@ def live_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return live
 
 
+def _in_stretch(function: str, column: str, lines: int):
+    """lag or lead of a column by so many lines of a stretch, null beyond its ends."""
+    return getattr(F, function)(column, lines).over(Window.partitionBy("first").orderBy("pos"))
+
+
 def prefix_doubling(ids: DataFrame) -> list[DataFrame]:
-    """pos, left, rank of every suffix of the stretches by its first 1, 2, 4, ... lines, from ids (pos, left, rank: of the line itself).
+    """pos, left, first, rank of every suffix of the stretches by its first 1, 2, 4, ... lines, from ids (the same, rank of the line itself).
 
     Round k ranks the pairs of ranks of pos and of pos + 2^k (0 behind the stretch's end), which orders
     suffixes by their first 2^(k+1) lines; it ends when no rank is split any more, so suffixes of equal
@@ -92,40 +99,37 @@ def prefix_doubling(ids: DataFrame) -> list[DataFrame]:
     levels, known, step = [ids], ids.select("rank").distinct().count(), 1
     longest = ids.agg(F.max("left")).first()[0] or 0
     while step < longest:
-        ahead = levels[-1].select((F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        pairs = levels[-1].join(ahead, "pos", "left").withColumn("next", F.when(F.col("left") > step, F.col("next")).otherwise(F.lit(0).cast("long")))
-        pairs = written(pairs, "pairs")
+        pairs = written(levels[-1].withColumn("next", F.coalesce(_in_stretch("lead", "rank", step), F.lit(0))), "pairs")
         ranks, count = dense_ranks(pairs.select("rank", "next").distinct(), ["rank", "next"], "fresh")
         if count == known:
             break
-        levels.append(written(pairs.join(ranks, ["rank", "next"]).select("pos", "left", F.col("fresh").alias("rank")), "suffixes"))
+        levels.append(written(pairs.join(ranks, ["rank", "next"]).select("pos", "left", "first", F.col("fresh").alias("rank")), "suffixes"))
         forget(pairs)
         known, step = count, 2 * step
+    release_exchanges(ids.sparkSession)
     return levels
 
 
-def common_prefixes(order: DataFrame, levels: list[DataFrame], stretches: DataFrame) -> DataFrame:
-    """sa, lcp: how many lines the suffixes sa - 1 and sa have in common.
+def _compared_in_short(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """sa, lcp of pairs of suffixes of short stretches: the stretches' lines beside one another."""
+    short = ids.where(f"left + pos - first <= {SHORT}").groupBy("first").agg(F.sort_array(F.collect_list(F.struct("pos", "rank"))).alias("x"))
+    short = written(short.select("first", F.col("x.rank").alias("ranks")), "stretches")
+    for x in "ab":
+        pairs = pairs.join(short.select(F.col("first").alias(f"first_{x}"), F.col("ranks").alias(f"ranks_{x}")), f"first_{x}")
+    at = lambda x, k: F.get(f"ranks_{x}", (F.col(x) - F.col(f"first_{x}")).cast("int") + k)
+    n = F.least("left_a", "left_b").cast("int")
+    differs = F.array_position(F.transform(F.sequence(F.lit(0), n - 1), lambda k: at("a", k) == at("b", k)), False)
+    return pairs.select("sa", F.when(differs > 0, differs - 1).otherwise(n).cast("long").alias("lcp"))
 
-    order: sa, pos of all suffixes; levels: see prefix_doubling; stretches: pos, left, first (the pos its
-    stretch begins with). If the same line stands before both suffixes of a pair, the suffixes one
-    line earlier are neighbours too and have one line more in common; so lines are compared only where
-    the lines before differ, and the other pairs count down from there. The comparison takes the
-    highest level at which two suffixes have the same rank, moves on by that many lines, and so on: a
-    round of look-ups for each bit of the result, each row a few numbers whatever the stretch's length.
-    """
-    lines = levels[0].select("pos", "rank").join(stretches, "pos")
-    before = lines.select((F.col("pos") + 1).alias("pos"), F.col("rank").alias("line_before"), F.col("first").alias("first_before"))
-    there = order.join(lines.drop("rank"), "pos").join(before, "pos", "left")
-    there = written(there.withColumn("line_before", F.when(F.col("first") == F.col("first_before"), F.col("line_before"))).drop("first_before"), "suffix_order")
-    above = there.select((F.col("sa") + 1).alias("sa"), F.col("pos").alias("a"), F.col("left").alias("left_a"), F.col("line_before").alias("before_a"))
-    pairs = there.join(above, "sa").withColumn("new", ~F.coalesce(F.col("line_before") == F.col("before_a"), F.lit(False)))
-    pairs = written(pairs.select("sa", F.col("pos").alias("b"), F.col("left").alias("left_b"), "first", "a", "left_a", "new"), "neighbours")
-
-    ranks = [t.select("pos", F.struct(F.lit(k).alias("k"), "rank").alias("x")) for k, t in enumerate(levels)]
+
+def _compared_by_levels(active: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """sa, lcp of pairs of suffixes of any stretches: the highest level at which they have the same rank, then on by that many
+    lines, and so on. A round of look-ups for each bit of the result, each row a few numbers whatever a stretch's length."""
+    firsts = active.select(F.explode(F.array("first_a", "first_b")).alias("first")).distinct()
+    ranks = [t.join(firsts, "first", "left_semi").select("pos", F.struct(F.lit(k).alias("k"), "rank").alias("x")) for k, t in enumerate(levels)]
     ranks = reduce(DataFrame.union, ranks).groupBy("pos").agg(F.sort_array(F.collect_list("x")).alias("x")).select("pos", F.col("x.rank").alias("ranks"))
     ranks, top = written(ranks, "all_ranks"), len(levels) - 1
-    active = pairs.where("new").select("sa", "a", "b", "left_a", "left_b", F.lit(0).cast("long").alias("off"), F.lit(top).alias("below"))
+    active = active.select("sa", "a", "b", "left_a", "left_b", F.lit(0).cast("long").alias("off"), F.lit(top).alias("below"))
     done = None
     while True:
         for x in "ab":
@@ -141,10 +145,34 @@ def common_prefixes(order: DataFrame, levels: list[DataFrame], stretches: DataFr
         done = ended if done is None else done.union(ended)
         active = active.where("not over").drop("over")
         if active.isEmpty():
-            break
-    counted = pairs.join(done, "sa", "left").withColumn("from", F.when(F.col("new"), F.struct(F.col("b").alias("pos"), "lcp")))
-    last = F.last("from", ignorenulls=True).over(Window.partitionBy("first").orderBy("b"))
-    return counted.withColumn("from", last).select("sa", (F.col("from.lcp") - (F.col("b") - F.col("from.pos"))).alias("lcp"))
+            return done
+
+
+def common_prefixes(order: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """sa, lcp: how many lines the suffixes sa - 1 and sa have in common.
+
+    order: sa, pos, rank (of the last level) of all suffixes; levels: see prefix_doubling. Suffixes of
+    equal rank are equal. If the same line stands before both suffixes of a pair, the suffixes one line
+    earlier are neighbours too and have one line more in common; so lines are compared only where
+    the lines before differ, and the other pairs count down from there. Stretches of up to SHORT lines
+    are compared whole, longer ones by the levels, so that no long stretch is copied for each neighbour.
+    """
+    lines = levels[0].select("pos", "left", "first", _in_stretch("lag", "rank", 1).alias("before"))
+    there = written(order.join(lines, "pos"), "suffix_order")
+    above = there.select((F.col("sa") + 1).alias("sa"), *(F.col(c).alias(f"{n}_a") for c, n in (("pos", "pos"), ("left", "left"), ("first", "first"), ("before", "before"), ("rank", "rank"))))
+    pairs = there.join(above, "sa").select(
+        "sa", F.col("pos").alias("b"), F.col("left").alias("left_b"), F.col("first").alias("first_b"), F.col("pos_a").alias("a"), "left_a", "first_a",
+        (~F.coalesce(F.col("before") == F.col("before_a"), F.lit(False))).alias("new"), (F.col("rank") == F.col("rank_a")).alias("equal"),
+    )
+    pairs = written(pairs, "neighbours")
+    active = pairs.where("new and not equal").drop("new", "equal")
+    is_short = " and ".join(f"left_{x} + {x} - first_{x} <= {SHORT}" for x in "ab")
+    done, long = _compared_in_short(active.where(is_short), levels[0]), active.where(f"not ({is_short})")
+    if not long.isEmpty():
+        done = done.union(_compared_by_levels(long, levels))
+    counted = pairs.join(done, "sa", "left").withColumn("known", F.when(F.col("equal"), F.col("left_b")).otherwise(F.col("lcp")))
+    last = F.last(F.when(F.col("known").isNotNull(), F.struct("b", "known")), ignorenulls=True).over(Window.partitionBy("first_b").orderBy("b"))
+    return counted.withColumn("from", last).select("sa", (F.col("from.known") - (F.col("b") - F.col("from.b"))).alias("lcp"))
 
 
 def _narrowed(entries) -> list[tuple[int, int]]:
@@ -272,9 +300,9 @@ def copied_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     live = live_lines(docs, least_words)
     ids, _ = dense_ranks(live.select("key").distinct(), ["key"], "rank")
     ids = written(live.join(ids, "key").select("pos", "left", "rank", (F.col("pos") - F.col("at")).alias("first")), "ids")
-    levels = prefix_doubling(ids.select("pos", "left", "rank"))
-    order = written(dense_ranks(levels[-1].select("rank", "pos"), ["rank", "pos"], "sa")[0].select("sa", "pos"), "order")
-    shared = written(common_prefixes(order, levels, ids.select("pos", "left", "first")), "common")
+    levels = prefix_doubling(ids.select("pos", "left", "first", "rank"))
+    order = written(dense_ranks(levels[-1].select("rank", "pos"), ["rank", "pos"], "sa")[0].select("sa", "pos", "rank"), "order")
+    shared = written(common_prefixes(order, levels), "common")
     table = order.join(shared, "sa", "left").join(shared.select((F.col("sa") - 1).alias("sa"), F.col("lcp").alias("next")), "sa", "left")
     copies = earlier_copies(table.select("sa", "pos", F.coalesce("lcp", F.lit(0)).alias("lcp"), F.coalesce("next", F.lit(0)).alias("next")))
     marked = live.join(copies, "pos", "left").select("doc_id", (F.col("pos") - F.col("at")).alias("first"), "at", "line", "words", F.coalesce("copied", F.lit(0)).alias("copied"))
@@ -306,6 +334,7 @@ def copied_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     found = runs.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, cuts array<struct<first:int,last:int>>")
     cuts = written(found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("cuts"))).alias("cuts")), "cuts", 500)
     forget(live, ids, order, shared, *levels[1:])
+    release_exchanges(docs.sparkSession)
     return cuts
 
 

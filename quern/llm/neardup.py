@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from quern.llm.common import clean_text, forget, shingle_sets, text_bytes, written
+from quern.llm.common import clean_text, forget, release_exchanges, shingle_sets, text_bytes, written
 from quern.llm.graph import components, united
 
 ROWS = 7
 #: Buckets of more members are dealt anew by their rarest shingles before their members meet.
 SMALL_BUCKET = 24
-#: Leaders of a bucket in the first round that searches it; each round has four times as many.
-LEADERS = 16
+#: Leaders of a bucket in the first round that searches it, and how many times as many each round has.
+LEADERS = 64
+MORE = 8
 #: Members of a bucket that one task compares with its leaders.
 SHARE = 512
 #: A profile counts shingles in so many groups, each up to 8: a bit for each.
@@ -247,8 +248,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     with a probability of at most one in a million, and nothing later loses any. A bucket's members
     are first compared with its smallest member. Buckets that this leaves in several components are
     searched again: those of more than SMALL_BUCKET members are dealt anew by their rarest shingles
-    (see _dealt_anew); then all are searched from leaders, the members with the most links so far, four
-    times as many each round, until a bucket is of one component or all its members have led. Members
+    (see _dealt_anew); then all are searched from leaders, the members with the most links so far, eight
+    times as many each round (all members where those are fewer), until a bucket is of one component or all its members have led. Members
     of a large bucket are dealt over tasks, each with the bucket's leaders. Copies by the thousand so
     cost a few comparisons each, not a pair each. Before texts are read, pairs are ruled out by their
     sizes and by their profiles (see profile), which bound what they share exactly.
@@ -296,10 +297,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     while True:
         left = written(_mixed(entries, linked), "mixed")
         forget(*used)
+        release_exchanges(docs.sparkSession)
         if left.isEmpty():
             break
         degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        salt = F.when(F.col("members") <= SMALL_BUCKET, F.xxhash64("rep")).otherwise(F.pmod(F.xxhash64("rep", "bucket"), F.lit(leaders_each)))
+        salt = F.when(F.col("members") <= leaders_each, F.xxhash64("rep")).otherwise(F.pmod(F.xxhash64("rep", "bucket"), F.lit(leaders_each)))
         ranked = left.join(degrees, "rep", "left").groupBy("bucket", "members", salt.alias("salt"))
         leaders = ranked.agg(F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("order"), "rep", "dealt", "component")).alias("x"))
         leaders = written(leaders.select("bucket", "members", "x.*"), "leaders")
@@ -316,7 +318,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
                 linked = united(linked, found)
             tested = tested.union(pairs)
         entries = left.join(leaders.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "was", "rep", "dealt")
-        used, leaders_each = [left, leaders], 4 * leaders_each
+        used, leaders_each = [left, leaders], MORE * leaders_each
     groups = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     groups = written(groups.select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups")
     result = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(groups, "set_key", "left")

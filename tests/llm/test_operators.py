@@ -254,8 +254,10 @@ def test_suffix_scan_over_chunks(spark):
         assert {r.pos: r.copied for r in lines.earlier_copies(table, chunk, fan).collect()} == expected
 
 
-def test_common_prefixes(spark):
+@pytest.mark.parametrize("short", [0, 10, 64])
+def test_common_prefixes(spark, monkeypatch, short):
     """Neighbours' common lines over stretches of a small alphabet, held against comparing them."""
+    monkeypatch.setattr(lines, "SHORT", short)
     r = random.Random(21)
     stretches = ["".join(r.choices("ab", k=n)) for n in (1, 7, 40, 3, 3, 25)] + ["abab" * 12, "abab" * 12, "a" * 30]
     rows, at = [], 0
@@ -264,11 +266,11 @@ def test_common_prefixes(spark):
         at += len(x)
     ids = spark.createDataFrame([x[:4] for x in rows], "pos long, left long, first long, rank long")
     order = sorted(rows, key=lambda x: (x[4], x[0]))
-    levels = lines.prefix_doubling(ids.select("pos", "left", "rank"))
+    levels = lines.prefix_doubling(ids)
     last = {x.pos: x.rank for x in levels[-1].collect()}
     assert [x[0] for x in order] == sorted(last, key=lambda p: (last[p], p))
-    sa = spark.createDataFrame([(k, x[0]) for k, x in enumerate(order)], "sa long, pos long")
-    got = {x.sa: x.lcp for x in lines.common_prefixes(sa, levels, ids.select("pos", "left", "first")).collect()}
+    sa = spark.createDataFrame([(k, x[0], last[x[0]]) for k, x in enumerate(order)], "sa long, pos long, rank long")
+    got = {x.sa: x.lcp for x in lines.common_prefixes(sa, levels).collect()}
     common = lambda x, y: next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
     assert got == {k: common(order[k - 1][4], order[k][4]) for k in range(1, len(order))}
 
