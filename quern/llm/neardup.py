@@ -248,11 +248,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     with a probability of at most one in a million, and nothing later loses any. A bucket's members
     are first compared with its smallest member. Buckets that this leaves in several components are
     searched again: those of more than SMALL_BUCKET members are dealt anew by their rarest shingles
-    (see _dealt_anew); then all are searched from leaders, the members with the most links so far, eight
-    times as many each round (all members where those are fewer), until a bucket is of one component or all its members have led. Members
-    of a large bucket are dealt over tasks, each with the bucket's leaders. Copies by the thousand so
-    cost a few comparisons each, not a pair each. Before texts are read, pairs are ruled out by their
-    sizes and by their profiles (see profile), which bound what they share exactly.
+    (see _dealt_anew); then all are searched from leaders, the members with the most links so far,
+    MORE times as many each round (all members where those are fewer), until a bucket is of one
+    component or all its members have led. Members of a large bucket are dealt over tasks, each with
+    the bucket's leaders. Copies by the thousand so cost a few comparisons each, not a pair each.
+    Before texts are read, pairs are ruled out by their sizes and by their profiles (see profile),
+    which bound what they share exactly.
     """
     kind = docs.schema["doc_id"].dataType
     all_docs = written(signatures(docs, threshold, words), "signatures", 500)
