@@ -9,6 +9,7 @@ from quern.llm.decontam import DECONTAMINATION_SQL, benchmark_leaks
 from quern.llm.lines import LINE_RUNS_SQL, drop_repeated_lines
 from quern.llm.neardup import NEAR_DUPLICATES_SQL, near_duplicates
 from quern.llm.packing import best_fit_pack
+from quern.llm.pieces import piece_digests
 from quern.llm.pii import find_personal
 from quern.llm.quality import QUALITY_SQL, host_rules
 from quern.llm.secrets import find_secrets
@@ -59,6 +60,10 @@ def op10_voted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_benchmark_containment": op1_benchmark_containment,
     "op2_linked_secrets": op2_linked_secrets,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_toxic_segments": op8_toxic_segments,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_voted_personal_data": op10_voted_personal_data,
+    "op13_piece_round_trip": op13_piece_round_trip,
 }
 
 SQL: dict[str, str] = {
