@@ -403,15 +403,17 @@ class PieceTokenizer(WordTokenizer):
             if not data.isascii():
                 try:
                     data.decode()
+                    apart = (self.kinds[row[1:-1]] == CONTROL).any()
                 except ValueError:
-                    data = self._mended(row)
+                    apart = True
+                data = self._mended(row) if apart else data
             out.append(data[self._opening(row) :])
         return out
 
     def _opening(self, row: np.ndarray) -> int:
         """Bytes of blanks that stand for the mark put before a text."""
         dropped = 0
-        for i in row.tolist() if self.dummy or self.squeeze else ():
+        for i in row if self.dummy or self.squeeze else ():
             if self.kinds[i] == CONTROL:
                 continue
             blank = self.kinds[i] not in (BYTE, UNKNOWN) and self.shown[self.shown_at[i]] == 32
@@ -421,7 +423,7 @@ class PieceTokenizer(WordTokenizer):
         return dropped
 
     def _mended(self, row: np.ndarray) -> bytes:
-        """The bytes of ids where single bytes don't make up characters: each such byte as U+FFFD."""
+        """The bytes of ids, those that make up no characters with their neighbours among single bytes as U+FFFD each."""
         out, run = [], bytearray()
         for i in [*row.tolist(), -1]:
             if i >= 0 and self.kinds[i] == BYTE:

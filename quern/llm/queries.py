@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import table
+from quern.llm.conversations import REPAIR_SQL, repair_conversations
 from quern.llm.decontam import DECONTAMINATION_SQL, benchmark_leaks
 from quern.llm.lines import LINE_RUNS_SQL, drop_repeated_lines
 from quern.llm.neardup import NEAR_DUPLICATES_SQL, near_duplicates
@@ -60,6 +61,10 @@ def op10_voted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_toxic_segments": op8_toxic_segments,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_voted_personal_data": op10_voted_personal_data,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_piece_round_trip": op13_piece_round_trip,
 }
 
@@ -100,4 +106,5 @@ SQL: dict[str, str] = {
     "op5_host_rules": QUALITY_SQL,
     "op6_repeated_line_runs": LINE_RUNS_SQL,
     "op9_minmax_near_dedup": NEAR_DUPLICATES_SQL,
+    "op12_conversation_repair": REPAIR_SQL,
 }
