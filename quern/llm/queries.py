@@ -8,6 +8,7 @@ from quern.llm.common import table
 from quern.llm.conversations import REPAIR_SQL, repair_conversations
 from quern.llm.decontam import DECONTAMINATION_SQL, benchmark_leaks
 from quern.llm.lines import LINE_RUNS_SQL, drop_repeated_lines
+from quern.llm.merkle import MANIFEST_SQL, manifest
 from quern.llm.neardup import NEAR_DUPLICATES_SQL, near_duplicates
 from quern.llm.packing import best_fit_pack
 from quern.llm.pieces import piece_digests
@@ -61,6 +62,10 @@ def op10_voted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_toxic_segments": op8_toxic_segments,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_voted_personal_data": op10_voted_personal_data,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_piece_round_trip": op13_piece_round_trip,
 }
@@ -106,5 +112,6 @@ SQL: dict[str, str] = {
     "op5_host_rules": QUALITY_SQL,
     "op6_repeated_line_runs": LINE_RUNS_SQL,
     "op9_minmax_near_dedup": NEAR_DUPLICATES_SQL,
+    "op11_merkle_manifest": MANIFEST_SQL,
     "op12_conversation_repair": REPAIR_SQL,
 }
