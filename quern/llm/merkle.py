@@ -144,12 +144,13 @@ def _parts(batches) -> Iterator[Part]:
 
 
 class Forest(NamedTuple):
-    """Trees by group: leaves by part (part, grp, number: seats, digest, more, key), where groups begin in parts, and the rounds' nodes."""
+    """Trees by group: leaves by part (part, grp, number: seats, digest, more, key), where groups begin in parts, the rounds' nodes, and how many parts the leaves and each round have."""
 
     leaves: DataFrame
     runs: DataFrame
     rounds: list[DataFrame]
     roots: DataFrame
+    parts: list[int]
 
 
 def _rows(df: DataFrame, types: dict[str, str], kind: int, **values: Column) -> DataFrame:
@@ -163,10 +164,17 @@ def _types(grp: str, key: str) -> dict[str, str]:
 
 
 def _dealt(types: dict[str, str], parts: int, *tables: DataFrame) -> DataFrame:
+    """Rows by part; those of a single part, which is bounded, are read by one task without an exchange."""
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t)
-    return rows.repartition(max(1, parts), "part").sortWithinPartitions("part", "kind", "grp", "level", "number").select(*types)
+    dealt = rows.repartition(parts, "part") if parts > 1 else rows.coalesce(1)
+    return dealt.sortWithinPartitions("part", "kind", "grp", "level", "number").select(*types)
+
+
+def _ranged(rows: DataFrame, parts: int, *order) -> DataFrame:
+    """rows in order, in so many parts."""
+    return (rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)).sortWithinPartitions(*order)
 
 
 def _resolved(rows: DataFrame, grp: str) -> DataFrame:
@@ -204,15 +212,15 @@ def forest(leaves: DataFrame, order: list[str], part_rows: int = PART_ROWS) -> F
     grp, key = (leaves.schema[c].dataType.simpleString() for c in ("grp", "key"))
     types = _types(grp, key)
     numbered = written(leaves.withColumn("_nth", F.monotonically_increasing_id()), "leaves")
-    parts = -(-numbered.count() // part_rows)
-    ranged = numbered.repartitionByRange(max(1, parts), "grp", *order, "_nth").sortWithinPartitions("grp", *order, "_nth")
+    parts = [max(1, -(-numbered.count() // part_rows))]
+    ranged = _ranged(numbered, parts[0], "grp", *order, "_nth")
     seats = ranged.select("grp", "digest", "more", "key", F.monotonically_increasing_id().alias("number"))
     seats = written(seats.withColumn("part", F.shiftright("number", 33).cast("int")), "seats")
     counts = seats.groupBy("part", "grp").agg(F.count("*").alias("n"), F.min("number").alias("first"))
     group = Window.partitionBy("grp")
     before = F.sum("n").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     runs = written(counts.select("part", "grp", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("number"), F.sum("n").over(group).alias("size")), "runs")
-    nodes = _resolved(_dealt(types, parts, _rows(runs, types, RUN), _rows(seats, types, NODE, level=F.lit(0))), grp)
+    nodes = _resolved(_dealt(types, parts[0], _rows(runs, types, RUN), _rows(seats, types, NODE, level=F.lit(0))), grp)
     rounds, roots = [], None
     while True:
         found = written(nodes, "nodes")
@@ -220,12 +228,12 @@ def forest(leaves: DataFrame, order: list[str], part_rows: int = PART_ROWS) -> F
         roots = done if roots is None else roots.unionByName(done)
         left = found.where("not done").count()
         if not left:
-            return Forest(seats, runs, rounds, roots)
-        parts = max(1, min(-(-left // part_rows), parts // 4))
+            return Forest(seats, runs, rounds, roots, parts)
+        parts.append(max(1, min(-(-left // part_rows), parts[-1] // 4)))
         position = F.expr(f"number * CAST(power({ARITY}, level) AS BIGINT)")
-        ranged = found.where("not done").drop("done").repartitionByRange(parts, "grp", position, "level").withColumn("part", F.spark_partition_id())
+        ranged = _ranged(found.where("not done").drop("done"), parts[-1], "grp", position, "level").withColumn("part", F.spark_partition_id())
         rounds.append(written(ranged, "unresolved"))
-        nodes = _resolved(_dealt(types, parts, _rows(rounds[-1], types, NODE)), grp)
+        nodes = _resolved(_dealt(types, parts[-1], _rows(rounds[-1], types, NODE)), grp)
 
 
 def _tails(rows: DataFrame, grp: str) -> DataFrame:
@@ -252,8 +260,7 @@ def leaf_rows(trees: Forest, above: DataFrame | None, fields: str, make) -> Data
     """
     grp, key = (trees.leaves.schema[c].dataType.simpleString() for c in ("grp", "key"))
     types, tails = _types(grp, key), None
-    for nodes in reversed(trees.rounds):
-        parts = nodes.select("part").distinct().count()
+    for nodes, parts in zip(reversed(trees.rounds), reversed(trees.parts)):
         rows = [_rows(nodes, types, NODE)] + ([_rows(tails, types, TAIL)] if tails is not None else [])
         tails = written(_tails(_dealt(types, parts, *rows), grp), "tails")
     runs = trees.runs
@@ -277,8 +284,7 @@ def leaf_rows(trees: Forest, above: DataFrame | None, fields: str, make) -> Data
                     out.append((name, *make(digest, more, frontier.path(group, 0, number, part.tails, known) + (upper or ""), subroot, top)))
                 yield from _batches(out, {"key": kind("key").type, **{c: "bool" if t == "boolean" else t for c, t in columns.items()}})
 
-    parts = trees.leaves.select("part").distinct().count()
-    return _dealt(types, parts, *rows).mapInArrow(run, f"key {key}, {fields}")
+    return _dealt(types, trees.parts[0], *rows).mapInArrow(run, f"key {key}, {fields}")
 
 
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
