@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import comoments
+
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: null_rate, least, most, spread (sample standard deviation); one pass over the table."""
@@ -34,18 +36,19 @@ def out_of_range(profile: DataFrame, bounds: dict[str, tuple[float, float]]) ->
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """left, right, r for each pair of columns, in one pass; null where a column has no spread."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.corr(a, b).alias("r")) for a, b in pairs]
-    return df.agg(F.array(*one).alias("rows")).select(F.explode("rows").alias("x")).select("x.*")
+    """left, right, r for each pair of columns over the rows that have both, in one pass; null where a column has no spread."""
+    return comoments.pair_statistics(df, columns).select("left", "right", "r")
 
 
 def correlated_columns(df: DataFrame, columns: list[str], most: float = 0.95, last: str = "enrich_") -> list[str]:
-    """The later column of every pair whose correlation is above most; columns with the prefix last come last."""
+    """The later column of every pair whose correlation is above most; columns with the prefix last come last.
+
+    Null counts as 0 here. Only names of columns come to the driver.
+    """
     order = sorted(columns, key=lambda c: c.startswith(last))
-    filled = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in order))
-    rows = correlations(filled, order).where(F.abs("r") > most).select("right").distinct().collect()
-    return [c for c in order if c in {r["right"] for r in rows}]
+    filled = df.select(*(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias(c) for c in order))
+    found = {r["right"] for r in correlations(filled, order).where(F.abs("r") > most).select("right").distinct().collect()}
+    return [c for c in order if c in found]
 
 
 def drop_incomplete(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:

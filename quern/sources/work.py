@@ -7,19 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local applications whose session names none, by application.
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in spark.checkpoint.dir. Only with a master on this machine, as in tests, a
-    temporary folder may take its place.
+    temporary folder may take its place, one an application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _local.get(app) or _local.setdefault(app, f"file://{tempfile.mkdtemp(prefix='quern-')}")
     return f"{root.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
 
 
