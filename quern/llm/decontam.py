@@ -56,6 +56,18 @@ def item_sketches(tests: DataFrame, width: int, containment: float) -> DataFrame
     return hashed.withColumn("part", part).select("part", "item_id", F.explode(F.slice("hashes", F.lit(1), length)).alias("hash"))
 
 
+def partitions_of(found: Column, cuts: list[tuple[int, int, int]]) -> Column:
+    """The partitions that a document's shingle hash is looked up in: those whose largest hash isn't below it; null if none.
+
+    cuts: (largest hash, part, hashes) of the partitions, ascending. A partition of large items has its
+    own small cut-off, whatever hashes the small items' have.
+    """
+    out = F.lit(None).cast("array<int>")
+    for i in reversed(range(len(cuts))):
+        out = F.when(found <= F.lit(cuts[i][0]), F.array(*(F.lit(part) for _, part, _ in cuts[i:]))).otherwise(out)
+    return out
+
+
 def benchmark_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.8, width: int = 5) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment for each document that contains an item.
 
@@ -64,9 +76,10 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.8,
     of them, one without words is contained in nothing.
 
     Items are partitioned by size and each partition has MinHash sketches of its own length, the
-    smallest shingle hashes of its items (item_sketches). A document's sketch is those of its shingle
-    hashes that don't exceed the largest one looked for, so a long document meets the sketches
-    with few of its shingles. One hash in common makes a candidate, whose share is then counted on the
+    smallest shingle hashes of its items (item_sketches). A document has a sketch for each partition:
+    those of its shingle hashes that don't exceed the partition's largest (partitions_of), so a long
+    document meets the large items' sketches with few of its shingles; items of a few shingles have any
+    hashes, and are looked for with nearly all. One hash in common makes a candidate, whose share is then counted on the
     shingles themselves. Null or empty texts contain nothing. Rows that repeat a doc_id or an item_id
     count as one text, their shingles together; rows without one are left out, as are other columns.
     """
@@ -76,16 +89,16 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.8,
     parts = parts.distinct()
     sized = written(parts.join(parts.groupBy("item_id").agg(F.count("*").alias("n_item")), "item_id"), "items")
     sketches = written(item_sketches(tests, width, containment), "sketches")
-    n, largest = sketches.agg(F.count("*"), F.max("hash")).first()
+    cuts = sorted((r["cut"], r["part"], r["n"]) for r in sketches.groupBy("part").agg(F.max("hash").alias("cut"), F.count("*").alias("n")).collect())  # a row a power of two
+    n = sum(c[2] for c in cuts)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long, containment double"
     if not n:
         return docs.sparkSession.createDataFrame([], schema)
     widths = sorted(r["width"] for r in sized.select("width").distinct().collect())
     words = docs.where("doc_id is not null").select("doc_id", words_of(clean_text()).alias("words"))
     hashes = F.explode(F.concat(*(_hashed("words", w) for w in widths)) if len(widths) > 1 else _hashed("words", widths[0]))
-    rows = words.select("doc_id", hashes.alias("hash")).where(F.col("hash") <= largest)
-    mine = sketches.select("hash", "item_id")
-    found = rows.join(F.broadcast(mine) if n <= MOST_BROADCAST else mine, "hash").select("doc_id", "item_id")
+    rows = words.select("doc_id", hashes.alias("hash")).select("doc_id", "hash", F.explode(partitions_of(F.col("hash"), cuts)).alias("part"))
+    found = rows.join(F.broadcast(sketches) if n <= MOST_BROADCAST else sketches, ["part", "hash"]).select("doc_id", "item_id")
     candidates = written(found.distinct(), "candidates")
     near = words.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     asked = candidates.join(sized.select("item_id", "width").distinct(), "item_id").select("doc_id", "width").distinct()

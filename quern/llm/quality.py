@@ -88,12 +88,14 @@ def beta_priors(hosts: DataFrame, rules: list[str]) -> dict[str, tuple[float, fl
     return out
 
 
-def host_rules(docs: DataFrame, host: str = "source", most_failed: float = 0.5) -> DataFrame:
+def host_rules(docs: DataFrame, host: str = "source", most_times: float = 3.0, least_rate: float = 0.05) -> DataFrame:
     """doc_id, host, the measures, base_failed, host_rates, host_failed and kept of every document.
 
     The failures of each rule (RULES) are counted by host, and each rate is shrunk towards the beta
-    prior of all hosts for that rule (host_rates). A host is kept out if any of its rates is above
-    most_failed; host_failed names those rules. Its documents are then not kept, nor are those that
+    prior of all hosts for that rule (host_rates). A host is kept out if it is sure to fail a rule far
+    more often than others: its posterior mean less two posterior standard deviations is above most_times the
+    prior's mean and above least_rate. A few failures of a small host decide nothing, as its posterior
+    is nearly the prior; host_failed names the rules. Its documents are then not kept, nor are those that
     fail a base rule themselves. Null is a host of its own; null and empty texts count as short.
     Repeated rows count as often as they occur; doc_id may be null and of any type; other columns are
     left out. Hosts are counted in the tasks before the exchange, and the verdicts are joined back to a
@@ -106,7 +108,9 @@ def host_rules(docs: DataFrame, host: str = "source", most_failed: float = 0.5)
     hosts = written(hosts, "hosts")
     priors = beta_priors(hosts, list(RULES))
     rates = {r: (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b)) for r, (a, b) in priors.items()}
-    failed = F.array_compact(F.array(*(F.when(rate > most_failed, F.lit(r)) for r, rate in rates.items())))
+    spreads = {r: F.sqrt(rates[r] * (1 - rates[r]) / (F.col("n") + F.lit(a + b + 1))) for r, (a, b) in priors.items()}
+    beyond = {r: max(most_times * a / (a + b), least_rate) for r, (a, b) in priors.items()}
+    failed = F.array_compact(F.array(*(F.when(rates[r] - 2 * spreads[r] > beyond[r], F.lit(r)) for r in rates)))
     verdicts = hosts.select(F.col("host").alias("of"), F.struct(*(rate.alias(r) for r, rate in rates.items())).alias("host_rates"), failed.alias("host_failed"))
     joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.size("host_failed") == 0))
@@ -145,7 +149,8 @@ QUALITY_SQL = r"""
     ), w AS (
         SELECT rule, p, least(greatest(raw, 2.0), 1e6) AS weight FROM v
     ), q AS (
-        SELECT source, bool_or((f + p * weight) / (n + weight) > 0.5) AS bad FROM h JOIN w USING (rule) GROUP BY source
+        SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (n + weight + 1)) > greatest(3 * p, 0.05)) AS bad
+        FROM (SELECT *, (f + p * weight) / (n + weight) AS rate FROM h JOIN w USING (rule)) GROUP BY source
     )
     SELECT b.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
     FROM b JOIN q ON q.source IS NOT DISTINCT FROM b.source

@@ -76,9 +76,10 @@ def write_archives(pages: DataFrame, path: str, most_bytes: int = MOST_BYTES) ->
 
     A record is a gzip member of its own, so a reader can seek to it. An archive is closed once the
     next member would take it beyond most_bytes, so a longer member stands alone. It is written beside
-    its place and moved there whole; a task that is run again replaces its archives.
+    its place and moved there whole; a task that is run again has its rows in the same order and so
+    replaces its archives by equal ones.
     """
-    rows = with_revisits(pages).withColumn("captured_at", capture_time())
+    rows = with_revisits(pages).withColumn("captured_at", capture_time()).sortWithinPartitions("page_id", "url", "payload_digest")
 
     def store(batches):
         import uuid
@@ -166,9 +167,12 @@ def _page(value: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, archives: DataFrame | None = None) -> DataFrame:
     """The captures in the archives at path; each archive's are a run sorted by URL key, time and page.
 
+    archives names those to read (column archive), as write_archives returns them: what a failed task
+    left in the folder isn't read. Without it every archive in the folder is.
+
     Archives are streamed, one record held at a time. Digest and size come from a response's own payload
     and are checked against the header; a revisit holds no payload and states them. record_offset and
     record_length are the place of the record's member in its archive. No archive, no row.
@@ -198,7 +202,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000]), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+    if archives is None:
+        archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+    files = archives.select("archive")
     return written(files.mapInArrow(run, CAPTURES), "runs")
 
 
@@ -288,5 +294,4 @@ def capture_histories(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the pages' archives, read them back and merge their runs; see the steps above."""
     spark = pages.sparkSession
     path = path or fresh_path(spark, "archives")
-    write_archives(pages, path)
-    return merge_runs(read_archives(spark, path))
+    return merge_runs(read_archives(spark, path, write_archives(pages, path)))
