@@ -24,6 +24,11 @@ BATCH = 500
 ORACLE_SQL = None
 
 
+def _quoted(columns: list[str]) -> list[str]:
+    """Names as they stand, with dots and back-ticks."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold."""
     model, rows = fit(docs, table(spark, sf_dir, "labels")), docs.select(F.struct("*").alias("document"), "text")
@@ -34,21 +39,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; those of which nothing is left go."""
     left = cut_texts(docs).where((F.col("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    size = F.when(F.col("removed") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    fresh = {"text": F.col("text"), "n_chars": size.alias("n_chars")}
+    fresh = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("removed") > 0, F.length("text")).otherwise(F.col("row")["n_chars"])
+        fresh["n_chars"] = size.cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return left.select(*(fresh.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
     others = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(written(others, "others").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(written(others, "others").hint("merge"), "doc_id", "left_anti").select(_quoted(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     leaks = benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(written(leaks, "leaks"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(written(leaks, "leaks"), "doc_id", "left_anti").select(_quoted(docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

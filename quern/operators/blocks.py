@@ -31,8 +31,8 @@ def gathered(df: DataFrame, gather: Callable[[Iterable], Iterable[tuple[int, byt
     return df.mapInArrow(run, SCHEMA)
 
 
-def merged(states: DataFrame, merge: Callable[[bytes, bytes], bytes]) -> DataFrame:
-    """key, state: the states of all tasks, merged by key two at a time, in order of the tasks."""
+def merged(states: DataFrame, merge: Callable[[bytes, bytes], bytes], levels: int = 2) -> DataFrame:
+    """key, state: the states of all tasks, merged by key two at a time, in order of the tasks; levels 1 is enough for FAN tasks."""
 
     def run(batches):
         import pyarrow as pa
@@ -52,7 +52,7 @@ def merged(states: DataFrame, merge: Callable[[bytes, bytes], bytes]) -> DataFra
         if at is not None:
             yield row(*at, state)
 
-    for group in (F.floor(F.col("task") / FAN).cast("int"), F.lit(0)):
+    for group in (F.floor(F.col("task") / FAN).cast("int"), F.lit(0))[-levels:]:
         level = states.select(group.alias("task"), "key", F.col("task").alias("_t"), "state")
         dealt = level.repartition("task", "key").sortWithinPartitions("task", "key", "_t").select("task", "key", "state")
         states = dealt.mapInArrow(run, SCHEMA)
