@@ -23,6 +23,8 @@ from quern.sources.work import stored
 
 #: Values that stand for a column's distribution, and values held before they are reduced to so many.
 POINTS, HELD = 1024, 1 << 16
+#: A table of at most so many rows is one part, whose histograms needn't be added up.
+SMALL = 1 << 16
 #: Trees after which the stored margins are brought up to date.
 REFRESH = 8
 EMPTY = -1
@@ -44,7 +46,7 @@ class Setting:
 
 @dataclass
 class Tree:
-    """Nodes as lists: feature (-1 for a leaf), the last bin and value that go left, children, value, and rows seen."""
+    """Nodes as lists: feature (-1 for a leaf), the last bin and value that go left, children, value, rows seen, and the cut's gain."""
 
     feature: list[int]
     cut: list[int]
@@ -53,6 +55,7 @@ class Tree:
     right: list[int]
     value: list[float]
     cover: list[float]
+    gain: list[float]
 
 
 @dataclass
@@ -199,14 +202,14 @@ class _Growing:
 
     @classmethod
     def root(cls) -> _Growing:
-        return cls(Tree([EMPTY], [0], [0.0], [EMPTY], [EMPTY], [0.0], [0.0]), [(0.0, 0.0, 0.0)])
+        return cls(Tree([EMPTY], [0], [0.0], [EMPTY], [EMPTY], [0.0], [0.0], [0.0]), [(0.0, 0.0, 0.0)])
 
     def _split(self, node: int) -> None:
         f, cut, _, left, total = self.best[node]
         t = self.tree
         t.feature[node], t.cut[node], t.left[node], t.right[node] = f, cut, len(t.feature), len(t.feature) + 1
         for sums in (left, tuple(a - b for a, b in zip(total, left))):
-            for values, new in ((t.feature, EMPTY), (t.cut, 0), (t.at, 0.0), (t.left, EMPTY), (t.right, EMPTY), (t.value, 0.0), (t.cover, 0.0)):
+            for values, new in ((t.feature, EMPTY), (t.cut, 0), (t.at, 0.0), (t.left, EMPTY), (t.right, EMPTY), (t.value, 0.0), (t.cover, 0.0), (t.gain, 0.0)):
                 values.append(new)
             self.sums.append(sums)
         self.way += [self.way[node] + "l", self.way[node] + "r"]
@@ -237,7 +240,7 @@ class _Growing:
 
     def finished(self, made: list[int], setting: Setting, cuts: list[np.ndarray]) -> Tree:
         """The tree of the cuts made, with leaf values."""
-        keep, old, out = set(made), [0], Tree([], [], [], [], [], [], [])
+        keep, old, out = set(made), [0], Tree([], [], [], [], [], [], [], [])
         for node in old:  # grows while it is read
             g, h, n = self.sums[node]
             split = node in keep
@@ -249,6 +252,7 @@ class _Growing:
             out.right.append(len(old) + 1 if split else EMPTY)
             out.value.append(0.0 if split else -setting.step * g / (h + setting.l2))
             out.cover.append(n)
+            out.gain.append(self.best[node][2] if split else 0.0)
             if split:
                 old += [self.tree.left[node], self.tree.right[node]]
         return out
@@ -303,6 +307,7 @@ def fit(rows: DataFrame, width: int, jobs: list[tuple[Setting, int]], folds: int
 
     schema = "y double, fold int, row long, bins binary, margins binary"
     ready = rows.select("x", F.col("y").cast("double").alias("y"), F.col("fold").cast("int").alias("fold"), F.col("row").cast("long").alias("row"))
+    ready = ready.coalesce(1) if counts[:, 0].sum() <= SMALL else ready
     table = stored(ready.mapInArrow(prepare, schema), "binned")
     tasks, since = table.rdd.getNumPartitions(), 0
     for t in range(max((s.trees for s, _ in jobs), default=0)):
@@ -402,7 +407,9 @@ def _round(table, models, skips, width, jobs, since, t, growing, open_, bins, al
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["key", "f", "at", "gain", "left", "total"])
 
-    found = merged(gathered(table, gather), added, 1 if tasks <= FAN else 2).mapInArrow(cut, "key int, f int, at int, gain double, left array<double>, total array<double>")
+    states = gathered(table, gather)
+    states = states.select("key", "state") if tasks == 1 else merged(states, added, 1 if tasks <= FAN else 2)
+    found = states.mapInArrow(cut, "key int, f int, at int, gain double, left array<double>, total array<double>")
     return [(*places[r["key"]], (r["f"], r["at"], r["gain"], tuple(r["left"]) if r["left"] else None, tuple(r["total"]))) for r in found.collect()]
 
 
@@ -430,6 +437,16 @@ def ends(tree: Tree, x: np.ndarray) -> np.ndarray:
     return node
 
 
+def gain_shares(model: Model, width: int) -> np.ndarray:
+    """Each feature's share of the gain of all cuts; zeros without cuts."""
+    out = np.zeros(width)
+    for tree in model.trees:
+        for f, gain in zip(tree.feature, tree.gain):
+            if f != EMPTY:
+                out[f] += gain
+    return out / out.sum() if out.sum() > 0 else out
+
+
 def probability(models: list[Model], x: Column, which: Column, width: int) -> Column:
     """The probability that the model of number which gives to the row's features x."""
     @F.pandas_udf("double")

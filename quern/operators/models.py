@@ -1,9 +1,8 @@
-"""Models on pyspark.ml: imputation, boosted trees, isotonic calibration, stacking."""
+"""Models: imputation, an ensemble of boosted trees that grow by level and by leaf, isotonic calibration, stacking."""
 
 from __future__ import annotations
 
 import json
-import random
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,10 +13,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import ordered, select, stats
+from quern.operators import boosting, ordered, select, stats
 
-#: Two settings of the learner stand for the two learners of an ensemble.
-LEARNERS = {"deep": {"maxDepth": 4, "maxIter": 8, "stepSize": 0.2}, "shallow": {"maxDepth": 2, "maxIter": 12, "stepSize": 0.3}}
+#: Settings of the ensemble's two learners: trees that grow level by level (pyspark.ml), and leaf by leaf (boosting).
+LEVEL = {"maxDepth": 4, "maxIter": 8, "stepSize": 0.2}
+LEAF = boosting.Setting(trees=8, leaves=8, step=0.4)
 
 
 def fill_values(train: DataFrame, numeric: list[str], categorical: list[str]) -> dict[str, object]:
@@ -46,59 +46,89 @@ def probability(column: str = "probability") -> Column:
     return F.get(vector_to_array(F.col(column)), F.lit(1))
 
 
+def category_levels(train: DataFrame, categorical: list[str]) -> dict[str, list[str]]:
+    """The values of each category in the training rows, in order; a category has few."""
+    return {c: sorted(r[0] for r in train.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().collect()) for c in categorical}
+
+
+def feature_array(numeric: list[str], levels: dict[str, list[str]]) -> Column:
+    """The numeric columns and one of 0 or 1 for each value of the categories, as an array; absent numbers stay absent."""
+    marks = [(F.col(c).cast("string").eqNullSafe(F.lit(v))).cast("double") for c, values in levels.items() for v in values]
+    return F.array(*(F.col(c).cast("double") for c in numeric), *marks)
+
+
+def leaf_rows(df: DataFrame, label: str, numeric: list[str], levels: dict[str, list[str]], fold: Column) -> DataFrame:
+    return df.select(feature_array(numeric, levels).alias("x"), F.col(label).alias("y"), fold.cast("int").alias("fold"), F.lit(0).alias("row"))
+
+
+def _width(numeric: list[str], levels: dict[str, list[str]]) -> int:
+    return len(numeric) + sum(map(len, levels.values()))
+
+
+def fit_level(ready: DataFrame, numeric: list[str], categorical: list[str], seed: int = 42) -> PipelineModel:
+    """The learner that grows by level, on rows without absent values and with a label column."""
+    return Pipeline(stages=[*preprocessor(numeric, categorical), GBTClassifier(seed=seed, **LEVEL)]).fit(ready)
+
+
 class Ensemble:
-    """Mean of the learners' probabilities after their own preprocessing."""
+    """Mean of the probabilities of the two learners (p_level, p_leaf), after the training rows' imputation."""
 
-    def __init__(self, models: dict[str, PipelineModel], fills: dict[str, object]):
-        self.models, self.fills = models, fills
+    def __init__(self, level: PipelineModel, leaf: boosting.Model, numeric: list[str], levels: dict[str, list[str]], fills: dict[str, object]):
+        self.level, self.leaf, self.numeric, self.levels, self.fills = level, leaf, numeric, levels, fills
 
     @classmethod
     def fit(cls, train: DataFrame, label: str, numeric: list[str], categorical: list[str], seed: int = 42) -> Ensemble:
         fills = fill_values(train, numeric, categorical)
         ready = train.na.fill(fills).withColumn("label", F.col(label).cast("double"))
-        models = {name: Pipeline(stages=[*preprocessor(numeric, categorical), GBTClassifier(seed=seed, **settings)]).fit(ready) for name, settings in LEARNERS.items()}
-        return cls(models, fills)
+        levels = category_levels(ready, categorical)
+        (leaf,) = boosting.fit(leaf_rows(ready, "label", numeric, levels, F.lit(0)), _width(numeric, levels), [(LEAF, -1)], 1, seed=seed)
+        return cls(fit_level(ready, numeric, categorical, seed), leaf, numeric, levels, fills)
 
     def score(self, df: DataFrame) -> DataFrame:
-        """df with p_<learner> and p_ensemble."""
-        out = df.na.fill(self.fills)
-        keep = df.columns
-        for name, model in self.models.items():
-            out = model.transform(out).withColumn(f"p_{name}", probability()).select(*keep, f"p_{name}")
-            keep = [*keep, f"p_{name}"]
-        total = sum((F.col(f"p_{n}") for n in list(self.models)[1:]), F.col(f"p_{list(self.models)[0]}"))
-        return out.withColumn("p_ensemble", total / F.lit(float(len(self.models))))
+        """df with p_level, p_leaf and p_ensemble."""
+        filled = self.level.transform(df.na.fill(self.fills)).withColumn("p_level", probability()).select(*df.columns, "p_level")
+        leaf = boosting.probability([self.leaf], feature_array(self.numeric, self.levels), F.lit(0), _width(self.numeric, self.levels))
+        return filled.withColumn("p_leaf", leaf).withColumn("p_ensemble", (F.col("p_level") + F.col("p_leaf")) / F.lit(2.0))
 
     def importances(self, names: list[str]) -> dict[str, float]:
-        """Mean importance of the numeric features over the learners."""
-        sums = dict.fromkeys(names, 0.0)
-        for model in self.models.values():
-            for n, v in zip(names, model.stages[-1].featureImportances.toArray()):
-                sums[n] += float(v) / len(self.models)
-        return sums
+        """Mean over the learners of the numeric features' shares of the gain of all cuts."""
+        level, leaf = self.level.stages[-1].featureImportances.toArray(), boosting.gain_shares(self.leaf, _width(self.numeric, self.levels))
+        return {n: float(level[i] + leaf[i]) / 2 for i, n in enumerate(names)}
 
     def save(self, path: str) -> None:
-        """Every learner's pipeline and the fill values, in one folder."""
-        spark = SparkSession.getActiveSession()
-        for name, model in self.models.items():
-            model.write().overwrite().save(f"{path}/{name}")
-        told = {"learners": list(self.models), "fills": self.fills}
-        spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/ensemble")
+        """Both learners and the fill values, in one folder."""
+        self.level.write().overwrite().save(f"{path}/level")
+        told = {"leaf": self.leaf.to_json(), "numeric": self.numeric, "levels": self.levels, "fills": self.fills}
+        SparkSession.getActiveSession().createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/ensemble")
 
     @classmethod
     def load(cls, path: str) -> Ensemble:
         told = json.loads(SparkSession.getActiveSession().read.text(f"{path}/ensemble").first()[0])
-        return cls({name: PipelineModel.load(f"{path}/{name}") for name in told["learners"]}, told["fills"])
+        return cls(PipelineModel.load(f"{path}/level"), boosting.Model.from_json(told["leaf"]), told["numeric"], told["levels"], told["fills"])
 
 
 def out_of_fold(df: DataFrame, label: str, numeric: list[str], categorical: list[str], fold: str = "fold", k: int = 5) -> DataFrame:
-    """Each row scored by the ensemble that was fitted on the other folds."""
-    parts = None
+    """df with p_level, p_leaf and p_ensemble, each row scored by models that were fitted on the other folds.
+
+    The leaf-wise models of all folds are fitted at once; for them an absent number is a value of its
+    own, for the others it is filled with the other folds' median.
+    """
+    models, levels = leaf_models(df, label, numeric, categorical, fold, k)
+    width, parts = _width(numeric, levels), None
+    scored = df.withColumn("p_leaf", boosting.probability(models, feature_array(numeric, levels), F.col(fold).cast("int"), width))
     for i in range(k):
-        model = Ensemble.fit(df.where(F.col(fold) != i), label, numeric, categorical)
-        scored = model.score(df.where(F.col(fold) == i))
-        parts = scored if parts is None else parts.unionByName(scored)
-    return parts
+        train = df.where(F.col(fold) != i)
+        fills = fill_values(train, numeric, categorical)
+        model = fit_level(train.na.fill(fills).withColumn("label", F.col(label).cast("double")), numeric, categorical)
+        part = model.transform(scored.where(F.col(fold) == i).na.fill(fills)).withColumn("p_level", probability()).select(*df.columns, "p_level", "p_leaf")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.withColumn("p_ensemble", (F.col("p_level") + F.col("p_leaf")) / F.lit(2.0))
+
+
+def leaf_models(df: DataFrame, label: str, numeric: list[str], categorical: list[str], fold: str = "fold", k: int = 5) -> tuple[list[boosting.Model], dict[str, list[str]]]:
+    """The leaf-wise model for each fold, fitted on the other folds, and the categories' values (null: none of them)."""
+    levels = category_levels(df, categorical)
+    return boosting.fit(leaf_rows(df, label, numeric, levels, F.col(fold)), _width(numeric, levels), [(LEAF, i) for i in range(k)], k), levels
 
 
 def isotonic(df: DataFrame, label: str, score: str):
@@ -222,23 +252,6 @@ def panel_evaluation(train: DataFrame, test: DataFrame, label: str, base: list[s
     return out if out is not None else _compared(scored.limit(0), key, 1).select(F.lit("").alias(panel), "*").limit(0)
 
 
-def search(df: DataFrame, label: str, numeric: list[str], trials: int = 8, fold: str = "fold", k: int = 3, seed: int = 42) -> list[tuple[dict, float]]:
-    """Random settings of the learner and their mean AUC over the folds, best first."""
-    draw, out = random.Random(seed), []
-    fills = fill_values(df, numeric, [])
-    ready = df.na.fill(fills).withColumn("label", F.col(label).cast("double"))
-    for _ in range(trials):
-        settings = {"maxDepth": draw.randint(2, 5), "maxIter": draw.choice([5, 10, 20]), "stepSize": draw.choice([0.05, 0.1, 0.2, 0.3]), "subsamplingRate": draw.choice([0.7, 1.0])}
-        scores = []
-        for i in range(k):
-            model = Pipeline(stages=[*preprocessor(numeric, []), GBTClassifier(seed=seed, **settings)]).fit(ready.where(F.col(fold) != i))
-            scored = model.transform(ready.where(F.col(fold) == i)).select(label, probability().alias("_p"))
-            scores.append(stats.roc_auc(scored, label, "_p").first().auc)
-        known = [x for x in scores if x is not None]
-        out.append((settings, sum(known) / len(known) if known else 0.0))
-    return sorted(out, key=lambda x: -x[1])
-
-
 def permutation_importance(model: Ensemble, df: DataFrame, label: str, columns: list[str], key: str, seed: int = 42) -> list[tuple[str, float]]:
     """Loss of AUC when a column's values are dealt anew among the rows by a drawn order; largest loss first."""
     base = stats.roc_auc(model.score(df), label, "p_ensemble").first().auc or 0.0
@@ -249,17 +262,3 @@ def permutation_importance(model: Ensemble, df: DataFrame, label: str, columns:
         dealt = placed(seed).join(values, "place").withColumn(c, F.col("_v")).select(df.columns)
         out.append((c, base - (stats.roc_auc(model.score(dealt), label, "p_ensemble").first().auc or 0.0)))
     return sorted(out, key=lambda x: -x[1])
-
-
-def search_history(spark: SparkSession, found: list[tuple[dict, float]]) -> DataFrame:
-    """trial (best first), setting, value, auc: the history of search, a row for each setting of a trial."""
-    rows = [(i, k, float(v), float(auc)) for i, (settings, auc) in enumerate(found) for k, v in sorted(settings.items())]
-    return spark.createDataFrame(rows, "trial int, setting string, value double, auc double")
-
-
-def setting_importances(history: DataFrame) -> DataFrame:
-    """setting, importance: the share of the trials' variance that lies between the values of a setting."""
-    cells = history.groupBy("setting", "value").agg(F.avg("auc").alias("mean"), F.count("*").alias("n"))
-    total = history.groupBy("setting").agg(F.avg("auc").alias("all"), F.var_pop("auc").alias("spread"), F.count("*").alias("trials"))
-    parts = cells.join(total, "setting").groupBy("setting", "spread", "trials").agg(F.sum(F.col("n") * (F.col("mean") - F.col("all")) * (F.col("mean") - F.col("all"))).alias("between"))
-    return parts.select("setting", F.coalesce(F.try_divide(F.col("between") / F.col("trials"), F.col("spread")), F.lit(0.0)).alias("importance")).orderBy(F.desc("importance"), "setting")

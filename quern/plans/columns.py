@@ -401,10 +401,3 @@ def checked_features(spark, sf_dir):
     names = ["_gene", "label", "cadd_phred", "ref_aa", "delta_mw", "is_radical", "maf_afr", "pli", "gerp_rs", "aa_ctx_up1", "track_c_logit"]
     chosen = validate.check_features(select_features(names, "core"), "core")
     return spark.createDataFrame(list(group_table(chosen).items()), "feature_group string, n long")
-
-
-@query("SELECT setting, importance FROM (VALUES ('depth', 1.0), ('step', 0.0)) t(setting, importance)")
-def setting_importances(spark, sf_dir):
-    """A history of four trials in which one setting alone decides."""
-    found = [({"depth": d, "step": s}, 0.5 + d / 10) for d in (1, 2) for s in (1, 2)]
-    return _rounded(models.setting_importances(models.search_history(spark, found)))

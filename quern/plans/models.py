@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import models, select, stats
+from quern.operators import attribution, models, select, stats, tuning
 from quern.plans.features import _labelled
 from quern.plans.registry import query, table
 
@@ -21,7 +21,7 @@ def _out_of_fold(rows, names):
     """Every row's scores by the ensemble of the other four folds, kept, as later steps read them several times."""
     rows = select.stratified_folds(rows, "y", F.col("vec_id")).persist()
     scored = models.out_of_fold(rows, "y", names, [])
-    return scored.select("vec_id", "fold", "y", "p_deep", "p_shallow", "p_ensemble").persist()
+    return scored.select("vec_id", "fold", "y", "p_level", "p_leaf", "p_ensemble").persist()
 
 
 @query()
@@ -29,6 +29,60 @@ def gbt_oof(spark, sf_dir):
     return _out_of_fold(*_vectors(spark, sf_dir))
 
 
+@query()
+def category_oof(spark, sf_dir):
+    """Both learners on numbers and categories, out of fold: whether a customer's balance is above the middle of its range."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 4500).cast("int").alias("y"), F.length("c_name").cast("double").alias("name"), "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"))
+    rows = select.stratified_folds(c, "y", F.col("c_custkey"), k=3).persist()
+    scored = models.out_of_fold(rows, "y", ["name"], ["c_mktsegment", "nation"], k=3)
+    return scored.select("c_custkey", "fold", "y", "p_level", "p_leaf", "p_ensemble")
+
+
+def _leaf_attributions(spark, sf_dir):
+    rows, names = _vectors(spark, sf_dir)
+    rows = select.stratified_folds(rows, "y", F.col("vec_id")).persist()
+    fitted, levels = models.leaf_models(rows, "y", names, [])
+    x = rows.select("vec_id", "y", "fold", models.feature_array(names, levels).alias("x"))
+    return attribution.attributions(x, fitted, names, "vec_id", "fold"), names
+
+
+@query()
+def shapley_values(spark, sf_dir):
+    """The ten strongest features of each row's margin, by the model of the other folds."""
+    found, names = _leaf_attributions(spark, sf_dir)
+    return attribution.strongest(found, names, "vec_id")
+
+
+@query()
+def shapley_groups(spark, sf_dir):
+    """Mean absolute Shapley values of the features, and of their groups: each eighth of the vector."""
+    found, names = _leaf_attributions(spark, sf_dir)
+    return attribution.mean_attributions(found, names, "vec_id", {n: f"g{8 * i // len(names)}" for i, n in enumerate(names)})
+
+
+#: A space whose fits are short.
+_SPACE = tuning.SPACE | {"trees": tuning.Range(2, 6, whole=True), "leaves": tuning.Range(2, 12, whole=True)}
+
+
+def _history(spark, sf_dir):
+    rows, names = _vectors(spark, sf_dir)
+    rows = select.stratified_folds(rows, "y", F.col("vec_id"), k=3)
+    x = rows.select(models.feature_array(names, {}).alias("x"), "y", "fold", F.col("vec_id").alias("row")).persist()
+    return tuning.history_table(spark, tuning.search(x, len(names), trials=16, together=8, space=_SPACE))
+
+
+@query()
+def search_trials(spark, sf_dir):
+    """The history of a search of settings for the vectors' labels: eight even draws, then eight where good ones are dense."""
+    return _history(spark, sf_dir).withColumn("settings", F.to_json("settings"))
+
+
+@query()
+def setting_importances(spark, sf_dir):
+    """What the history of that search says of each setting."""
+    return tuning.importances(_history(spark, sf_dir), _SPACE)
+
+
 @query()
 def isotonic_calibration(spark, sf_dir):
     """Calibration by the held rows, which the model has not seen, of the others' scores, each out of fold."""
@@ -45,7 +99,7 @@ def isotonic_calibration(spark, sf_dir):
 def stacking(spark, sf_dir):
     """The two learners' out-of-fold scores stacked, each row by the stack of the other folds."""
     scored = _out_of_fold(*_vectors(spark, sf_dir))
-    return stats.evaluate(models.stacked_out_of_fold(scored, "y", ["p_deep", "p_shallow"]), "y", "p_stack")
+    return stats.evaluate(models.stacked_out_of_fold(scored, "y", ["p_level", "p_leaf"]), "y", "p_stack")
 
 
 def _two_scores(spark, sf_dir):
