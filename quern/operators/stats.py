@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import resample
 from quern.operators.ordered import drawn_places, score_part, with_before
 from quern.operators.select import draw
 
@@ -244,35 +245,9 @@ def paired_bootstrap(df: DataFrame, label: str, a: str, b: str, key: Column, rou
     return delta.crossJoin(d.agg(F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"), p.alias("p")))
 
 
-def poisson_weight(u: Column) -> Column:
-    """The Poisson(1) number that a uniform draw from 0 to 1 stands for, 12 at most."""
-    cumulated, weight, term = 0.0, F.lit(0), math.exp(-1)
-    for k in range(12):
-        cumulated += term
-        weight = weight + F.when(u > cumulated, 1).otherwise(0)
-        term /= k + 1
-    return weight
-
-
-def poisson_auc(df: DataFrame, label: str, score: str, key: Column, rounds: int = 200, seed: int = 42, at_once: int = 20) -> DataFrame:
-    """round, auc of resamples by Poisson(1) weights from md5(seed, round, key): no numbering, no join.
-
-    Each pass over the rows counts at_once rounds, as columns of one row a score, so rows aren't
-    multiplied by rounds.
-    """
-    rows, out = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()), None
-    for first in range(0, rounds, at_once):
-        mine = range(first, min(first + at_once, rounds))
-        u = {r: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(r)), key.cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0) for r in mine}
-        weighed = rows.select(F.col(label).alias("y"), F.col(score).cast("double").alias("s"), *(poisson_weight(u[r]).alias(f"w{r}") for r in mine))
-        of = lambda y, r: F.sum(F.when(F.col("y") == y, F.col(f"w{r}")).otherwise(0))
-        counts = weighed.groupBy("s").agg(*(of(1, r).alias(f"p{r}") for r in mine), *(of(0, r).alias(f"n{r}") for r in mine))
-        placed = with_before(counts, [], score_part(F.col("s")), [F.col("s")], [f"n{r}" for r in mine])
-        won = {r: F.sum(F.col(f"p{r}") * (F.col(f"before_n{r}") + F.col(f"n{r}") / F.lit(2.0))) for r in mine}
-        auc = placed.agg(*(F.try_divide(F.try_divide(won[r], F.sum(f"p{r}")), F.sum(f"n{r}")).alias(str(r)) for r in mine))
-        part = auc.unpivot([], [str(r) for r in mine], "round", "auc").withColumn("round", F.col("round").cast("long"))
-        out = part if out is None else out.union(part)
-    return out
+def poisson_auc(df: DataFrame, label: str, score: str, key: Column, rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """round, auc of resamples by Poisson(1) weights: no numbering, no join, one pass whatever the rounds."""
+    return resample.poisson_metrics(df, label, score, key, rounds, seed=seed).where("auc is not null").select("round", "auc")
 
 
 def interval(resamples: DataFrame, value: str = "auc", level: float = 0.95, by: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import features as fx
 from quern.functions.residues import distance, distance_table, letter, prop, property_table
 from quern.functions.schema import feature_group
-from quern.operators import rules, stats
+from quern.operators import resample, rules, stats
 from quern.plans import registry
 from quern.plans.registry import query, table
 
@@ -284,7 +284,7 @@ def bootstrap_auc(spark, sf_dir):
 
 
 _CUMULATED = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
-_POISSON = f"""WITH {_D}, u AS (SELECT r AS round, y, s, (('0x' || substr(md5('42|' || r || '|' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM d, range(100) t(r)),
+_POISSON = f"""WITH {_D}, u AS (SELECT r AS round, y, s, (('0x' || substr(md5('42|' || (r // 4) || '|' || doc_id), 1 + 8 * (r % 4)::INT, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM d, range(100) t(r)),
     w AS (SELECT round, y, s, {' + '.join(f'(u > {c!r})::INT' for c in _CUMULATED)} AS w FROM u), c AS (SELECT round, s, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS n FROM w GROUP BY ALL),
     b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY round ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
     a AS (SELECT round, sum(p * (below + n / 2.0)) / sum(p) / sum(n) AS auc FROM b GROUP BY round)"""
@@ -295,6 +295,15 @@ def poisson_bootstrap_auc(spark, sf_dir):
     return _rounded(stats.interval(stats.poisson_auc(_labelled(spark, sf_dir), "y", "s", F.col("doc_id"), 100)))
 
 
+@query(_POISSON.replace("range(100)", "range(2000)") + """, k AS (SELECT round, sum(p) AS p, sum(n) AS n, sum(p) FILTER (WHERE s >= 0.5) AS tp, sum(n) FILTER (WHERE s >= 0.5) AS fp FROM c GROUP BY round),
+    l AS (SELECT round, auc, 2.0 * tp / (tp + fp + p) AS f1, tp / p AS sensitivity, 1 - fp / n AS specificity FROM a JOIN k USING (round)), x AS (UNPIVOT l ON auc, f1, sensitivity, specificity INTO NAME metric VALUE v)
+    SELECT metric, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM x GROUP BY metric""")
+def poisson_intervals(spark, sf_dir):
+    """Intervals of four metrics from 2,000 resamples."""
+    found = resample.poisson_metrics(_labelled(spark, sf_dir), "y", "s", F.col("doc_id"), 2000)
+    return _rounded(stats.metric_intervals(found, ("auc", "f1", "sensitivity", "specificity")))
+
+
 _DRAWN = f"""WITH {_D}, b AS (SELECT y, s, t, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS i FROM d), k AS (SELECT count(*) AS n FROM d),
     x AS (SELECT r AS round, ('0x' || substr(md5('42|' || r || '|' || j), 1, 8))::BIGINT % k.n AS i FROM k, range(50) q(r), range((SELECT count(*) FROM d)) v(j)),
     z AS (SELECT x.round, y, s, t FROM x JOIN b USING (i))"""
