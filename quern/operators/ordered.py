@@ -10,14 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.work import stored
+
 #: Parts of a drawn order: three hexadecimal digits. Parts of a factor of two of a score.
 DIGITS = 3
 PARTS = 1024
 
 
 def score_part(score: Column) -> Column:
-    """A whole number that doesn't fall as the score grows: its sign and its logarithm in steps of 1/1024."""
-    size = F.floor(F.log2(F.abs(score)) * PARTS) + F.lit(1100 * PARTS)
+    """A whole number that doesn't fall as the score grows: by its logarithm, in steps of a factor of 2 to the 1/1024.
+
+    From one half to 1 it is the logarithm of what the score lacks to 1, so that probabilities near 1 are told
+    apart as finely as those near 0; larger scores come after, negative ones are mirrored.
+    """
+    x = F.abs(score)
+    size = F.when(x <= 0.5, F.log2(x)).when(x < 1, -F.log2(1 - x)).otherwise(F.log2(x) + 60)
+    size = F.floor(size * PARTS) + F.lit(1100 * PARTS)
     return F.when(score > 0, size).when(score < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
@@ -53,13 +61,15 @@ def drawn_places(df: DataFrame, by: list[str], drawn: Column, key: Column | str)
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """df with dense numbers from 0 on in the order of the columns: by the first of them, then within its values by the others.
+    """df with dense numbers from 0 on in the order of the columns, null first; among equal rows in any order.
 
-    Windows hold the rows of one value of the first column (a panel, a day); its values are numbered by
-    their counts.
+    Rows are dealt by ranges of the order and stored with their seats in their range; the ranges' counts, a
+    row a task, say where each begins. So no task holds more than a range, however many rows share the
+    first column, and no window runs over rows.
     """
-    counts = df.groupBy(order[0]).agg(F.count("*").alias("_n"))
-    starts = counts.select(F.col(order[0]).alias("_of"), F.coalesce(F.sum("_n").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:])) - 1
-    joined = df.withColumn("_place", place).join(starts, F.col(order[0]).eqNullSafe(F.col("_of")))
-    return joined.select(*df.columns, (F.col("_start") + F.col("_place")).cast("long").alias(name))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(ranged.withColumn("_seat", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_seat", 33)), "numbered")
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_seat").alias("_first"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_seat") + F.col("_shift")).cast("long").alias(name))

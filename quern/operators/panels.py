@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.parse import confidence_of, is_missense, label_of, nucleotides_of
+from quern.operators.ordered import drawn_places
 from quern.operators.select import draw, group_split, keep_first, variant_split
 
 #: Review levels that count, and the panels' genes.
@@ -70,16 +71,11 @@ def with_splits(pool: DataFrame, targets: dict[str, list[int]], seed: int = 42)
     groups = group_split(pool, "GeneSymbol", F.col("label") == 1, share, (train + test, train + test), seed).select("GeneSymbol", "in_test")
     sided = by_row.join(groups, "GeneSymbol")
     sided = sided.withColumn("_stratum", F.concat_ws("/", F.col("in_test").cast("string"), F.col("label").cast("string")))
-    place = F.row_number().over(_by("_stratum", seed))
+    placed = drawn_places(sided, ["_stratum"], draw(seed, F.col("VariationID")), "VariationID")
+    place = F.col("place")
     limit = F.when(F.col("in_test"), F.lit(test)).otherwise(F.lit(train))
     side = F.when(place > limit, "unused").when(F.col("in_test"), "test").otherwise("train")
-    return sided.withColumn("_split_gene", side).withColumn("_split_gene_note", F.lit(None).cast("string")).drop("_stratum", "in_test")
-
-
-def _by(stratum: str, seed: int):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(stratum).orderBy(draw(seed, F.col("VariationID")), "VariationID")
+    return placed.withColumn("_split_gene", side).withColumn("_split_gene_note", F.lit(None).cast("string")).drop("_stratum", "in_test", "place", "group_size")
 
 
 def overlapping_ids(panels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from quern.functions import features as fx
 from quern.functions.parse import confidence_of, label_of
 from quern.functions.residues import letter
-from quern.functions.schema import feature_group, group_table, select_features
+from quern.functions.schema import feature_group, select_features
 from quern.operators import clean, columns, models, panels, report, rules, select, stats, validate
 from quern.plans import registry
 from quern.plans.features import _AA, _CTX, _D, _DISTANCES, _PROPS, _ROWS, _SEQ, _context, _labelled, _rounded, _rows
@@ -395,9 +395,15 @@ def enrichment_report(spark, sf_dir):
     return _rounded(validate.enrichment_report(p, after))
 
 
-@query("SELECT feature_group, count(*) AS n FROM (SELECT unnest(string_split('sequence,biochemical,population,gene_constraint,conservation', ',')) AS feature_group UNION ALL SELECT 'biochemical') GROUP BY 1")
+_SEEN = ["_gene", "label", "cadd_phred", "ref_aa", "delta_mw", "is_radical", "maf_afr", "pli", "gerp_rs", "aa_ctx_up1", "track_c_logit"]
+
+
+@query(f"""SELECT feature_group, count(*) AS n, sum(k)::BIGINT AS n_rows FROM (SELECT list_extract({_SEEN}, (p_partkey % {len(_SEEN)})::INT + 1) AS name, count(*) AS k FROM part GROUP BY 1)
+    JOIN (VALUES ('ref_aa', 'sequence'), ('delta_mw', 'biochemical'), ('is_radical', 'biochemical'), ('maf_afr', 'population'), ('pli', 'gene_constraint'), ('gerp_rs', 'conservation')) t(name, feature_group) USING (name) GROUP BY 1""")
 def checked_features(spark, sf_dir):
-    """The features that core may see of a table's columns, checked, by group."""
-    names = ["_gene", "label", "cadd_phred", "ref_aa", "delta_mw", "is_radical", "maf_afr", "pli", "gerp_rs", "aa_ctx_up1", "track_c_logit"]
+    """The features that core may see of those named in a table's rows, checked, by group."""
+    named = table(spark, sf_dir, "part").groupBy(F.get(F.array(*map(F.lit, _SEEN)), (F.col("p_partkey") % len(_SEEN)).cast("int")).alias("name")).agg(F.count("*").alias("k"))
+    names = sorted(r.name for r in named.select("name").collect())  # names of columns
     chosen = validate.check_features(select_features(names, "core"), "core")
-    return spark.createDataFrame(list(group_table(chosen).items()), "feature_group string, n long")
+    groups = spark.createDataFrame([(c, feature_group(c)) for c in chosen], "name string, feature_group string")
+    return named.join(groups, "name").groupBy("feature_group").agg(F.count("*").alias("n"), F.sum("k").alias("n_rows"))

@@ -180,10 +180,13 @@ _NAMES = ["_gene", "label", "cadd_phred", "phylop_score", "pli", "maf_global", "
 _EXPECTED = [None, None, "insilico", "conservation", "gene_constraint", "population", "enrichment", "context", "context", "context", "biochemical", "biochemical", "sequence", "sequence", None, "other"]
 
 
-@query("SELECT feature_group, count(*) AS n FROM (VALUES " + ", ".join(f"('{g}')" for g in _EXPECTED if g) + ") t(feature_group) GROUP BY 1")
+@query(f"""SELECT feature_group, count(DISTINCT name) AS n, count(*) AS n_rows FROM (SELECT list_extract({_NAMES}, (p_partkey % {len(_NAMES)})::INT + 1) AS name FROM part)
+    JOIN (VALUES {", ".join(f"('{n}', '{g}')" for n, g in zip(_NAMES, _EXPECTED) if g)}) t(name, feature_group) USING (name) GROUP BY 1""")
 def feature_counts(spark, sf_dir):
-    rows = spark.createDataFrame([(c, feature_group(c)) for c in _NAMES], "name string, feature_group string")
-    return rows.where("feature_group is not null").groupBy("feature_group").agg(F.count("*").alias("n"))
+    """Features named in a table's rows, and the rows that name them, by group."""
+    named = table(spark, sf_dir, "part").select(F.get(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES)).cast("int")).alias("name"))
+    groups = spark.createDataFrame([(c, feature_group(c)) for c in _NAMES], "name string, feature_group string").where("feature_group is not null")
+    return named.join(groups, "name").groupBy("feature_group").agg(F.count_distinct("name").alias("n"), F.count("*").alias("n_rows"))
 
 
 _D = "d AS (SELECT doc_id, lang, quality AS y, least(n_chars / 5000.0, 1.0) AS s, (n_chars % 97) / 96.0 AS t FROM documents JOIN labels USING (doc_id))"
