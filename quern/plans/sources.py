@@ -179,3 +179,30 @@ def stage_round_trip(spark, sf_dir):
 def markdown_table(spark, sf_dir):
     rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name", (F.col("r_regionkey") / F.lit(7.0)).alias("share")).orderBy("r_regionkey").collect()
     return spark.createDataFrame([(sinks.markdown([r.asDict() for r in rows]),)], "text string")
+
+
+@query("""SELECT s_suppkey AS run, CASE WHEN s_suppkey % 3 < 2 THEN s_nationkey / 25.0 END AS auc, CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey::DOUBLE END AS f1, CASE WHEN s_suppkey % 3 = 1 THEN s_name END AS note,
+    CASE WHEN s_suppkey % 3 = 2 THEN 2 END AS n_folds, CASE WHEN s_suppkey % 3 = 2 THEN round((s_nationkey + 0.5) / 2, 6) END AS fold_auc FROM supplier""")
+def run_artefacts(spark, sf_dir):
+    """Files of runs whose documents differ in shape: metrics here, folds there, a note, a text where a number is expected."""
+    s, path = table(spark, sf_dir, "supplier"), fresh_path(spark, "runs")
+    key, kind, nation = F.col("s_suppkey"), F.col("s_suppkey") % 3, F.col("s_nationkey").cast("double")
+    first = F.struct(key.alias("run"), F.struct((nation / 25.0).alias("auc"), F.lit("none").alias("f1")).alias("metrics"))
+    second = F.struct(key.alias("run"), F.struct((nation / 25.0).alias("auc"), key.cast("double").alias("f1")).alias("metrics"), F.col("s_name").alias("note"))
+    third = F.struct(key.alias("run"), F.array(F.struct(nation.alias("auc")), F.struct(F.lit(0.5).alias("auc"))).alias("folds"))
+    line = F.when(kind == 0, F.to_json(first)).when(kind == 1, F.to_json(second)).otherwise(F.to_json(third))
+    s.select(line.alias("value"), kind.alias("stage")).write.partitionBy("stage").text(path)
+    docs = readers.artefacts(spark, f"{path}/stage=*/*.txt", multi_line=False)
+    runs = readers.artefact_fields(docs, {"run": ("$.run", "long"), "auc": ("$.metrics.auc", "double"), "f1": ("$.metrics.f1", "double"), "note": ("$.note", "string")})
+    folds = readers.artefact_entries(runs, "$.folds", ["run"]).select("run", F.try_variant_get("value", "$.auc", "double").alias("auc"))
+    means = folds.groupBy("run").agg(F.count("*").cast("int").alias("n_folds"), F.round(F.avg("auc"), 6).alias("fold_auc"))
+    return runs.select("run", "auc", "f1", "note").join(means, "run", "left")
+
+
+@query("SELECT 'customers' AS source, count(*) AS rows, sum(('0x' || substr(md5(c_custkey || '|' || c_nationkey), 1, 8))::BIGINT)::VARCHAR AS checksum, 1 AS n_files FROM customer")
+def stage_provenance(spark, sf_dir):
+    """A stage written with its record: rows and checksum seen while it is written, and the digest of its input file."""
+    c, path = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), fresh_path(spark, "recorded")
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"))), 1, 8), 16, 10).cast("long")
+    told = sinks.recorded(c, path, "customers", digest=digest)
+    return spark.createDataFrame([(told["source"], told["rows"], told["checksum"], told["n_files"])], "source string, rows long, checksum string, n_files int")

@@ -94,6 +94,24 @@ def documents(spark: SparkSession, path: str, schema: str, multi_line: bool = Tr
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
+def artefacts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """file and doc (VARIANT) of JSON documents whose shapes differ, from all files that match path: no schema is agreed on or guessed."""
+    docs = spark.read.option("singleVariantColumn", "doc").option("multiLine", multi_line).json(path)
+    return docs.select(F.col("_metadata.file_path").alias("file"), "doc")
+
+
+def artefact_fields(docs: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """docs with a column for each field (name: path, type); null where a document lacks the path or has another type there."""
+    return docs.select("*", *(F.try_variant_get("doc", path, kind).alias(name) for name, (path, kind) in fields.items()))
+
+
+def artefact_entries(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
+    """keep, pos, key (null in a list) and value (VARIANT) of each entry of the list or object at path; documents without it have no row."""
+    names = ", ".join("d.`" + c.replace("`", "``") + "`" for c in keep)
+    inner = "CAST(try_variant_get(d.doc, :path, 'variant') AS VARIANT)"
+    return docs.sparkSession.sql(f"SELECT {names}, e.pos, e.key, e.value FROM {{docs}} d, LATERAL variant_explode({inner}) e", args={"path": path}, docs=docs)
+
+
 def population_records(genes: DataFrame) -> DataFrame:
     """gene and the fields of each variant, from documents with a gene and its list of variants (POPULATION)."""
     return genes.select("gene", F.explode("variants").alias("v")).select("gene", "v.*")

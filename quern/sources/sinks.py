@@ -12,7 +12,7 @@ import sys
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,7 +83,37 @@ def file_digest(path: str) -> str:
     return digest.hexdigest()
 
 
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, length, md5 of files of up to 2 GB, read and digested by tasks through Spark's file systems."""
+    if not paths:
+        return spark.createDataFrame([], "path string, length long, md5 string")
+    return spark.read.format("binaryFile").load(paths).select("path", "length", F.md5("content").alias("md5"))
+
+
+def _told(source: str, url: str | None, version: str | None, rows: int, checksum, filters: list[str] | None, extra: dict) -> dict:
+    return {"source": source, "url": url, "version": version, "created": datetime.now(UTC).isoformat(), "rows": rows, "checksum": str(checksum), "filters": filters or [], **extra}
+
+
 def provenance(source: str, df: DataFrame, url: str | None = None, version: str | None = None, filters: list[str] | None = None, **extra) -> dict:
     """What a table came from: source, time, rows and an order-free checksum of them."""
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
-    return {"source": source, "url": url, "version": version, "created": datetime.now(UTC).isoformat(), "rows": row.n, "checksum": str(row.h), "filters": filters or [], **extra}
+    return _told(source, url, version, row.n, row.h, filters, extra)
+
+
+def recorded(df: DataFrame, path: str, source: str, url: str | None = None, version: str | None = None, filters: list[str] | None = None, digest: Column | None = None, **extra) -> dict:
+    """Write df to path as Parquet and tell its provenance, rows and checksum counted by the tasks that write it.
+
+    The checksum is the sum of the rows' digests (of all columns, or as given), so it doesn't depend on
+    their order. The record also has the number, bytes and a digest of the files that df was read
+    from; the files' own digests are a table at path.inputs (path, length, md5). Without such files, as for made tables, n_files is 0.
+    """
+    spark, seen = df.sparkSession, Observation()
+    whole = F.xxhash64(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)) if digest is None else digest
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(whole.cast("decimal(38,0)")).alias("checksum"))
+    watched.write.mode("overwrite").parquet(path)
+    file_digests(spark, df.inputFiles()).write.mode("overwrite").parquet(f"{path}.inputs")
+    lines = F.sum(F.conv(F.substring(F.md5(F.concat_ws(" ", F.element_at(F.split("path", "/"), -1), "md5")), 1, 15), 16, 10).cast("decimal(38,0)"))
+    files = spark.read.schema("path string, length long, md5 string").parquet(f"{path}.inputs")
+    told = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), lines.alias("digest")).first()
+    counted = seen.get
+    return _told(source, url, version, counted["rows"], counted["checksum"], filters, {"n_files": told.n, "bytes": told.bytes, "files_digest": str(told.digest), **extra})
