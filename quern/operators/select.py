@@ -94,6 +94,61 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5, key: str | No
     return placed.select(group, F.when(turn == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
 
+def deal_classes(classes: list[tuple[int, int, int]], k: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """For each class (positives, others, groups) of groups alike the runs (groups, fold) in which they are dealt.
+
+    The most uneven classes come first, equally uneven ones by turns. Each time the fold is chosen after which the folds' shares of
+    positives and of others spread least (mean of their standard deviations), among equals the one with the fewest rows.
+    Of a class with many groups a run takes an 8k-th of what is left, so the work follows the number of
+    classes and the logarithm of their sizes; the last ones are dealt one by one.
+    """
+    total = [max(sum(c[i] * c[2] for c in classes), 1) for i in (0, 1)]
+    load = [[0, 0] for _ in range(k)]
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def spread(fold: int, add: tuple[int, int]) -> float:
+        value = 0.0
+        for i in (0, 1):
+            shares = [(x[i] + (add[i] if f == fold else 0)) / total[i] for f, x in enumerate(load)]
+            mean = sum(shares) / k
+            value += math.sqrt(sum((v - mean) ** 2 for v in shares) / k)
+        return value
+
+    left = {(p, n): groups for p, n, groups in classes}
+    for uneven in sorted({abs(p - n) for p, n in left}, reverse=True):
+        level = sorted((c for c in left if abs(c[0] - c[1]) == uneven), key=lambda c: (-c[0] - c[1], c[0]))
+        while level:
+            for c in level:
+                take = max(1, left[c] // (8 * k))
+                fold = min(range(k), key=lambda f: (round(spread(f, (c[0] * take, c[1] * take)), 12), sum(load[f]), f))
+                load[fold] = [load[fold][0] + c[0] * take, load[fold][1] + c[1] * take]
+                out.setdefault(c, []).append((take, fold))
+                left[c] -= take
+            level = [c for c in level if left[c]]
+    return out
+
+
+def balanced_group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """group, fold: whole groups dealt so that the folds' shares of both labels spread least, large and uneven groups first.
+
+    Groups with the same counts are alike, so only the classes of counts come to the driver (a few
+    thousand pairs of numbers, whatever the groups), are dealt there (deal_classes), and the groups of a class
+    take its runs in a drawn order. Rows without a label count for neither.
+    """
+    counts = df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("n_p"), F.count_if(F.col(label) == 0).alias("n_b"))
+    classes = [(r["n_p"], r["n_b"], r["m"]) for r in counts.groupBy("n_p", "n_b").agg(F.count("*").alias("m")).collect()]
+    runs = []
+    for (p, n), dealt in deal_classes(classes, k).items():
+        first = 1
+        for take, fold in dealt:
+            runs.append((p, n, first, first + take, fold))
+            first += take
+    places = drawn_places(counts, ["n_p", "n_b"], draw(seed, F.col(group)), group)
+    table = df.sparkSession.createDataFrame(runs, "n_p long, n_b long, _first long, _stop long, fold int")
+    inside = (F.col("place") >= F.col("_first")) & (F.col("place") < F.col("_stop"))
+    return places.join(F.broadcast(table), ["n_p", "n_b"]).where(inside).select(group, "fold")
+
+
 def leave_one_out(df: DataFrame, key: str, most: int = 200) -> DataFrame:
     """df with fold: each row is a fold of its own, in the order of key. For tables of at most most rows, as every fold is a fit."""
     n = df.count()

@@ -83,6 +83,13 @@ def setting_importances(spark, sf_dir):
     return tuning.importances(_history(spark, sf_dir), _SPACE)
 
 
+@query()
+def balanced_group_kfold(spark, sf_dir):
+    """Customers dealt to folds by the labels of their orders: most uneven classes of customers first."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return select.balanced_group_folds(o, "o_custkey", "y")
+
+
 @query()
 def isotonic_calibration(spark, sf_dir):
     """Calibration by the held rows, which the model has not seen, of the others' scores, each out of fold."""

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quern.operators import ordered, panels, stats
+from quern.operators import ordered, panels, select, stats
 
 
 def test_numbers_of_one_panel(spark):
@@ -38,3 +38,49 @@ def test_split_by_gene_fills_both_sides(spark):
     counts = {(r._split_gene, r.label): r["count"] for r in got.groupBy("_split_gene", "label").count().collect()}
     assert all(counts[side, y] <= most for side, most in (("train", 100), ("test", 40)) for y in (0, 1) if (side, y) in counts)
     assert panels.shared_genes(got).count() == 0
+
+
+def one_by_one(groups, k):
+    """Every group to the fold after which the shares spread least: the rule that classes shorten."""
+    total, load, out = [max(sum(g[i] for g in groups), 1) for i in (0, 1)], [[0, 0] for _ in range(k)], []
+    for p, n in sorted(groups, key=lambda g: -abs(g[0] - g[1])):
+        fold = min(range(k), key=lambda f: (spread([[a + p * (f == i), b + n * (f == i)] for i, (a, b) in enumerate(load)], total), sum(load[f])))
+        load[fold] = [load[fold][0] + p, load[fold][1] + n]
+        out.append(fold)
+    return load, total
+
+
+def spread(load, total):
+    def deviation(i):
+        shares = [x[i] / total[i] for x in load]
+        mean = sum(shares) / len(shares)
+        return (sum((v - mean) ** 2 for v in shares) / len(shares)) ** 0.5
+
+    return deviation(0) + deviation(1)
+
+
+def test_classes_spread_no_more_than_groups_one_by_one():
+    """Skewed groups: one with half of all rows, a few large ones, thousands of one or two rows."""
+    draw = random.Random(5)
+    for case in range(6):
+        groups = [(400 * case, 100), (30, 90), (0, 70)] + [(draw.randrange(3), draw.randrange(3)) for _ in range(1500)] + [(1, 0)] * 700
+        classes: dict = {}
+        for g in groups:
+            classes[g] = classes.get(g, 0) + 1
+        dealt, load = select.deal_classes([(*c, m) for c, m in classes.items()], 5), [[0, 0] for _ in range(5)]
+        for (p, n), runs in dealt.items():
+            assert sum(take for take, _ in runs) == classes[p, n]
+            for take, fold in runs:
+                load[fold] = [load[fold][0] + p * take, load[fold][1] + n * take]
+        other, total = one_by_one(groups, 5)
+        assert spread(load, total) <= spread(other, total) + 2e-3
+    assert sum(map(len, select.deal_classes([(1, 0, 10**9), (0, 1, 10**9)], 5).values())) < 2000
+
+
+def test_balanced_group_folds(spark):
+    rows = [(f"g{i % 97 if i % 3 else 0}", i % 2) for i in range(3000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, y int")
+    got = {r.g: r.fold for r in select.balanced_group_folds(df, "g", "y", 4).collect()}
+    assert set(got) == {g for g, _ in rows} and set(got.values()) == {0, 1, 2, 3}
+    sizes = [sum(got[g] == f and y is not None for g, y in rows) for f in range(4)]
+    assert max(sorted(sizes)[:3]) - min(sizes) <= 45
