@@ -120,8 +120,8 @@ def resumed_fetch(spark, sf_dir):
         return [(f"ATG{n}",)]
 
     keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"))
-    fetch.resumed(spark, keys.where("key < 12"), ask, "seq STRING", path, "sequences")
-    return fetch.resumed(spark, keys, ask, "seq STRING", path, "sequences")
+    fetch.resumed(spark, keys.where("key < 12"), ask, "seq STRING", path, page=5, at_once=2)
+    return fetch.resumed(spark, keys, ask, "seq STRING", path, page=5, at_once=2)
 
 
 @query("SELECT n_name AS gene, 'ATG' || n_nationkey AS seq FROM nation WHERE n_nationkey % 4 <> 0")

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.select import keep_first
-from quern.sources.readers import delimited, snapshot_source
-from quern.sources.work import exists
+from quern.sources.readers import delimited
+from quern.sources.work import exists, stored
 
 
 class Passing(Exception):
@@ -81,33 +81,48 @@ def canonical_or_longest(records: Iterable[dict], canonical: str = "canonical",
     return max((r[value] for r in chosen), key=len, default=None)
 
 
-def resumed(spark: SparkSession, keys: DataFrame, ask: Callable, schema: str, path: str, name: str = "resumed") -> DataFrame:
+def resumed(spark: SparkSession, keys: DataFrame, ask: Callable, schema: str, path: str, page: int = 1000, at_once: int = 8, per_second: float | None = None) -> DataFrame:
     """The answers for all keys (column key), asking only for those that path doesn't hold yet.
 
     ask(key) returns a list of tuples of schema, which may be empty, and raises Passing if it can't say.
-    Each run appends what it got, with the key and its state: found, empty (known to have no answer)
-    or failed. Failed keys are asked again by the next run. Keys are dealt over the executors; none but
-    the keys to ask pass the driver. Returns key, state and the answer's columns.
+    Each answer is kept with its key and state: found, empty (known to have no answer) or failed; failed
+    keys are asked again by the next run. The open keys are a stored table, dealt into rounds of at_once
+    tasks with about page keys each. A round's answers are appended to path before the next one begins, so a run that
+    ends early goes on behind its last round. Tasks together make at most per_second calls. No key
+    passes the driver. Returns key, state and the answer's columns.
     """
     full = f"key STRING, state STRING, {schema}"
-    width = len(spark.createDataFrame([], schema).columns)
+    names = spark.createDataFrame([], full).columns
     held = spark.read.schema(full).parquet(path) if exists(spark, path) else spark.createDataFrame([], full)
-    known = held.where("state <> 'failed'")
-    todo = [r.key for r in keys.select(F.col("key").cast("string")).distinct().join(known.select("key").distinct(), "key", "left_anti").orderBy("key").collect()]
-
-    def answered(key):
-        try:
-            rows = [tuple(r) for r in ask(key)]
-        except Passing:
-            return [(key, "failed", *[None] * width)]
-        return [(key, "found", *r) for r in rows] or [(key, "empty", *[None] * width)]
-
-    if todo:
-        snapshot_source(spark, name, answered, full, todo).write.mode("append").parquet(path)
+    asked = keys.select(F.col("key").cast("string")).distinct()
+    todo = stored(asked.join(held.where("state <> 'failed'").select("key").distinct(), "key", "left_anti"), "open_keys")
+    rounds = -(-todo.count() // (page * at_once))
+    gap = at_once / per_second if per_second else 0.0
+
+    def answers(frames):
+        import pandas as pd
+
+        last = 0.0
+        for frame in frames:
+            for a in range(0, len(frame), 100):
+                rows = []
+                for key in frame["key"][a : a + 100]:
+                    time.sleep(max(0.0, last + gap - time.monotonic()) if last else 0.0)
+                    last = time.monotonic()
+                    try:
+                        got = [(key, "found", *r) for r in ask(key)] or [(key, "empty", *[None] * (len(names) - 2))]
+                    except Passing:
+                        got = [(key, "failed", *[None] * (len(names) - 2))]
+                    rows += got
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    for r in range(rounds):
+        mine = todo.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == r)
+        mine.repartition(at_once, "key").mapInPandas(answers, full).write.mode("append").parquet(path)
     rows = spark.read.schema(full).parquet(path) if exists(spark, path) else held
     settled = rows.where("state <> 'failed'")
     failed = rows.where("state = 'failed'").join(settled.select("key").distinct(), "key", "left_anti").distinct()
-    return settled.unionByName(failed).join(keys.select(F.col("key").cast("string")).distinct(), "key", "left_semi")
+    return settled.unionByName(failed).join(asked, "key", "left_semi")
 
 
 def accessions(spark: SparkSession, path: str) -> DataFrame:

@@ -1,15 +1,20 @@
 """Provenance told by the tasks that write, digests of input files, run documents of differing shape, a session without settings."""
 
 import hashlib
+import http.server
 import json
 import os
 import subprocess
 import sys
+import threading
+import urllib.error
+import urllib.request
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from quern.sources import readers, sinks
+from quern.sources import fetch, readers, sinks
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -60,3 +65,66 @@ def test_session_without_settings(tmp_path):
     env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))} | {"SPARK_CONF_DIR": str(conf), "PYTHONPATH": str(ROOT)}
     done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
     assert "counts [True" in done.stdout and "False" not in done.stdout, done.stdout + done.stderr[-2000:]
+
+
+class _Service(http.server.BaseHTTPRequestHandler):
+    """gene to id to transcript to sequence; every fifth sequence is refused at first, every seventh gene is unknown."""
+
+    asked: list[str] = []
+
+    def do_GET(self):
+        kind, key = self.path.strip("/").split("/")
+        self.asked.append(self.path)
+        n = int(key)
+        refused = kind == "seq" and n % 5 == 0 and self.asked.count(self.path) < 3
+        answer = {"gene": None if n % 7 == 0 else n + 1000, "id": n + 1000, "seq": f"ATG{n}"}[kind]
+        self.send_response(503 if refused else 200)
+        self.end_headers()
+        self.wfile.write(b"" if refused else json.dumps(answer).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_service_of_three_hops_is_asked_in_rounds(spark, tmp_path):
+    """Rounds of bounded tasks; a run that ends early is gone on with; refused keys are asked again, settled ones aren't."""
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, stop = f"http://127.0.0.1:{server.server_port}", tmp_path / "stop"
+
+    def hop(kind):
+        def asked(key):
+            try:
+                with urllib.request.urlopen(f"{base}/{kind}/{key}", timeout=10) as answer:
+                    return json.loads(answer.read())
+            except urllib.error.HTTPError as error:
+                raise fetch.Passing(kind) from error
+
+        return asked
+
+    find = fetch.in_hops(hop("gene"), hop("id"), hop("seq"))
+
+    def ask(key):
+        if stop.exists() and int(key) == 17:
+            raise RuntimeError("the run ends here")
+        found = find(key)
+        return [] if found is None else [(found, len(found))]
+
+    keys, path = spark.range(40).select(F.col("id").alias("key")), f"file://{tmp_path}/answers"
+    stop.touch()
+    with pytest.raises(Exception, match="the run ends here"):
+        fetch.resumed(spark, keys, ask, "seq STRING, size INT", path, page=3, at_once=2)
+    stop.unlink()
+    kept = spark.read.parquet(path).count() if os.path.exists(f"{tmp_path}/answers") else 0
+    before = len(_Service.asked)
+    first = fetch.resumed(spark, keys, ask, "seq STRING, size INT", path, page=3, at_once=2, per_second=400)
+    states = {int(r.key): r.state for r in first.collect()}
+    assert set(states) == set(range(40)) and all(states[k] == "empty" for k in range(0, 40, 7))
+    assert sum(p.startswith("/gene/") for p in _Service.asked[before:]) <= 40 - kept + 8
+    fetch.resumed(spark, keys, ask, "seq STRING, size INT", path)
+    before = len(_Service.asked)
+    last = {int(r.key): (r.state, r.seq, r.size) for r in fetch.resumed(spark, keys, ask, "seq STRING, size INT", path).collect()}
+    assert all(last[k] == ("found", f"ATG{k + 2000}", len(f"ATG{k + 2000}")) for k in range(40) if k % 7)
+    fetch.resumed(spark, keys, ask, "seq STRING, size INT", path)
+    assert len([p for p in _Service.asked[before:] if p.startswith("/gene/")]) <= 8
+    server.shutdown()
