@@ -54,3 +54,14 @@ def test_hosts_are_judged_against_the_others(spark):
     got = {r.host: r for r in quality.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("host").agg(F.min("kept").alias("kept"), F.first("host_failed").alias("failed")).collect()}
     assert got["worse"].failed == ["symbols"] and not got["worse"].kept
     assert all(not r.failed for h, r in got.items() if h != "worse") and got["small"].kept
+
+
+def test_stages_with_dots_in_names_and_without_sizes(spark):
+    """Extra columns with dots and back-ticks keep their names and values; n_chars may be absent."""
+    import corpus_pipeline
+
+    rows = [(1, words(60, 1) + "\n" + words(60, 2), "x"), (2, words(60, 3) + "\n" + words(60, 2), "y"), (3, words(120, 4), "z"), (4, words(120, 4), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"a.b": F.lit(1), "c`d": F.lit("e")})
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and all(r["a.b"] == 1 and r["c`d"] == "e" for r in out.collect()), name
