@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.blocks import FAN, added, gathered, merged
-from quern.sources.work import stored
+from quern.sources.work import release_exchanges, stored
 
 #: Values that stand for a column's distribution, and values held before they are reduced to so many.
 POINTS, HELD = 1024, 1 << 16
@@ -330,6 +330,7 @@ def fit(rows: DataFrame, width: int, jobs: list[tuple[Setting, int]], folds: int
         for m in alive:
             made, _ = growing[m].selected(models[m].setting.leaves)
             models[m].trees.append(growing[m].finished(made, models[m].setting, cuts[jobs[m][1]]))
+        release_exchanges(rows.sparkSession)  # a tree is several passes, whose plans and exchanges nobody holds now
     return models
 
 

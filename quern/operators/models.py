@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -18,6 +23,8 @@ from quern.operators import boosting, ordered, select, stats
 #: Settings of the ensemble's two learners: trees that grow level by level (pyspark.ml), and leaf by leaf (boosting).
 LEVEL = {"maxDepth": 4, "maxIter": 8, "stepSize": 0.2}
 LEAF = boosting.Setting(trees=8, leaves=8, step=0.4)
+#: Fits that run side by side: a fit is many short jobs, whose tasks fill each other's pauses.
+TOGETHER = 6
 
 
 def fill_values(train: DataFrame, numeric: list[str], categorical: list[str]) -> dict[str, object]:
@@ -32,6 +39,35 @@ def fill_values(train: DataFrame, numeric: list[str], categorical: list[str]) ->
     return out
 
 
+def fold_fills(df: DataFrame, numeric: list[str], fold: str, k: int) -> list[dict[str, float]]:
+    """For each fold the exact medians of the other folds' values, of those columns that lack values (null or NaN) anywhere.
+
+    Values are counted by fold once, and the counts are added up in parts of their order, for all columns and folds at once.
+    """
+    number = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in numeric}
+    lacks = df.agg(*(F.count_if(x.isNull()).alias(f"_{i}") for i, x in enumerate(number.values()))).first() if numeric else ()
+    open_ = [c for c, n in zip(numeric, lacks) if n]
+    fills = [dict.fromkeys(open_, 0.0) for _ in range(k)]
+    if not open_:
+        return fills
+    names = [f"_{i}" for i in range(len(open_))]
+    long = df.select(F.col(fold).alias("_fold"), *(number[c].alias(x) for c, x in zip(open_, names))).unpivot(["_fold"], names, "_name", "s").where("s IS NOT NULL")
+    sums = [f"n_{i}" for i in range(k)]
+    counts = long.groupBy("_name", "s").agg(*(F.count_if(F.col("_fold") == i).alias(c) for i, c in enumerate(sums)))
+    most = F.lit(sys.float_info.max)
+    rows = ordered.with_before(counts, ["_name"], ordered.score_part(F.least(F.greatest("s", -most), most)), [F.asc("s")], sums)
+    middle = []
+    for i in range(k):
+        own, before, size = (sum((F.col(f"{x}{c}") for j, c in enumerate(sums) if j != i), F.lit(0)) for x in ("", "before_", "all_"))
+        for at in (F.floor((size - 1) / 2), F.floor(size / 2)):
+            middle.append(F.max(F.when((before <= at) & (at < before + own), F.col("s"))).alias(f"m_{len(middle)}"))
+    for r in rows.groupBy("_name").agg(*middle).collect():  # a row a column
+        for i in range(k):
+            if r[f"m_{2 * i}"] is not None:
+                fills[i][open_[names.index(r._name)]] = 0.5 * r[f"m_{2 * i}"] + 0.5 * r[f"m_{2 * i + 1}"]
+    return fills
+
+
 def preprocessor(numeric: list[str], categorical: list[str]) -> list:
     """Stages to one feature vector; categories not seen in training have a column of their own."""
     stages: list = []
@@ -113,18 +149,43 @@ def out_of_fold(df: DataFrame, label: str, numeric: list[str], categorical: list
     The leaf-wise models of all folds are fitted at once; for them an absent number is a value of its
     own, for the others it is filled with the other folds' median.
     """
-    models, levels = leaf_models(df, label, numeric, categorical, fold, k)
-    width, parts = _width(numeric, levels), None
-    scored = df.withColumn("p_leaf", boosting.probability(models, feature_array(numeric, levels), F.col(fold).cast("int"), width))
-    for i in range(k):
-        train = df.where(F.col(fold) != i)
-        fills = fill_values(train, numeric, categorical)
-        model = fit_level(train.na.fill(fills).withColumn("label", F.col(label).cast("double")), numeric, categorical)
-        part = model.transform(scored.where(F.col(fold) == i).na.fill(fills)).withColumn("p_level", probability()).select(*df.columns, "p_level", "p_leaf")
+    medians, sizes = fold_fills(df, numeric, fold, k), fold_sizes(df, fold)
+    fills = [medians[i] | fill_values(df.where(F.col(fold) != i), [], categorical) for i in range(k)]
+
+    def fitted(i: int):
+        if i == 0:
+            return leaf_models(df, label, numeric, categorical, fold, k)
+        train = in_parts(df.where(F.col(fold) != i - 1), sum(n for f, n in sizes.items() if f != i - 1))
+        return fit_level(_filled(train, fills[i - 1]).withColumn("label", F.col(label).cast("double")), numeric, categorical)
+
+    (models, levels), *by_level = side_by_side(df, fitted, k + 1)
+    scored = df.withColumn("p_leaf", boosting.probability(models, feature_array(numeric, levels), F.col(fold).cast("int"), _width(numeric, levels)))
+    parts = None
+    for i, model in enumerate(by_level):
+        part = model.transform(_filled(scored.where(F.col(fold) == i), fills[i])).withColumn("p_level", probability()).select(*df.columns, "p_level", "p_leaf")
         parts = part if parts is None else parts.unionByName(part)
     return parts.withColumn("p_ensemble", (F.col("p_level") + F.col("p_leaf")) / F.lit(2.0))
 
 
+def _filled(df: DataFrame, fills: dict[str, object]) -> DataFrame:
+    return df.na.fill(fills) if fills else df
+
+
+def fold_sizes(df: DataFrame, fold: str) -> dict[int, int]:
+    return {r[0]: r[1] for r in df.where(F.col(fold).isNotNull()).groupBy(fold).count().collect()}
+
+
+def in_parts(df: DataFrame, n: int) -> DataFrame:
+    """df of n rows in no more parts than its rows fill (boosting.SMALL each), as a fit passes over it many times."""
+    return df.coalesce(max(1, math.ceil(n / boosting.SMALL)))
+
+
+def side_by_side(df: DataFrame, fit: Callable[[int], object], n: int) -> list:
+    """fit(0) to fit(n - 1), TOGETHER at a time, as jobs of df's session."""
+    with ThreadPool(min(TOGETHER, n)) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n), chunksize=1)
+
+
 def leaf_models(df: DataFrame, label: str, numeric: list[str], categorical: list[str], fold: str = "fold", k: int = 5) -> tuple[list[boosting.Model], dict[str, list[str]]]:
     """The leaf-wise model for each fold, fitted on the other folds, and the categories' values (null: none of them)."""
     levels = category_levels(df, categorical)
@@ -157,9 +218,14 @@ def stacked(model: PipelineModel, df: DataFrame, scores: list[str]) -> DataFrame
 
 def stacked_out_of_fold(df: DataFrame, label: str, scores: list[str], fold: str = "fold", k: int = 5, c: float = 1.0) -> DataFrame:
     """df with p_stack, each row scored by the stack that was fitted on the other folds."""
-    parts = None
-    for i in range(k):
-        scored = stacked(stack(df.where(F.col(fold) != i), label, scores, c), df.where(F.col(fold) == i), scores)
+    parts, sizes = None, fold_sizes(df, fold)
+
+    def fitted(i: int) -> PipelineModel:
+        n = sum(size for f, size in sizes.items() if f != i)
+        return stack(in_parts(df.where(F.col(fold) != i), n), label, scores, c, n)
+
+    for i, model in enumerate(side_by_side(df, fitted, k)):
+        scored = stacked(model, df.where(F.col(fold) == i), scores)
         parts = scored if parts is None else parts.unionByName(scored)
     return parts
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import attribution, models, select, stats, tuning
 from quern.plans.features import _labelled
 from quern.plans.registry import query, table
+from quern.sources.work import forget, release_exchanges, stored
 
 
 def _vectors(spark, sf_dir):
@@ -18,10 +19,17 @@ def _vectors(spark, sf_dir):
 
 
 def _out_of_fold(rows, names):
-    """Every row's scores by the ensemble of the other four folds, kept, as later steps read them several times."""
-    rows = select.stratified_folds(rows, "y", F.col("vec_id")).persist()
+    """Every row's scores by the ensemble of the other four folds, stored, as later steps read them several times.
+
+    What the fits read is stored as well: their hundreds of jobs plan a scan, not the way to the folds.
+    """
+    rows = stored(select.stratified_folds(rows, "y", F.col("vec_id")), "folds")
     scored = models.out_of_fold(rows, "y", names, [])
-    return scored.select("vec_id", "fold", "y", "p_level", "p_leaf", "p_ensemble").persist()
+    release_exchanges(rows.sparkSession)
+    out = stored(scored.select("vec_id", "fold", "y", "p_level", "p_leaf", "p_ensemble"), "scores")
+    forget(rows)
+    release_exchanges(rows.sparkSession)
+    return out
 
 
 @query()
@@ -106,7 +114,8 @@ def isotonic_calibration(spark, sf_dir):
 def stacking(spark, sf_dir):
     """The two learners' out-of-fold scores stacked, each row by the stack of the other folds."""
     scored = _out_of_fold(*_vectors(spark, sf_dir))
-    return stats.evaluate(models.stacked_out_of_fold(scored, "y", ["p_level", "p_leaf"]), "y", "p_stack")
+    stacks = models.stacked_out_of_fold(scored, "y", ["p_level", "p_leaf"]).select("y", "p_stack")
+    return stats.evaluate(stored(stacks, "stacks"), "y", "p_stack")
 
 
 def _two_scores(spark, sf_dir):
